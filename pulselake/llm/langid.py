@@ -21,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 8, (2, 3, 4)
 WINDOWS_A_DOC, EPOCHS, BATCH, RATE = 4, 5, 64, 0.01
 HELD_OUT_OF, HELD_OUT = 4, 2
 UNKNOWN = "und"
+#: A document is rejected below this score, not far above chance.
+LEAST_SCORE = 0.3
 
 
 class Network(NamedTuple):
@@ -175,12 +178,16 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % HELD_OUT_OF == HELD_OUT, F.lit(False))
 
 
+def _fitted(docs: DataFrame) -> Broadcast:
+    """The network, or None where there is nothing to learn from."""
+    texts, langs = training_sample(docs)
+    return docs.sparkSession.sparkContext.broadcast(train(texts, langs) if any(map(len, texts)) else None)
+
+
 def identify(documents: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``: one row for each document."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    texts, langs = training_sample(docs)
-    net = train(texts, langs) if any(map(len, texts)) else None
-    held = docs.sparkSession.sparkContext.broadcast(net)
+    held = _fitted(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(held.value) if held.value else None
@@ -191,3 +198,19 @@ def identify(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def accepted(documents: DataFrame) -> DataFrame:
+    """The documents, with their own columns, whose language is told with LEAST_SCORE or more."""
+    held = _fitted(documents)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictor = Predictor(held.value) if held.value else None
+        for batch in batches:
+            for part in (batch.slice(a, 200) for a in range(0, batch.num_rows, 200)):
+                if predictor:
+                    langs, scores = predictor.texts(part.column(at).to_pylist())
+                    yield part.filter(pa.array([lang != UNKNOWN and s >= LEAST_SCORE for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
