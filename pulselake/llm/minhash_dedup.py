@@ -7,9 +7,10 @@ are compared exhaustively, by sketches of SKETCH minwise tokens, and what may be
 documents into candidate clusters.  Within a cluster every pair of documents that the sketches
 do not rule out, and that is not connected yet, is confirmed on the full sets.
 
-Recall: a pair of similarity s misses a tree's node with probability 1 - s, all TREES of them
-with (1 - s) ** TREES, 3e-7 at 0.85; a branching loses (1 - s) ** BRANCHES, 0.3 % of that tree's
-pairs.  A sketch rules out a pair of 0.85 with probability 1e-4 or less.
+Recall: a pair of similarity s misses a tree's root node with probability 1 - s, all TREES of
+them with (1 - s) ** TREES, 1e-5 at 0.85; a branching loses (1 - s) ** BRANCHES, 2 % of that
+tree's pairs, which leaves 5e-5 after two.  A sketch rules out a pair of 0.85 with probability
+1e-4 or less.
 
 Documents with equal sets are one representative from the start, so groups of copies are never
 expanded; large nodes and clusters are dealt into tile pairs.
@@ -35,7 +36,7 @@ from .work import Forest, components, groups_of, staged, tiled
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-TREES, DEPTH, BRANCHES, LIMIT = 8, 4, 3, 512
+TREES, DEPTH, BRANCHES, LIMIT = 6, 3, 2, 512
 #: Tokens of a sketch, and the share of equal ones below which a pair is ruled out.
 SKETCH, RULED_OUT = 128, 0.71
 TILE = 1024
