@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,12 +16,17 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where a lambda repeats it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def z_normalised(a: Column) -> Column:
     """Mean 0 and population deviation 1; a constant array becomes zeros."""
     n = F.size(a)
-    mean = total(a) / n
-    deviation = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x.cast("double") - mean) * (x.cast("double") - mean)) / n)
-    return F.when(deviation == 0, F.array_repeat(F.lit(0.0), n)).otherwise(F.transform(a, lambda x: (x.cast("double") - mean) / deviation))
+    spread = lambda m: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x.cast("double") - m) * (x.cast("double") - m)) / n)
+    scaled = lambda m, d: F.when(d == 0, F.array_repeat(F.lit(0.0), n)).otherwise(F.transform(a, lambda x: (x.cast("double") - m) / d))
+    return let(total(a) / n, lambda m: let(spread(m), lambda d: scaled(m, d)))
 
 
 def pad_or_crop(a: Column, length: int) -> Column:
