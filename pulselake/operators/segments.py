@@ -54,4 +54,4 @@ def beats_by_record(records: DataFrame, beats: DataFrame, key: str, columns: lis
     rows = beats.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
     joined = records.select(key).join(rows, key, "left")
     out = joined.withColumn("rows", F.coalesce("rows", F.array().cast(rows.schema["rows"].dataType)))
-    return out.select(key, *(F.transform("rows", lambda r, c=c: r[c]).alias(c) for c in columns))
+    return out.select(key, *(F.col("rows")[c].alias(c) for c in columns))
