@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stable import stable_seed
+from ..functions import stable
 from ..operators import experiments, sampling, segments
 from . import views
 
@@ -26,15 +26,16 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of segments: the value at the seconds since the start, ten times as fine as an hour."""
-    e = views.events(spark, sf_dir)
-    return e.where(F.col("event_id") % 7 == 0).select(F.col("user_id").alias("record_id"), (F.col("us") / (views.HOUR_US / 10)).cast("string").alias("time"), F.when(F.col("event_id") % 11 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string")).alias("score"))
+    """Scores of segments from outside: purchases' values, the smallest unreadable."""
+    e = views.events(spark, sf_dir).where("event_type = 'purchase'")
+    score = F.when(F.col("value") < 5, F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    return e.select(F.col("user_id").alias("record_id"), (F.col("us") / (views.HOUR_US / 10)).cast("string").alias("time"), score.alias("score"))
 
 
 SCORES_SQL = f"""raw_scores AS (
   SELECT user_id AS record_id, us / {views.HOUR_US / 10} AS time,
-         CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS score
-  FROM ev WHERE event_id % 7 = 0),
+         CASE WHEN value < 5 THEN NULL ELSE value END AS score
+  FROM ev WHERE event_type = 'purchase'),
 scores AS (
   SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, time, seg_index) AS score_rank
   FROM (SELECT record_id, floor(time / 10)::INTEGER AS seg_index, time, score
@@ -82,8 +83,8 @@ def neighbor_expand(spark, sf_dir):
 
 
 @registered("SELECT doc_id, ('0x' || substr(sha256(concat_ws('||', '2024', '42', doc_id::VARCHAR, 's_first')), 1, 8))::BIGINT AS seed FROM documents")
-def stable_seeds(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select("doc_id", stable_seed(F.lit(2024), F.lit(42), F.col("doc_id"), F.lit("s_first")).alias("seed"))
+def stable_seed(spark, sf_dir):
+    return views.table(spark, sf_dir, "documents").select("doc_id", stable.stable_seed(F.lit(2024), F.lit(42), F.col("doc_id"), F.lit("s_first")).alias("seed"))
 
 
 def sample_sql(configs: list[tuple[int, int, int, str]], ups: str = "SELECT record_id, 0 AS upsample_index FROM (SELECT DISTINCT record_id FROM flags)") -> str:
