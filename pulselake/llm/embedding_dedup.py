@@ -152,7 +152,7 @@ def deduplicate(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = members.withColumn("bucket", F.xxhash64("label", "dim", "table", "key"))
     dealt = tiled(members, ["bucket", "label", "dim", "table", "key"], F.col("rep"), TILE)
     keys = ["bucket", "label", "dim", "table", "key", "tile_a", "tile_b"]
-    dealt = dealt.repartition("bucket", "tile_a", "tile_b").sortWithinPartitions(*keys)
+    dealt = dealt.repartition("bucket", "tile_a", "tile_b").sortWithinPartitions(*keys, "rep")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches, keys):
@@ -166,7 +166,9 @@ def deduplicate(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 continue
             links = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
             forest = Forest(len(rep))
-            star = [(rep[y], rep[x]) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.join(x, y)]
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                forest.join(x, y)
+            star = [(rep[y], rep[x]) for x, y in forest.stars()]
             some = np.flatnonzero(links)
             out = [(int(rep[k]), int(links[k]), None) for k in some.tolist()] + [(int(p), 0, int(q)) for p, q in star]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rep", "links", "other"])

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import Forest, components, groups_of, staged, tiled
+from .work import Forest, components, discard, groups_of, staged, tiled
 
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -167,9 +167,9 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _candidate_edges(leaves: DataFrame) -> DataFrame:
-    """A spanning forest of each node's possible links."""
+    """Each node's groups that possible links connect, as stars."""
     dealt = tiled(leaves, ["node"], F.col("rep"), LIMIT)
-    dealt = dealt.repartition("node", "tile_a", "tile_b").sortWithinPartitions("node", "tile_a", "tile_b")
+    dealt = dealt.repartition("node", "tile_a", "tile_b").sortWithinPartitions("node", "tile_a", "tile_b", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
@@ -179,7 +179,9 @@ def _candidate_edges(leaves: DataFrame) -> DataFrame:
                 continue
             rep, forest = g["rep"].to_numpy(), Forest(len(own))
             _, i, j = _pairs(_sigs(g["sig"]), g["n"].to_numpy(), own)
-            out += [(int(rep[x]), int(rep[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.join(x, y)]
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                forest.join(x, y)
+            out += [(int(rep[x]), int(rep[y])) for x, y in forest.stars()]
             if len(out) > 10_000:
                 yield _edge_batch(out)
                 out = []
@@ -195,8 +197,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(both) - common)
 
 
-def _confirmed_edges(clustered: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of each candidate cluster, a spanning forest of the links, confirmed on the full sets."""
+def _cluster_sets(clustered: DataFrame, docs: DataFrame) -> DataFrame:
+    """The full sets of the documents in candidate clusters."""
     full = clustered.join(docs.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "cluster", "n", "sig", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +206,15 @@ def _confirmed_edges(clustered: DataFrame, docs: DataFrame) -> DataFrame:
             found = [shingles(t.as_py()).tobytes() for t in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(found, pa.large_binary()).cast(pa.binary())], names=["rep", "cluster", "n", "sig", "words"])
 
-    full = staged(full.mapInArrow(sets, "rep long, cluster long, n long, sig binary, words binary").dropDuplicates(["rep"]), "cluster-sets")
+    return full.mapInArrow(sets, "rep long, cluster long, n long, sig binary, words binary").dropDuplicates(["rep"])
+
+
+def _confirmed_edges(full: DataFrame) -> DataFrame:
+    """The groups that links connect within each candidate cluster, as stars; a link counts once
+    it is confirmed on the full sets."""
     dealt = tiled(full, ["cluster"], F.col("rep"), TILE)
     keys = ["cluster", "tile_a", "tile_b"]
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches, keys):
@@ -217,12 +224,10 @@ def _confirmed_edges(clustered: DataFrame, docs: DataFrame) -> DataFrame:
             rep, forest = g["rep"].to_numpy(), Forest(len(own))
             words = [np.frombuffer(w.as_buffer(), dtype=np.uint64) for w in g["words"]]
             _, i, j = _pairs(_sigs(g["sig"]), g["n"].to_numpy(), own)
-            out = []
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 if forest.root(x) != forest.root(y) and alike(words[x], words[y]):
                     forest.join(x, y)
-                    out.append((int(rep[x]), int(rep[y])))
-            if out:
+            if out := [(int(rep[x]), int(rep[y])) for x, y in forest.stars()]:
                 yield _edge_batch(out)
 
     return dealt.mapInArrow(run, _EDGES)
@@ -239,21 +244,25 @@ def deduplicate(documents: DataFrame) -> DataFrame:
         """Nodes of two documents or more, with their sizes."""
         return nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
 
-    roots = staged(_roots(reps), "roots")
+    used = [roots := staged(_roots(reps), "roots")]
     nodes = staged(roots.join(met(roots), "node").join(reps.select("rep", "n", "sig"), "rep"), "nodes-0")
+    used.append(nodes)
     leaves = nodes.where(F.col("m") <= LIMIT)
     for depth in range(1, DEPTH + 1):
         large = nodes.where(F.col("m") > LIMIT)
         if depth == DEPTH or large.isEmpty():
             leaves = leaves.unionByName(large)
             break
-        nodes = staged(_branched(large).distinct(), f"branches-{depth}")
+        used.append(nodes := staged(_branched(large).distinct(), f"branches-{depth}"))
         nodes = nodes.join(met(nodes), "node")
         leaves = leaves.unionByName(nodes.where(F.col("m") <= LIMIT))
     clusters = components(_candidate_edges(leaves.select("node", "rep", "n", "sig")))
     clusters = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     clustered = staged(reps.select("rep", "n", "sig").join(clusters, "rep"), "clusters")
-    parts = components(_confirmed_edges(clustered, docs))
+    discard(*used)
+    full = staged(_cluster_sets(clustered, docs), "cluster-sets")
+    parts = components(_confirmed_edges(full))
+    discard(full, clustered)
     classes = reps.select("same", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("same", F.coalesce("component", "rep").alias("component"))
     out = sketches.withColumn("same", F.when(F.col("doc_id").isNotNull(), F.col("same"))).select("doc_id", "n", "same").join(classes, "same", "left")

@@ -156,7 +156,7 @@ def read_store(files: DataFrame, folder: str) -> DataFrame:
     order = Window.orderBy("part", "file")  # a row for each file
     starts = files.withColumn("base", F.sum("n_ids").over(order) - F.col("n_ids")).select("name", "base")
     raw = files.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.eft").load(folder)
-    raw = raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(F.broadcast(starts), "name")
+    raw = raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(starts, "name")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

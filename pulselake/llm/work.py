@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,15 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that is unset, as in tests on one machine, a temporary folder serves."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="pulselake-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..sources.shared import shared_folder
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -28,7 +18,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables from which nothing will be read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -80,6 +80,10 @@ class Forest:
         self.up[max(i, j)] = min(i, j)
         return True
 
+    def stars(self) -> list[tuple[int, int]]:
+        """Each tree as edges from its least member to every other one."""
+        return [(r, i) for i in range(len(self.up)) if (r := self.root(i)) != i]
+
 
 def tiled(members: DataFrame, group: list[str], member: Column, tile: int) -> DataFrame:
     """Deals each group into tile pairs ``(tile_a, tile_b)``, ``tile_a <= tile_b``, so that every
@@ -118,7 +122,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b")
         small = small.select(F.col("m").alias("a"), F.col("b").alias("b")).union(small.select("m", "a"))
-        edges = staged(small.where("a <> b").distinct(), "small-star")
+        last, edges = edges, staged(small.where("a <> b").distinct(), "small-star")
+        discard(last, large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         if now == before:
             break
