@@ -1,14 +1,15 @@
 """S-first bags of K segments, for all settings in one plan.
 
-A bag is ``(config_id, record_id, upsample_index)``.  Instead of filling bags step by step, each
-segment gets a stage and an order within it, and one ranking per bag keeps the first K:
+A bag is ``(config_id, record_id, upsample_index)``.  A record's segments meet once, as an array
+of its own (a day has 8640), and each setting makes its bag from that array:
 
     0  S segments (in hash order if there are K or more, else by index)
     1  other segments within the radius of an S segment, in hash order
     2  what the fill policy adds; 3 for score-led fills the rest by index
-    4  draws with replacement from the policy's pool, joined on their position in it
+    4  draws with replacement from the policy's pool
 
-Every order and draw comes from the bag's stable seed, so bags are the same on every run.
+All of it is one shuffle by record, however many settings there are.  Every order and draw comes
+from the bag's stable seed, so bags are the same on every run.
 """
 
 from __future__ import annotations
@@ -61,84 +62,79 @@ def sample_bags(flags: DataFrame, configs: DataFrame, scores: DataFrame | None =
     ``configs`` has ``config_id, k, radius, fill``; ``scores`` the output of
     :func:`best_scores`; ``upsample`` has ``record_id, upsample_index``.  Records with fewer than
     ``least_s`` S segments go before the grid multiplies anything."""
-    record = Window.partitionBy("record_id")
-    d = flags.withColumn("n_s", F.count_if("is_s").over(record)).withColumn("n_all", F.count(F.lit(1)).over(record))
-    d = d.where(F.col("n_s") >= least_s)
-    by_index = record.orderBy("seg_index")
-    s_index = F.when(F.col("is_s"), F.col("seg_index"))
-    before = F.last(s_index, ignorenulls=True).over(by_index.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(s_index, ignorenulls=True).over(by_index.rowsBetween(0, Window.unboundedFollowing))
-    gap = F.least(F.col("seg_index") - before, after - F.col("seg_index"))  # to the nearest S
-    d = d.withColumn("gap", gap)
+    d = _record_arrays(flags).where(F.size(F.filter("segs", lambda x: x["is_s"])) >= least_s)
     if scores is not None:
-        d = d.join(scores.select("record_id", "seg_index", "score_rank"), ["record_id", "seg_index"], "left")
+        ranks = scores.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("seg_index", "score_rank"))).alias("ranks"))
+        d = d.join(ranks, "record_id", "left")
     else:
-        d = d.withColumn("score_rank", F.lit(None).cast("int"))
+        d = d.withColumn("ranks", F.lit(None).cast("map<int,int>"))
     d = d.join(upsample, "record_id") if upsample is not None else d.withColumn("upsample_index", F.lit(0))
     grid = configs.select("config_id", "k", "radius", fill_policy(F.col("fill")).alias("fill"))
     d = d.crossJoin(F.broadcast(grid))  # a few dozen settings
     seed = stable_seed(F.lit(BASE_SEED), F.lit(SEGMENT_SEED), F.col("record_id"), F.lit(method), F.col("radius"), F.col("k"), F.col("fill"), F.col("upsample_index"))
-    d = d.withColumn("seed", seed).withColumn("near", ~F.col("is_s") & (F.col("gap") <= F.col("radius")))
-    bag = Window.partitionBy(*BAG)
-    d = d.withColumn("n_near", F.count_if("near").over(bag)).withColumn("n_ext", F.count("score_rank").over(bag))
-    d = d.withColumn("need", F.greatest(F.lit(0), F.col("k") - F.col("n_s") - F.col("n_near")))
-    led = F.col("fill").isin("slike", "slike_random")
-    external = F.col("score_rank").isNotNull()
-    stage = (
-        F.when(F.col("is_s"), 0)
-        .when(F.col("n_s") >= F.col("k"), None)
-        .when(F.col("near"), 1)
-        .when(F.col("fill") == "normal", 2)
-        .when(F.col("fill") == "half", 3)
-        .when(led & external, 2)
-        .when(led, 3)
-    )
-    d = d.withColumn("stage", stage)
-    mixed = lambda tag: hash_order(F.col("seed"), tag, F.col("seg_index"))
-    index = F.lpad(F.col("seg_index").cast("string"), 12, "0")
-    order = (
-        F.when(F.col("stage") == 0, F.when(F.col("n_s") >= F.col("k"), mixed("s")).otherwise(index))
-        .when(F.col("stage") == 1, mixed("n"))
-        .when((F.col("stage") == 2) & (F.col("fill") == "slike"), F.lpad(F.col("score_rank").cast("string"), 12, "0"))
-        .when((F.col("stage") == 2) | (F.col("fill") == "half"), mixed("f"))
-        .otherwise(index)
-    )
-    d = d.withColumn("ord", order)
-    ranked = d.where("stage is not null").withColumn("nth", F.row_number().over(Window.partitionBy(*BAG, "stage").orderBy("ord")))
-    # of the `half` fill only floor(need / 2) segments come without replacement
-    picked = ranked.where((F.col("fill") != "half") | (F.col("stage") != 3) | (F.col("nth") <= F.floor(F.col("need") / 2)))
-    picked = picked.select(*BAG, "k", "stage", "ord", "seg_index")
-    chosen = picked.unionByName(_draws(d))
-    place = Window.partitionBy(*BAG).orderBy("stage", "ord", "seg_index")
-    return chosen.withColumn("bag_pos", F.row_number().over(place)).where(F.col("bag_pos") <= F.col("k")).select(*BAG, "bag_pos", "seg_index", "stage")
-
-
-def _draws(d: DataFrame) -> DataFrame:
-    """Draws with replacement of the bags that need them, as ranked rows."""
-    n_n = F.col("n_all") - F.col("n_s")
-    rest_n = n_n - F.col("n_near")
-    half_n = F.floor(F.col("need") / 2)
-    short = F.greatest(F.lit(0), F.col("k") - F.col("n_all"))  # when every segment is in
-    plan = F.when(F.col("fill") == "duplicate", F.array(F.struct(F.lit(2).alias("stage"), F.lit("S").alias("pool"), F.col("need").cast("long").alias("times"))))
-    plan = plan.when(
-        F.col("fill") == "half",
-        F.array(
-            F.struct(F.lit(2).alias("stage"), F.lit("S").alias("pool"), F.ceil(F.col("need") / 2).cast("long").alias("times")),
-            F.struct(F.lit(4).alias("stage"), F.when(n_n > 0, "N").otherwise("A").alias("pool"), F.greatest(F.lit(0), half_n - rest_n).cast("long").alias("times")),
-        ),
-    )
-    pool = F.when(F.col("fill") == "normal", F.when(n_n > 0, "N").otherwise("A")).otherwise(F.when(F.col("n_ext") > 0, "E").otherwise("A"))
-    plan = plan.otherwise(F.array(F.struct(F.lit(4).alias("stage"), pool.alias("pool"), short.cast("long").alias("times"))))
-    bags = d.where((F.col("n_s") < F.col("k")) & (F.col("need") > 0)).groupBy(*BAG, "k", "seed").agg(F.first(plan).alias("plan"), F.max("n_all").alias("n_all"), F.max("n_s").alias("n_s"), F.max("n_ext").alias("n_ext"))
-    bags = bags.withColumn("p", F.explode("plan")).where("p.times > 0")
-    size = F.when(F.col("p.pool") == "S", F.col("n_s")).when(F.col("p.pool") == "N", F.col("n_all") - F.col("n_s")).when(F.col("p.pool") == "E", F.col("n_ext")).otherwise(F.col("n_all"))
-    draws = bags.withColumn("size", size).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("p.times").cast("int"))))
-    draws = draws.select(*BAG, "k", F.col("p.stage").alias("stage"), F.col("p.pool").alias("pool"), "j", F.pmod(hash32(F.col("seed"), F.lit("d"), F.col("p.stage"), F.col("j")), F.col("size")).alias("pos"))
-    pools = F.array(F.when(F.col("is_s"), F.lit("S")).otherwise(F.lit("N")), F.lit("A"), F.when(F.col("score_rank").isNotNull(), F.lit("E")))
-    wanted = draws.select(*BAG, "pool").distinct()
-    members = d.select(*BAG, "seg_index", F.explode(F.array_compact(pools)).alias("pool")).join(wanted, [*BAG, "pool"], "left_semi")
-    members = members.withColumn("pos", F.row_number().over(Window.partitionBy(*BAG, "pool").orderBy("seg_index")) - 1)
-    return draws.join(members, [*BAG, "pool", "pos"]).select(*BAG, "k", "stage", F.lpad(F.col("j").cast("string"), 12, "0").alias("ord"), "seg_index")
+    d = d.withColumn("seed", seed)
+    index = lambda rows: F.transform(rows, lambda x: x["seg_index"])
+    d = d.withColumn("s", index(F.filter("segs", lambda x: x["is_s"]))).withColumn("near", index(F.filter("segs", lambda x: ~x["is_s"] & (x["gap"] <= F.col("radius")))))
+    d = d.withColumn("rest", index(F.filter("segs", lambda x: ~x["is_s"] & (x["gap"] > F.col("radius")))))
+    need = F.greatest(F.lit(0), F.col("k") - F.size("s") - F.size("near"))
+    d = d.withColumn("need", need).withColumn("bag", F.slice(_bag(), 1, F.col("k")))
+    d = d.select(*BAG, F.posexplode("bag").alias("pos", "x"))
+    return d.select(*BAG, (F.col("pos") + 1).alias("bag_pos"), F.col("x.seg_index").alias("seg_index"), F.col("x.stage").alias("stage"))
+
+
+def _record_arrays(flags: DataFrame) -> DataFrame:
+    """``record_id, segs``: each record's segments in order, with the gap to the nearest S."""
+    by_index = Window.partitionBy("record_id").orderBy("seg_index")
+    s_index = F.when(F.col("is_s"), F.col("seg_index"))
+    before = F.last(s_index, ignorenulls=True).over(by_index.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(s_index, ignorenulls=True).over(by_index.rowsBetween(0, Window.unboundedFollowing))
+    d = flags.withColumn("gap", F.least(F.col("seg_index") - before, after - F.col("seg_index")))
+    return d.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("seg_index", "is_s", "gap"))).alias("segs"))
+
+
+def _mixed(tag: str, rows: Column) -> Column:
+    """Segment indices in the bag's hash order."""
+    keyed = F.transform(rows, lambda i: F.struct(hash_order(F.col("seed"), tag, i).alias("h"), i.alias("i")))
+    return F.transform(F.array_sort(keyed), lambda x: x["i"])
+
+
+def _staged(stage: int, rows: Column) -> Column:
+    return F.transform(rows, lambda i: F.struct(i.alias("seg_index"), F.lit(stage).alias("stage")))
+
+
+def _drawn(stage: int, pool: Column, times: Column) -> Column:
+    """So many draws with replacement from the pool."""
+    draw = lambda j: F.element_at(pool, (F.pmod(hash32(F.col("seed"), F.lit("d"), F.lit(stage), j), F.size(pool)) + 1).cast("int"))
+    none = F.array().cast("array<int>")
+    return _staged(stage, F.when((times > 0) & (F.size(pool) > 0), F.transform(F.sequence(F.lit(1), times.cast("int")), draw)).otherwise(none))
+
+
+def _bag() -> Column:
+    """The bag, or more than it, as an array of segments with their stages."""
+    s, near, rest, need, k = F.col("s"), F.col("near"), F.col("rest"), F.col("need"), F.col("k")
+    every = F.transform("segs", lambda x: x["seg_index"])
+    others = F.transform(F.filter("segs", lambda x: ~x["is_s"]), lambda x: x["seg_index"])
+    or_all = lambda pool: F.when(F.size(pool) > 0, pool).otherwise(every)
+    short = F.greatest(F.lit(0), k - F.size("segs"))  # when every segment is in
+    rank = lambda i: F.try_element_at(F.col("ranks"), i)
+    scored = F.filter(rest, lambda i: rank(i).isNotNull())
+    by_rank = F.transform(F.array_sort(F.transform(scored, lambda i: F.struct(rank(i).alias("r"), i.alias("i")))), lambda x: x["i"])
+    unscored = F.filter(rest, lambda i: rank(i).isNull())
+    external = F.filter(every, lambda i: rank(i).isNotNull())
+    first = F.concat(_staged(0, s), _staged(1, _mixed("n", near)))
+    half = F.floor(need / 2).cast("int")
+    tail = F.concat(_staged(3, unscored), _drawn(4, or_all(external), short))
+    fills = {
+        "normal": F.concat(_staged(2, _mixed("f", rest)), _drawn(4, or_all(others), short)),
+        "duplicate": _drawn(2, s, need),
+        "half": F.concat(_drawn(2, s, need - half), _staged(3, F.slice(_mixed("f", rest), 1, half)), _drawn(4, or_all(others), half - F.size(rest))),
+        "slike": F.concat(_staged(2, by_rank), tail),
+        "slike_random": F.concat(_staged(2, _mixed("f", scored)), tail),
+    }
+    added = F.when(need == 0, F.array().cast("array<struct<seg_index:int,stage:int>>"))
+    for name, rows in fills.items():
+        added = added.when(F.col("fill") == name, rows)
+    return F.when(F.size(s) >= k, _staged(0, _mixed("s", s))).otherwise(F.concat(first, added))
 
 
 def bag_sequences(bags: DataFrame) -> DataFrame:
