@@ -87,7 +87,10 @@ def bucket_shape(n: int, threshold: float) -> tuple[int, int]:
 
 
 def _units(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    x = np.stack([np.asarray(v, dtype=np.float64) for v in column.to_numpy(zero_copy_only=False)]) if isinstance(column, pa.Array) else np.stack([np.asarray(v, dtype=np.float64) for v in column.to_numpy()])
+    """Vectors of one length as rows of length 1."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 

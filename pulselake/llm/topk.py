@@ -41,7 +41,6 @@ def whole_vectors(vectors: DataFrame) -> DataFrame:
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
     values, ends = flat.flatten().to_numpy(), flat.value_lengths().to_numpy()
     if len(set(ends.tolist())) == 1:
         return values.reshape(len(ends), -1)
