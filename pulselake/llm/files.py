@@ -1,4 +1,4 @@
-"""Whole binary files in the shared folder, written from tasks and read by Spark."""
+"""Whole binary files in the shared folder, written and read by tasks."""
 
 from __future__ import annotations
 
@@ -11,6 +11,12 @@ def _at(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def open_file(uri: str):
+    """A file that can be read from any place on."""
+    store, path = _at(uri)
+    return store.open_input_file(path)
+
+
 def write_file(uri: str, parts: list[bytes]) -> int:
     """Writes under a name of this attempt, then moves: a retried task leaves one whole file."""
     store, path = _at(uri)

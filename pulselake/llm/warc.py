@@ -33,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import write_file
+from .files import open_file, write_file
 from .work import groups_of, parallelism, shared_folder, staged
 
 START = datetime(2024, 1, 1, tzinfo=UTC)
-#: An archive is closed when it holds so many bytes; captures of a merged range, about; keys that
-#: are sampled for the cuts between ranges.
-ARCHIVE_BYTES, RANGE_CAPTURES, SAMPLED_KEYS = 32_000_000, 20_000, 4_000
+#: An archive is closed when it holds so many bytes; captures of a merged range, about; the most
+#: ranges, and the keys that are sampled for each, which bounds what the driver receives.
+ARCHIVE_BYTES, RANGE_CAPTURES, MOST_RANGES, KEYS_A_RANGE = 32_000_000, 20_000, 4_096, 32
 SALTS = 32
 _URI = "urn:page:"
 
@@ -162,10 +162,9 @@ def _digests(pages: DataFrame) -> DataFrame:
 def _cuts(captures: DataFrame) -> list[tuple[str, str, int]]:
     """Where the key ranges end: evenly among a bounded sample of keys."""
     n = captures.count()
-    ranges = min(SAMPLED_KEYS // 8, -(-n // RANGE_CAPTURES), 8 * parallelism(captures.sparkSession))
-    ranges = max(ranges, min(n, parallelism(captures.sparkSession)))
+    ranges = max(min(n, parallelism(captures.sparkSession)), min(MOST_RANGES, -(-n // RANGE_CAPTURES)))
     page = F.coalesce("page_id", F.lit(-1)).alias("page")
-    sample = captures.select("key", "ts", page).orderBy(F.xxhash64("key", "page", F.lit(3))).limit(SAMPLED_KEYS).collect()
+    sample = captures.select("key", "ts", page).orderBy(F.xxhash64("key", "page", F.lit(3))).limit(KEYS_A_RANGE * ranges).collect()
     keys = sorted((r.key, r.ts, r.page) for r in sample)
     return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
 
@@ -224,24 +223,20 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 
 def read_captures(index: DataFrame, folder: str) -> DataFrame:
     """Every record that the index leads to, read from its archive."""
-    raw = index.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    raw = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    by_file = index.groupBy("file").agg(F.collect_list(F.struct("at", "size", "range", "place", "key", "ts")).alias("captures"))  # one archive's, bounded
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time", "history_range", "history_place"]
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content, captures in zip(batch.column(0), batch.column(1), strict=True):
-                data = memoryview(content.as_buffer())
-                rows = []
-                for c in captures.as_py():
-                    rows.append((*read_record(bytes(data[c["at"] : c["at"] + c["size"]])), c["key"], c["ts"], c["range"], c["place"]))
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64())
-                names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time", "history_range", "history_place"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    return raw.join(by_file, "file").select("content", "captures").mapInArrow(
-        run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, capture_time string, history_range int, history_place long"
-    )
+        for g in groups_of(batches, ["file"]):  # one archive's captures
+            rows = []
+            with open_file(f"{folder}/{g['file'][0].as_py()}") as archive:
+                for at, size, *place in zip(*(g[c].to_pylist() for c in ("at", "size", "key", "ts", "range", "place")), strict=True):
+                    archive.seek(at)
+                    rows.append((*read_record(archive.read(size)), *place))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    dealt = index.repartition(parallelism(index.sparkSession), "file").sortWithinPartitions("file", "at")
+    return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, capture_time string, history_range int, history_place long")
 
 
 def archive_pages(table: DataFrame, least_bytes: int = 0) -> DataFrame:
