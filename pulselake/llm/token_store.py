@@ -28,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .files import write_file
+from .files import open_file, write_file
 from .tokens import encoder
 from .work import parallelism, shared_folder, staged
 
 MAGIC = b"EFT1"
 SAMPLE = 256
 #: A file is closed when it holds so many ids.
-FILE_IDS = 4_000_000
+FILE_IDS = 16_000_000
 
 
 class EliasFano:
@@ -155,13 +155,13 @@ def read_store(files: DataFrame, folder: str) -> DataFrame:
     ``files`` tells their order."""
     order = Window.orderBy("part", "file")  # a row for each file
     starts = files.withColumn("base", F.sum("n_ids").over(order) - F.col("n_ids")).select("name", "base")
-    raw = files.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.eft").load(folder)
-    raw = raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(starts, "name")
+    starts = starts.repartition(parallelism(files.sparkSession), "name")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content, base in zip(*(batch.column(i) for i in range(3)), strict=True):
-                doc_ids, bounds, ids = read_file(content.as_py())
+            for name, base in zip(batch.column(0), batch.column(1), strict=True):
+                with open_file(f"{folder}/{name.as_py()}") as file:
+                    doc_ids, bounds, ids = read_file(file.read())
                 ends = bounds.all().astype(np.int64)
                 starts = np.concatenate(([0], ends[:-1]))
                 wide = memoryview(ids.astype("<u4").tobytes())
@@ -171,7 +171,7 @@ def read_store(files: DataFrame, folder: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "file"],
                 )
 
-    return raw.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
+    return starts.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
 def store_round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
