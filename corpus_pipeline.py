@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pulselake.llm import langid, minhash_dedup, mixing, packing
 from pulselake.llm.work import staged
 
+#: Near copies share so many hundredths of their word shingles.
+NEAR = 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told go."""
@@ -16,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return minhash_dedup.distinct_documents(docs)
+    return minhash_dedup.distinct_documents(docs, NEAR)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

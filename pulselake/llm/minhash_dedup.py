@@ -1,16 +1,17 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document is the set of its 5-word shingles.  In each of TREES independent trees it is put
-into the node of its minwise token under that tree's hash; nodes of more than LIMIT documents
-branch again, by BRANCHES more minwise tokens chosen for that node, down to DEPTH.  Small nodes
+A document is the set of its 5-word shingles; two are linked from a share of ``percent`` on.  In
+each of several independent trees it is put into the node of its minwise token under that tree's
+hash; nodes of more than LIMIT documents branch again, by more minwise tokens chosen for that
+node, down to DEPTH.  Small nodes
 are compared exhaustively, by sketches of SKETCH minwise tokens, and what may be a link joins
 documents into candidate clusters.  Within a cluster every pair of documents that the sketches
 do not rule out, and that is not connected yet, is confirmed on the full sets.
 
-Recall: a pair of similarity s misses a tree's root node with probability 1 - s, all TREES of
-them with (1 - s) ** TREES, 1e-5 at 0.85; a branching loses (1 - s) ** BRANCHES, 2 % of that
-tree's pairs, which leaves 5e-5 after two.  A sketch rules out a pair of 0.85 with probability
-1e-4 or less.
+Recall: a pair of similarity s misses a tree's root node with probability 1 - s, and a branching
+by b tokens loses (1 - s) ** b of that tree's pairs.  ``search`` takes the numbers of trees and of
+tokens, and the cut of the sketches, from the threshold: a pair that is just a link meets in no
+root with probability MISS at most, is lost by a branching with LOST, ruled out with RULED_OUT.
 
 Documents with equal sets are one representative from the start, so groups of copies are never
 expanded; large nodes and clusters are dealt into tile pairs.
@@ -23,7 +24,9 @@ alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +37,14 @@ from pyspark.sql import functions as F
 from .work import Forest, components, discard, groups_of, staged, tiled
 
 WORDS = 5
-#: Links: 100 * intersection >= PERCENT * union.
+#: Links: 100 * intersection >= percent * union; op5's percent.
 PERCENT = 85
-TREES, DEPTH, BRANCHES, LIMIT = 6, 3, 2, 512
-#: Tokens of a sketch, and the share of equal ones below which a pair is ruled out.
-SKETCH, RULED_OUT = 128, 0.71
+#: Largest probabilities that a pair at the threshold meets in no tree, that a branching loses it,
+#: and that the sketches rule it out.
+MISS, LOST, RULED_OUT = 1.2e-5, 0.023, 2e-5
+DEPTH, LIMIT = 3, 512
+#: Tokens of a sketch.
+SKETCH = 128
 TILE = 1024
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -47,6 +53,26 @@ _WEIGHTS = _RNG.integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.u
 _MULTIPLIERS = _RNG.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
+class Search(NamedTuple):
+    """What follows from the threshold; ``least`` is the number of equal tokens of a possible pair."""
+
+    percent: int
+    trees: int
+    branches: int
+    least: int
+
+
+def search(percent: int) -> Search:
+    if not 20 <= percent <= 100:
+        raise ValueError("percent must be from 20 to 100")
+    s = min(percent, 99) / 100
+    needed = [math.ceil(math.log(p) / math.log(1 - s)) for p in (MISS, LOST)]
+    least, below = 0, 0.0
+    while (below := below + math.comb(SKETCH, least) * s**least * (1 - s) ** (SKETCH - least)) <= RULED_OUT:
+        least += 1
+    return Search(percent, *needed, least)
+
+
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
@@ -108,23 +134,23 @@ def _mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _roots(reps: DataFrame) -> DataFrame:
+def _roots(reps: DataFrame, trees: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = _sigs(batch.column(1))
-            for t in range(TREES):
+            for t in range(trees):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_mixed(sig[:, t], t + 1).view(np.int64))], names=["rep", "node"])
 
     return reps.select("rep", "sig").mapInArrow(run, "rep long, node long")
 
 
-def _branched(nodes: DataFrame) -> DataFrame:
-    """Each document goes to BRANCHES children of its node, by tokens that the node chooses."""
+def _branched(nodes: DataFrame, branches: int) -> DataFrame:
+    """Each document goes to so many children of its node, by tokens that the node chooses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, sig = batch.column(1).to_numpy().view(np.uint64), _sigs(batch.column(3))
-            for j in range(BRANCHES):
+            for j in range(branches):
                 chosen = (_mixed(node, 77 + j) % np.uint64(SKETCH)).astype(np.int64)
                 child = _mixed(sig[np.arange(len(node)), chosen], _mixed(node, 7 + j))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(child.view(np.int64)), batch.column(2), batch.column(3)], names=["rep", "node", "n", "sig"])
@@ -132,25 +158,25 @@ def _branched(nodes: DataFrame) -> DataFrame:
     return nodes.select("rep", "node", "n", "sig").mapInArrow(run, "rep long, node long, n long, sig binary")
 
 
-def _possible(sig: np.ndarray, n: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Shares of equal tokens of rows x cols; -1 where the sizes or the share rule the pair out."""
-    share = (sig[rows, None] == sig[None, cols]).sum(axis=2, dtype=np.int16) / np.float32(SKETCH)
+def _possible(sig: np.ndarray, n: np.ndarray, rows: np.ndarray, cols: np.ndarray, how: Search) -> np.ndarray:
+    """Numbers of equal tokens of rows x cols; -1 where the sizes or the number rule the pair out."""
+    equal = (sig[rows, None] == sig[None, cols]).sum(axis=2, dtype=np.int16)
     a, b = n[rows, None], n[None, cols]
-    out = (share < RULED_OUT) | (100 * np.minimum(a, b) < PERCENT * np.maximum(a, b))
-    share[out] = -1
-    return share
+    out = (equal < how.least) | (100 * np.minimum(a, b) < how.percent * np.maximum(a, b))
+    equal[out] = -1
+    return equal
 
 
-def _pairs(sig: np.ndarray, n: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(sig: np.ndarray, n: np.ndarray, own: np.ndarray, how: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Possible pairs of a tile pair, most alike first."""
     two = own.min() != own.max()
     left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
     found = []
     for a in range(0, len(left), 16):
         rows = left[a : a + 16]
-        share = _possible(sig, n, rows, right)
-        i, j = np.nonzero(share >= 0)
-        s, i, j = share[i, j], rows[i], right[j]
+        equal = _possible(sig, n, rows, right, how)
+        i, j = np.nonzero(equal >= 0)
+        s, i, j = equal[i, j], rows[i], right[j]
         ok = slice(None) if two else i < j
         found.append((s[ok], i[ok], j[ok]))
     s, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -166,7 +192,7 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _candidate_edges(leaves: DataFrame) -> DataFrame:
+def _candidate_edges(leaves: DataFrame, how: Search) -> DataFrame:
     """Each node's groups that possible links connect, as stars."""
     dealt = tiled(leaves, ["node"], F.col("rep"), LIMIT)
     dealt = dealt.repartition("node", "tile_a", "tile_b").sortWithinPartitions("node", "tile_a", "tile_b", "rep")
@@ -178,7 +204,7 @@ def _candidate_edges(leaves: DataFrame) -> DataFrame:
             if len(own) < 2 or (g["tile_a"][0].as_py() != g["tile_b"][0].as_py() and own.min() == own.max()):
                 continue
             rep, forest = g["rep"].to_numpy(), Forest(len(own))
-            _, i, j = _pairs(_sigs(g["sig"]), g["n"].to_numpy(), own)
+            _, i, j = _pairs(_sigs(g["sig"]), g["n"].to_numpy(), own, how)
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 forest.join(x, y)
             out += [(int(rep[x]), int(rep[y])) for x, y in forest.stars()]
@@ -191,10 +217,10 @@ def _candidate_edges(leaves: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _EDGES)
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = np.sort(np.concatenate((a, b)), kind="stable")
     common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= PERCENT * (len(both) - common)
+    return 100 * common >= percent * (len(both) - common)
 
 
 def _cluster_sets(clustered: DataFrame, docs: DataFrame) -> DataFrame:
@@ -209,7 +235,7 @@ def _cluster_sets(clustered: DataFrame, docs: DataFrame) -> DataFrame:
     return full.mapInArrow(sets, "rep long, cluster long, n long, sig binary, words binary").dropDuplicates(["rep"])
 
 
-def _confirmed_edges(full: DataFrame) -> DataFrame:
+def _confirmed_edges(full: DataFrame, how: Search) -> DataFrame:
     """The groups that links connect within each candidate cluster, as stars; a link counts once
     it is confirmed on the full sets."""
     dealt = tiled(full, ["cluster"], F.col("rep"), TILE)
@@ -223,9 +249,9 @@ def _confirmed_edges(full: DataFrame) -> DataFrame:
                 continue
             rep, forest = g["rep"].to_numpy(), Forest(len(own))
             words = [np.frombuffer(w.as_buffer(), dtype=np.uint64) for w in g["words"]]
-            _, i, j = _pairs(_sigs(g["sig"]), g["n"].to_numpy(), own)
+            _, i, j = _pairs(_sigs(g["sig"]), g["n"].to_numpy(), own, how)
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                if forest.root(x) != forest.root(y) and alike(words[x], words[y]):
+                if forest.root(x) != forest.root(y) and alike(words[x], words[y], how.percent):
                     forest.join(x, y)
             if out := [(int(rep[x]), int(rep[y])) for x, y in forest.stars()]:
                 yield _edge_batch(out)
@@ -233,8 +259,9 @@ def _confirmed_edges(full: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _EDGES)
 
 
-def deduplicate(documents: DataFrame) -> DataFrame:
+def deduplicate(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: one row for each document."""
+    how = search(percent)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = staged(_sketched(docs), "sketches")
     known = sketches.where("n > 0 and doc_id is not null")
@@ -244,7 +271,7 @@ def deduplicate(documents: DataFrame) -> DataFrame:
         """Nodes of two documents or more, with their sizes."""
         return nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
 
-    used = [roots := staged(_roots(reps), "roots")]
+    used = [roots := staged(_roots(reps, how.trees), "roots")]
     nodes = staged(roots.join(met(roots), "node").join(reps.select("rep", "n", "sig"), "rep"), "nodes-0")
     used.append(nodes)
     leaves = nodes.where(F.col("m") <= LIMIT)
@@ -253,15 +280,15 @@ def deduplicate(documents: DataFrame) -> DataFrame:
         if depth == DEPTH or large.isEmpty():
             leaves = leaves.unionByName(large)
             break
-        used.append(nodes := staged(_branched(large).distinct(), f"branches-{depth}"))
+        used.append(nodes := staged(_branched(large, how.branches).distinct(), f"branches-{depth}"))
         nodes = nodes.join(met(nodes), "node")
         leaves = leaves.unionByName(nodes.where(F.col("m") <= LIMIT))
-    clusters = components(_candidate_edges(leaves.select("node", "rep", "n", "sig")))
+    clusters = components(_candidate_edges(leaves.select("node", "rep", "n", "sig"), how))
     clusters = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     clustered = staged(reps.select("rep", "n", "sig").join(clusters, "rep"), "clusters")
     discard(*used)
     full = staged(_cluster_sets(clustered, docs), "cluster-sets")
-    parts = components(_confirmed_edges(full))
+    parts = components(_confirmed_edges(full, how))
     discard(full, clustered)
     classes = reps.select("same", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("same", F.coalesce("component", "rep").alias("component"))
@@ -270,7 +297,7 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def distinct_documents(docs: DataFrame) -> DataFrame:
+def distinct_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group, with its own columns."""
-    gone = deduplicate(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    gone = deduplicate(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
