@@ -2,9 +2,10 @@
 
 Templates are word sequences with mandatory key phrases; their words' postings tell template and
 position.  A first pass counts in how many documents each template word occurs, over the whole
-corpus.  Then each document looks up its licence words from the rarest on, intersects their
-postings by relative position (document position less template position), and where enough of a
-template's words agree on one alignment, verifies that its key phrases stand there in full.
+corpus.  A document that holds the rarest of a template's key-phrase words, which every match
+does, intersects the postings of its licence words by relative position (document position less
+template position), and where enough of the template's words agree on one alignment, verifies
+that its key phrases stand there in full.
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII.  The base
 phrases are counted at every place where their words stand consecutively.
@@ -38,9 +39,8 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
     ("proprietary", "all rights reserved", ("all rights reserved",)),
 )
-#: An alignment is looked at if this share of the template's words agrees on it; each template's
-#: rarest words so many lead to it.
-AGREE, LEADS = 0.4, 3
+#: An alignment is looked at if this share of the template's words agrees on it.
+AGREE = 0.4
 
 #: Bytes that are no part of words become spaces; A-Z become a-z.
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -73,9 +73,8 @@ class Index:
                 self.postings.setdefault(w, []).append((t, p))
         self.idf = {w: math.log((n_docs + 1) / (counts.get(w.decode(), 0) + 1)) for w in self.postings}
         self.leads: dict[bytes, list[int]] = {}
-        for t, (_, words, _) in enumerate(self.templates):
-            for w in sorted(set(words), key=lambda w: (-self.idf[w], w))[:LEADS]:
-                self.leads.setdefault(w, []).append(t)
+        for t, (_, _, keys) in enumerate(self.templates):
+            self.leads.setdefault(max((w for k in keys for w in k), key=lambda w: (self.idf[w], w)), []).append(t)
         self.base = [(p.encode().split(), label) for p, label in BASE.items()]
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
@@ -89,7 +88,7 @@ class Index:
                 base.add(label)
         labels, score = set(base), 1.0 if base else 0.0
         present = self.postings.keys() & set(words)
-        wanted = {t for w in sorted(present & self.leads.keys(), key=lambda w: -self.idf[w]) for t in self.leads[w]}
+        wanted = {t for w in present & self.leads.keys() for t in self.leads[w]}
         if wanted:
             votes: Counter = Counter()
             weight: dict = {}
