@@ -41,8 +41,8 @@ WORDS = 5
 PERCENT = 85
 #: Largest probabilities that a pair at the threshold meets in no tree, that a branching loses it,
 #: and that the sketches rule it out.
-MISS, LOST, RULED_OUT = 1.2e-5, 0.023, 2e-5
-DEPTH, LIMIT = 3, 512
+MISS, LOST, RULED_OUT = 3e-7, 0.0034, 2e-5
+DEPTH, LIMIT = 4, 512
 #: Tokens of a sketch.
 SKETCH = 128
 TILE = 1024

@@ -53,3 +53,10 @@ def test_search_follows_the_threshold():
     assert minhash_dedup.search(80).least < minhash_dedup.search(85).least
     with pytest.raises(ValueError):
         minhash_dedup.search(0)
+
+
+def test_recall_at_the_threshold_of_op5():
+    """No tree is left out: at 0.85 eight trees, branches by three tokens, four levels."""
+    how = minhash_dedup.search(minhash_dedup.PERCENT)
+    assert (how.trees, how.branches, minhash_dedup.DEPTH) == (8, 3, 4) and how.least <= 0.71 * minhash_dedup.SKETCH + 1
+    assert 0.15**how.trees < 3e-7 and 0.15**how.branches < 0.0034
