@@ -8,7 +8,8 @@ template position), and where enough of the template's words agree on one alignm
 that its key phrases stand there in full.
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII.  The base
-phrases are counted at every place where their words stand consecutively.
+phrases are templates of which every word must agree: the aligned postings of each one's rarest
+word give the places, counted wherever the words stand consecutively.
 
 Defined cases: a null or empty text has no words, places or labels, and score 0; repeated rows
 are scanned each; an empty table gives an empty result.
@@ -50,20 +51,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_CLEAN).split()
 
 
-def _places(words: list[bytes], joined: bytes, phrase: list[bytes]) -> list[int]:
-    """Word positions at which the phrase begins."""
-    whole = b" " + b" ".join(phrase) + b" "
-    at, found, counted, word = joined.find(whole), [], 0, 0
-    while at >= 0:
-        word += joined.count(b" ", counted, at)
-        counted = at
-        found.append(word)
-        at = joined.find(whole, at + 1)
-    return found
-
-
 class Index:
-    """Postings of the templates' words, and their weights of rarity in a corpus."""
+    """Postings of the templates' and base phrases' words, and their weights of rarity in a corpus."""
 
     def __init__(self, counts: dict[str, int], n_docs: int):
         self.templates = [(label, t.encode().split(), [k.encode().split() for k in keys]) for label, t, keys in TEMPLATES]
@@ -71,23 +60,32 @@ class Index:
         for t, (_, words, _) in enumerate(self.templates):
             for p, w in enumerate(words):
                 self.postings.setdefault(w, []).append((t, p))
-        self.idf = {w: math.log((n_docs + 1) / (counts.get(w.decode(), 0) + 1)) for w in self.postings}
+        base = [(p.encode().split(), label) for p, label in BASE.items()]
+        known = self.postings.keys() | {w for phrase, _ in base for w in phrase}
+        self.idf = {w: math.log((n_docs + 1) / (counts.get(w.decode(), 0) + 1)) for w in known}
         self.leads: dict[bytes, list[int]] = {}
         for t, (_, _, keys) in enumerate(self.templates):
             self.leads.setdefault(max((w for k in keys for w in k), key=lambda w: (self.idf[w], w)), []).append(t)
-        self.base = [(p.encode().split(), label) for p, label in BASE.items()]
+        #: By each base phrase's rarest word: the phrase, where in it the word stands, its label.
+        self.base: dict[bytes, list[tuple[list[bytes], int, str]]] = {}
+        for phrase, label in base:
+            rarest = max(phrase, key=lambda w: (self.idf[w], w))
+            self.base.setdefault(rarest, []).append((phrase, phrase.index(rarest), label))
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
         words = words_of(text)
-        joined = b" " + b" ".join(words) + b" "
+        held = set(words)
         at: list[int] = []
         base = set()
-        for phrase, label in self.base:
-            if found := _places(words, joined, phrase):
-                at += found
-                base.add(label)
+        if leads := self.base.keys() & held:
+            for i, w in enumerate(words):
+                if w in leads:
+                    for phrase, p, label in self.base[w]:
+                        if i >= p and words[i - p : i - p + len(phrase)] == phrase:
+                            at.append(i - p)
+                            base.add(label)
         labels, score = set(base), 1.0 if base else 0.0
-        present = self.postings.keys() & set(words)
+        present = self.postings.keys() & held
         wanted = {t for w in present & self.leads.keys() for t in self.leads[w]}
         if wanted:
             votes: Counter = Counter()
@@ -117,7 +115,7 @@ class Index:
 
 def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
     """In how many documents each template word occurs; at most as many rows as such words."""
-    known = frozenset(w.encode() for _, t, _ in TEMPLATES for w in t.split())
+    known = frozenset(w.encode() for t in (*BASE, *(t for _, t, _ in TEMPLATES)) for w in t.split())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()

@@ -49,3 +49,15 @@ def test_labels_do_not_hang_on_the_counts():
         for _, t, _ in TEMPLATES:
             assert index.scan(t)[5] == full_labels(t)
         assert index.scan("gnu general public license version 3")[5] == "gpl,gpl-3.0"
+
+
+def test_base_phrases_are_found_by_the_index(monkeypatch):
+    """Each is led to by its rarest word, whichever that is, also where the word repeats."""
+    monkeypatch.setattr(license_scan, "BASE", BASE | {"x y x": "twice"})
+    text = "x y x y x cc by cc by general public license public rights reserved all rights reserved by"
+    words = text.split()
+    want = sorted(i for p in license_scan.BASE for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
+    for common in ("x", "y", "cc", "by", "general", "public", "license", "all", "rights", "reserved"):
+        index = license_scan.Index({common: 9}, 10)
+        assert common not in index.base and len([b for found in index.base.values() for b in found]) == len(license_scan.BASE)
+        assert index.scan(text)[1:5] == (len(want), want[0], want[-1], "cc-by,gpl,reserved,twice")
