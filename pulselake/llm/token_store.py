@@ -113,6 +113,11 @@ def read_file(raw: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     return doc_ids + [None] * nulls, EliasFano.from_bytes(view[:a]), np.frombuffer(raw, f"<u{width}", n_ids, 68 + a + b)
 
 
+def bounds_of(ends: EliasFano, i: int) -> tuple[int, int]:
+    """Where the ids of a file's i-th document begin and end."""
+    return ends.select(i - 1) if i else 0, ends.select(i)
+
+
 def write_store(docs: DataFrame, vocabulary: str, folder: str, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the files in ascending doc_id order; returns ``name, part, file, n_ids``."""
 
@@ -162,8 +167,7 @@ def read_store(files: DataFrame, folder: str) -> DataFrame:
             for name, base in zip(batch.column(0), batch.column(1), strict=True):
                 with open_file(f"{folder}/{name.as_py()}") as file:
                     doc_ids, bounds, ids = read_file(file.read())
-                ends = bounds.all().astype(np.int64)
-                starts = np.concatenate(([0], ends[:-1]))
+                starts, ends = np.array([bounds_of(bounds, i) for i in range(len(doc_ids))], dtype=np.int64).reshape(-1, 2).T
                 wide = memoryview(ids.astype("<u4").tobytes())
                 crcs = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
