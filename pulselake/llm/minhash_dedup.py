@@ -2,24 +2,27 @@
 
 A document is the set of its 5-word shingles; two are linked from a share of ``percent`` on.  In
 each of several independent trees it is put into the node of its minwise token under that tree's
-hash; nodes of more than LIMIT documents branch again, by more minwise tokens chosen for that
-node, down to DEPTH.  Small nodes
-are compared exhaustively, by sketches of SKETCH minwise tokens, and what may be a link joins
-documents into candidate clusters.  Within a cluster every pair of documents that the sketches
-do not rule out, and that is not connected yet, is confirmed on the full sets.
+hash.  Small nodes are compared exhaustively by sketches of SKETCH minwise tokens, large ones in
+lots; a forest of each lot's likeliest links is confirmed pair by pair on the full sets.  What is
+connected then is never compared again: of a node that is still open, only documents of different
+components are.  Where those pairs are many the node branches into children, each by a path of
+PATH more minwise tokens chosen for it, down to DEPTH; in the leaves, what may be a link joins documents into candidate clusters, and
+within a cluster every pair across components that the sketches do not rule out is confirmed on
+the full sets.
 
 Recall: a pair of similarity s misses a tree's root node with probability 1 - s, and a branching
-by b tokens loses (1 - s) ** b of that tree's pairs.  ``search`` takes the numbers of trees and of
-tokens, and the cut of the sketches, from the threshold: a pair that is just a link meets in no
+into b children loses (1 - s ** PATH) ** b of that tree's pairs.  ``search`` takes the numbers of
+trees and children, and the cut of the sketches, from the threshold: a pair that is just a link meets in no
 root with probability MISS at most, is lost by a branching with LOST, ruled out with RULED_OUT.
 
-Documents with equal sets are one representative from the start, so groups of copies are never
-expanded; large nodes and clusters are dealt into tile pairs.
+Documents with equal sets are one class from the start, so groups of copies are never expanded;
+nodes, clusters and stars of any size are dealt over tasks.
 
 Defined cases: words are runs of other than white space, A-Z lower-cased; fewer than five words
 are one shingle; a null text or one without words is empty, linked with nothing and kept; a
 null doc_id is linked with nothing and kept; repeated rows share their component and are kept
-alike; an empty table gives an empty result.
+alike; rows of one doc_id with different texts are documents of their own; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import Forest, components, discard, groups_of, staged, tiled
+from .work import Forest, components, discard, groups_of, labelled, lookup, lookup_left, staged, tiled_by_class, with_groups
 
 WORDS = 5
 #: Links: 100 * intersection >= percent * union; op5's percent.
@@ -42,10 +45,13 @@ PERCENT = 85
 #: Largest probabilities that a pair at the threshold meets in no tree, that a branching loses it,
 #: and that the sketches rule it out.
 MISS, LOST, RULED_OUT = 3e-7, 0.0034, 2e-5
-DEPTH, LIMIT = 4, 512
+#: Tokens of a child's path.  Nodes branch so many times at most; a node is small if no more than LIMIT * LIMIT pairs are to
+#: be compared in it.
+PATH, DEPTH, LIMIT = 4, 4, 512
 #: Tokens of a sketch.
 SKETCH = 128
-TILE = 1024
+#: Documents of a tile of full sets, and the bytes of their sets, which are far below a task's memory.
+TILE, TILE_BYTES = 1024, 64_000_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _RNG = np.random.default_rng(2024)
@@ -66,7 +72,7 @@ def search(percent: int) -> Search:
     if not 20 <= percent <= 100:
         raise ValueError("percent must be from 20 to 100")
     s = min(percent, 99) / 100
-    needed = [math.ceil(math.log(p) / math.log(1 - s)) for p in (MISS, LOST)]
+    needed = [math.ceil(math.log(p) / math.log(1 - meet)) for p, meet in ((MISS, s), (LOST, s**PATH))]
     least, below = 0, 0.0
     while (below := below + math.comb(SKETCH, least) * s**least * (1 - s) ** (SKETCH - least)) <= RULED_OUT:
         least += 1
@@ -108,6 +114,10 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.minimum.reduce(parts)
 
 
+def _digest(hashes: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +126,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 for t in part.column(1):
                     s = shingles(t.as_py())
                     n.append(len(s))
-                    same.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    same.append(_digest(s))
                     sigs.append(sketch(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "same", "sig"])
 
@@ -139,23 +149,25 @@ def _roots(reps: DataFrame, trees: int) -> DataFrame:
         for batch in batches:
             sig = _sigs(batch.column(1))
             for t in range(trees):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_mixed(sig[:, t], t + 1).view(np.int64))], names=["rep", "node"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_mixed(sig[:, t], t + 1).view(np.int64))], names=["no", "node"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "rep long, node long")
+    return reps.select("no", "sig").mapInArrow(run, "no long, node long")
 
 
 def _branched(nodes: DataFrame, branches: int) -> DataFrame:
-    """Each document goes to so many children of its node, by tokens that the node chooses."""
+    """Each document goes to so many children of its node, each by PATH tokens that the node chooses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, sig = batch.column(1).to_numpy().view(np.uint64), _sigs(batch.column(3))
             for j in range(branches):
-                chosen = (_mixed(node, 77 + j) % np.uint64(SKETCH)).astype(np.int64)
-                child = _mixed(sig[np.arange(len(node)), chosen], _mixed(node, 7 + j))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(child.view(np.int64)), batch.column(2), batch.column(3)], names=["rep", "node", "n", "sig"])
+                child = _mixed(node, 7 + j)
+                for k in range(PATH):
+                    chosen = (_mixed(node, 77 + j * PATH + k) % np.uint64(SKETCH)).astype(np.int64)
+                    child = _mixed(sig[np.arange(len(node)), chosen], child)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(child.view(np.int64)), *batch.columns[2:]], names=["no", "node", "n", "sig", "component"])
 
-    return nodes.select("rep", "node", "n", "sig").mapInArrow(run, "rep long, node long, n long, sig binary")
+    return nodes.select("no", "node", "n", "sig", "component").mapInArrow(run, "no long, node long, n long, sig binary, component long")
 
 
 def _possible(sig: np.ndarray, n: np.ndarray, rows: np.ndarray, cols: np.ndarray, how: Search) -> np.ndarray:
@@ -167,54 +179,95 @@ def _possible(sig: np.ndarray, n: np.ndarray, rows: np.ndarray, cols: np.ndarray
     return equal
 
 
-def _pairs(sig: np.ndarray, n: np.ndarray, own: np.ndarray, how: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Possible pairs of a tile pair, most alike first."""
+def _pairs(sig: np.ndarray, n: np.ndarray, own: np.ndarray, how: Search, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Possible pairs of a tile pair, most alike first; only of different numbers in ``apart``."""
     two = own.min() != own.max()
     left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
     found = []
     for a in range(0, len(left), 16):
         rows = left[a : a + 16]
         equal = _possible(sig, n, rows, right, how)
+        if apart is not None:
+            equal[apart[rows, None] == apart[None, right]] = -1
         i, j = np.nonzero(equal >= 0)
         s, i, j = equal[i, j], rows[i], right[j]
         ok = slice(None) if two else i < j
         found.append((s[ok], i[ok], j[ok]))
     s, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(-s, kind="stable")
-    return s[order], i[order], j[order]
+    return i[order], j[order]
+
+
+def _batch(rows: list[tuple[int, ...]], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=list(names))
+
+
+def _likeliest(nodes: DataFrame, how: Search) -> DataFrame:
+    """``node, a, b``: a forest of the likeliest links of each node, dealt into lots of LIMIT
+    documents or so; each tree deals a large node's documents anew."""
+    lots = F.ceil(F.col("m") / F.lit(LIMIT))
+    dealt = nodes.select("node", F.pmod(F.xxhash64("node", "no"), lots).cast("int").alias("lot"), "no", "n", "sig")
+    dealt = dealt.repartition("node", "lot").sortWithinPartitions("node", "lot", "no")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, ...]] = []
+        for g in groups_of(batches, ["node", "lot"]):
+            no, node, forest = g["no"].to_numpy(), g["node"][0].as_py(), Forest(g.num_rows)
+            i, j = _pairs(_sigs(g["sig"]), g["n"].to_numpy(), np.zeros(len(no)), how)
+            out += [(node, int(no[x]), int(no[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.join(x, y)]
+            if len(out) > 10_000:
+                yield _batch(out, "node", "a", "b")
+                out = []
+        if out:
+            yield _batch(out, "node", "a", "b")
+
+    return dealt.mapInArrow(run, "node long, a long, b long")
+
+
+def _sets(wanted: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """``no, words``: the full sets of the classes ``wanted`` (``no``), from one document of each."""
+    full = reps.select("no", "rep", "same").join(wanted, "no").join(docs, F.col("rep") == F.col("doc_id")).select("no", "same", "text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
+                found = [shingles(t.as_py()) for t in part.column(2)]
+                right = [i for i, (s, same) in enumerate(zip(found, part.column(1).to_pylist(), strict=True)) if _digest(s) == same]
+                words = [pa.array(found[i].view(np.int64)) for i in right]
+                ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
+                values = pa.concat_arrays(words) if words else pa.array([], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(right, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), values)], names=["no", "words"])
 
-_EDGES = "a long, b long"
+    return full.mapInArrow(run, "no long, words array<long>").dropDuplicates(["no"])
 
 
-def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*edges, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _judged(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b, linked`` of distinct pairs, on the full sets."""
+    d = lookup(pairs, sets.select(F.col("no").alias("a"), F.col("words").alias("words_a")), ["a"], F.col("b"))
+    d = lookup(d, sets.select(F.col("no").alias("b"), F.col("words").alias("words_b")), ["b"], F.col("a"))
+    common = F.size(F.array_intersect("words_a", "words_b"))
+    union = F.size("words_a") + F.size("words_b") - common
+    return d.select("a", "b", (100 * common.cast("long") >= percent * union.cast("long")).alias("linked"))
 
 
-def _candidate_edges(leaves: DataFrame, how: Search) -> DataFrame:
-    """Each node's groups that possible links connect, as stars."""
-    dealt = tiled(leaves, ["node"], F.col("rep"), LIMIT)
-    dealt = dealt.repartition("node", "tile_a", "tile_b").sortWithinPartitions("node", "tile_a", "tile_b", "rep")
+def _candidates(leaves: DataFrame, how: Search) -> DataFrame:
+    """``a, b``: stars around the documents of a leaf that may be linked beyond their component."""
+    dealt = tiled_by_class(leaves, ["node"], F.col("no"), LIMIT)
+    dealt = dealt.repartition("node", "tile_a", "tile_b").sortWithinPartitions("node", "tile_a", "tile_b", "no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
         for g in groups_of(batches, ["node", "tile_a", "tile_b"]):
             own = g["tile_own"].to_numpy()
             if len(own) < 2 or (g["tile_a"][0].as_py() != g["tile_b"][0].as_py() and own.min() == own.max()):
                 continue
-            rep, forest = g["rep"].to_numpy(), Forest(len(own))
-            _, i, j = _pairs(_sigs(g["sig"]), g["n"].to_numpy(), own, how)
+            no, forest = g["no"].to_numpy(), Forest(len(own))
+            i, j = _pairs(_sigs(g["sig"]), g["n"].to_numpy(), own, how, g["component"].to_numpy())
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 forest.join(x, y)
-            out += [(int(rep[x]), int(rep[y])) for x, y in forest.stars()]
-            if len(out) > 10_000:
-                yield _edge_batch(out)
-                out = []
-        if out:
-            yield _edge_batch(out)
+            if out := [(int(no[x]), int(no[y])) for x, y in forest.stars()]:
+                yield _batch(out, "a", "b")
 
-    return dealt.mapInArrow(run, _EDGES)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -223,40 +276,77 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
-def _cluster_sets(clustered: DataFrame, docs: DataFrame) -> DataFrame:
-    """The full sets of the documents in candidate clusters."""
-    full = clustered.join(docs.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "cluster", "n", "sig", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t.as_py()).tobytes() for t in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(found, pa.large_binary()).cast(pa.binary())], names=["rep", "cluster", "n", "sig", "words"])
-
-    return full.mapInArrow(sets, "rep long, cluster long, n long, sig binary, words binary").dropDuplicates(["rep"])
-
-
-def _confirmed_edges(full: DataFrame, how: Search) -> DataFrame:
-    """The groups that links connect within each candidate cluster, as stars; a link counts once
-    it is confirmed on the full sets."""
-    dealt = tiled(full, ["cluster"], F.col("rep"), TILE)
+def _confirmed(full: DataFrame, how: Search) -> DataFrame:
+    """``a, b``: links between the components of each candidate cluster, as stars; a link counts
+    once it is confirmed on the full sets."""
+    dealt = tiled_by_class(full, ["cluster"], F.col("no"), TILE, 8 * F.col("n"), TILE_BYTES)
     keys = ["cluster", "tile_a", "tile_b"]
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "rep")
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches, keys):
             own = g["tile_own"].to_numpy()
             if len(own) < 2 or (g["tile_a"][0].as_py() != g["tile_b"][0].as_py() and own.min() == own.max()):
                 continue
-            rep, forest = g["rep"].to_numpy(), Forest(len(own))
-            words = [np.frombuffer(w.as_buffer(), dtype=np.uint64) for w in g["words"]]
-            _, i, j = _pairs(_sigs(g["sig"]), g["n"].to_numpy(), own, how)
+            no, forest, component = g["no"].to_numpy(), Forest(len(own)), g["component"].to_numpy()
+            first: dict[int, int] = {}
+            for k, c in enumerate(component.tolist()):
+                forest.join(first.setdefault(c, k), k)
+            words = [w.values.to_numpy() for w in g["words"]]
+            i, j = _pairs(_sigs(g["sig"]), g["n"].to_numpy(), own, how, component)
+            out = []
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 if forest.root(x) != forest.root(y) and alike(words[x], words[y], how.percent):
                     forest.join(x, y)
-            if out := [(int(rep[x]), int(rep[y])) for x, y in forest.stars()]:
-                yield _edge_batch(out)
-
-    return dealt.mapInArrow(run, _EDGES)
+                    out.append((int(no[x]), int(no[y])))
+            if out:
+                yield _batch(out, "a", "b")
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _links(reps: DataFrame, docs: DataFrame, how: Search) -> DataFrame:
+    """``a, b``: links between the numbers of classes that connect all that is to be connected."""
+    roots = staged(_roots(reps, how.trees), "roots")
+    met = with_groups(roots, ["node"], F.col("no"), [F.count(F.lit(1)).alias("m")], "m > 1")
+    nodes = staged(met.join(reps.select("no", "n", "sig"), "no"), "nodes")
+    discard(roots)
+
+    likely = staged(_likeliest(nodes, how), "likeliest")
+    pairs = likely.select("a", "b").distinct()
+    sets = staged(_sets(pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct(), reps, docs), "sets")
+    judged = staged(_judged(pairs, sets, how.percent), "judged")
+    parts = components(judged.where("linked").select("a", "b"))
+
+    # what is left: nodes too large to be compared at once, and small ones of which a likely link
+    # proved false; of each, the pairs beyond a component
+    doubtful = likely.join(judged.where("not linked"), ["a", "b"]).select("node").distinct()
+    left = nodes.where(F.col("m") > LIMIT).unionByName(nodes.where(F.col("m") <= LIMIT).join(doubtful, "node", "left_semi"))
+    known = left.drop("m").join(parts.withColumnRenamed("node", "no"), "no", "left")
+    level = staged(known.withColumn("component", F.coalesce("component", "no")), "level-0")
+    used, leaves = [level], []
+    for depth in range(DEPTH + 1):
+        sizes = level.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("node")
+        sizes = sizes.agg(F.sum("c").alias("m"), (F.sum("c") - F.max("c")).alias("few")).where("few > 0")
+        level = staged(lookup(level, sizes, ["node"], F.col("no")), f"open-{depth}")
+        used.append(level)
+        large = F.col("few") * F.col("m") > LIMIT * LIMIT
+        leaves.append(level if depth == DEPTH else level.where(~large))
+        if depth == DEPTH or level.where(large).isEmpty():
+            break
+        used.append(level := staged(_branched(level.where(large), how.branches).distinct(), f"branches-{depth}"))
+    columns = ["node", "no", "n", "sig", "component"]
+    open_leaves = leaves[0].select(*columns)
+    for more in leaves[1:]:
+        open_leaves = open_leaves.unionByName(more.select(*columns))
+    clusters = components(_candidates(open_leaves, how)).select(F.col("node").alias("no"), F.col("component").alias("cluster"))
+    more_sets = _sets(clusters.select("no"), reps, docs)
+    full = reps.select("no", "n", "sig").join(clusters, "no").join(more_sets, "no")
+    full = staged(full.join(parts.withColumnRenamed("node", "no"), "no", "left").withColumn("component", F.coalesce("component", "no")), "cluster-sets")
+    stars = parts.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    confirmed = staged(stars.unionByName(_confirmed(full, how)), "links")
+    discard(nodes, likely, sets, judged, parts, full, *used)
+    return confirmed
 
 
 def deduplicate(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -265,36 +355,16 @@ def deduplicate(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = staged(_sketched(docs), "sketches")
     known = sketches.where("n > 0 and doc_id is not null")
-    reps = staged(known.groupBy("same").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig")), "set-classes")
-
-    def met(nodes: DataFrame) -> DataFrame:
-        """Nodes of two documents or more, with their sizes."""
-        return nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-
-    used = [roots := staged(_roots(reps, how.trees), "roots")]
-    nodes = staged(roots.join(met(roots), "node").join(reps.select("rep", "n", "sig"), "rep"), "nodes-0")
-    used.append(nodes)
-    leaves = nodes.where(F.col("m") <= LIMIT)
-    for depth in range(1, DEPTH + 1):
-        large = nodes.where(F.col("m") > LIMIT)
-        if depth == DEPTH or large.isEmpty():
-            leaves = leaves.unionByName(large)
-            break
-        used.append(nodes := staged(_branched(large, how.branches).distinct(), f"branches-{depth}"))
-        nodes = nodes.join(met(nodes), "node")
-        leaves = leaves.unionByName(nodes.where(F.col("m") <= LIMIT))
-    clusters = components(_candidate_edges(leaves.select("node", "rep", "n", "sig"), how))
-    clusters = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    clustered = staged(reps.select("rep", "n", "sig").join(clusters, "rep"), "clusters")
-    discard(*used)
-    full = staged(_cluster_sets(clustered, docs), "cluster-sets")
-    parts = components(_confirmed_edges(full, how))
-    discard(full, clustered)
-    classes = reps.select("same", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("same", F.coalesce("component", "rep").alias("component"))
-    out = sketches.withColumn("same", F.when(F.col("doc_id").isNotNull(), F.col("same"))).select("doc_id", "n", "same").join(classes, "same", "left")
+    classes = known.groupBy("same").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
+    reps = staged(classes.withColumn("no", F.monotonically_increasing_id()), "set-classes")
+    links = _links(reps, docs, how)
+    found = labelled(reps.select("no", "rep", "same"), links)
+    out = sketches.withColumn("same", F.when(F.col("doc_id").isNotNull(), F.col("same"))).select("doc_id", "n", "same")
+    out = lookup_left(out, found.select("same", "component"), ["same"], F.col("doc_id"))
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    result = staged(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "documents-linked")
+    discard(sketches, reps, links, found)
+    return result
 
 
 def distinct_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

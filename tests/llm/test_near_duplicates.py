@@ -49,14 +49,14 @@ def test_thresholds(spark, percent, monkeypatch):
 def test_search_follows_the_threshold():
     for percent in (60, 80, 85, 95):
         how, s = minhash_dedup.search(percent), percent / 100
-        assert (1 - s) ** how.trees <= minhash_dedup.MISS and (1 - s) ** how.branches <= minhash_dedup.LOST
+        assert (1 - s) ** how.trees <= minhash_dedup.MISS and (1 - s**minhash_dedup.PATH) ** how.branches <= minhash_dedup.LOST
     assert minhash_dedup.search(80).least < minhash_dedup.search(85).least
     with pytest.raises(ValueError):
         minhash_dedup.search(0)
 
 
 def test_recall_at_the_threshold_of_op5():
-    """No tree is left out: at 0.85 eight trees, branches by three tokens, four levels."""
+    """No tree is left out: at 0.85 eight trees, and no branching loses more than three single tokens would."""
     how = minhash_dedup.search(minhash_dedup.PERCENT)
-    assert (how.trees, how.branches, minhash_dedup.DEPTH) == (8, 3, 4) and how.least <= 0.71 * minhash_dedup.SKETCH + 1
-    assert 0.15**how.trees < 3e-7 and 0.15**how.branches < 0.0034
+    assert (how.trees, how.branches, minhash_dedup.PATH, minhash_dedup.DEPTH) == (8, 8, 4, 4) and how.least <= 0.71 * minhash_dedup.SKETCH + 1
+    assert 0.15**how.trees < 3e-7 and (1 - 0.85**minhash_dedup.PATH) ** how.branches < 0.0034
