@@ -62,14 +62,24 @@ def test_tiles_of_large_buckets(spark, vectors, monkeypatch):
 
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(0)
-    c = embedding_dedup.Coder(64, 10, 20)
+    c = embedding_dedup.Coder(64, 10, 20, 0.98)
     x = rng.normal(size=(400, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    signs, factor, turned = c.code(x)
-    est, true = signs @ turned.T / factor[:, None], x @ x.T
-    off = ~np.eye(400, dtype=bool)
-    assert abs((est - true)[off].mean()) < 0.005
-    assert (c.upper(c.code(x), c.code(x)) >= true - 1e-6)[off].mean() > 0.9999
+    r, true = c.records(x), x @ x.T
+    i, j = np.nonzero(~np.eye(400, dtype=bool))
+    assert abs((c.estimate(r[i], r[j]) - true[i, j]).mean()) < 0.005
+    y = x + rng.normal(size=x.shape) * 0.024
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    near = (x * y).sum(axis=1) >= 0.98
+    assert 50 < near.sum() < 350
+    assert (c.upper(r[near], c.records(y)[near]) >= 0.98).all()
+    assert np.bitwise_count(r["code"] ^ c.records(y)["code"])[near].max() <= c.most < 24
+
+
+def test_labels_of_text_keep_their_commas(spark):
+    rows = [(0, [2.0, 1.0], "1"), (1, [1.0], "1,2.0"), (2, [4.0, 2.0], "1"), (3, [2.0, 1.0], "1,2.0"), (3, [1.0, 2.0], "1")]
+    got = embedding_dedup.deduplicate(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 1, 0), (1, 0, 1), (2, 1, 0), (3, 0, 3), (3, 0, 3)]
 
 
 def brute_top(rows, k=20):
