@@ -1,15 +1,16 @@
 """Licence scans by a positional rare-token index.
 
-Templates are word sequences with mandatory key phrases; their words' postings tell template and
-position.  A first pass counts in how many documents each template word occurs, over the whole
-corpus.  A document that holds the rarest of a template's key-phrase words, which every match
-does, intersects the postings of its licence words by relative position (document position less
-template position), and where enough of the template's words agree on one alignment, verifies
-that its key phrases stand there in full.
+Templates are licences and notices as word sequences, with mandatory key phrases.  A first pass
+counts in how many documents each licence word occurs, over the whole corpus.  Of each file the
+licence words are looked up, the rarest first; a template is a candidate if the file holds all
+of its key words, whichever led to it.  The postings of the word that led to it give, by relative
+position, the places at which the template may stand; there all its key phrases are verified, each
+within a slack that grows with its distance from the first one.  Where they stand the file has the
+label, whatever other files hold; the score is the share, by rarity in the corpus, of the
+template's words that are in their places, 1 with a base phrase.
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII.  The base
-phrases are templates of which every word must agree: the aligned postings of each one's rarest
-word give the places, counted wherever the words stand consecutively.
+phrases are found the same way, by each one's rarest word, wherever its words stand consecutively.
 
 Defined cases: a null or empty text has no words, places or labels, and score 0; repeated rows
 are scanned each; an empty table gives an empty result.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,21 +29,110 @@ from pyspark.sql import functions as F
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Templates of the method: label, words, key phrases that must stand at their place.
+#: Templates of the method: label, words of the licence or notice, and the key
+#: phrases that must stand in every copy, in their order.
 TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
-    ("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge", "copy of this software")),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms", "with or without modification")),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify", "with or without fee is hereby granted")),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
-    ("proprietary", "all rights reserved", ("all rights reserved",)),
-)
-#: An alignment is looked at if this share of the template's words agrees on it.
-AGREE = 0.4
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license", "version 2 0")),
+    (
+        "apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+        CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        ("you may not use this file except in compliance with the license", "without warranties or conditions of any kind"),
+    ),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", ("gnu general public license", "version 3")),
+    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2", ("gnu general public license", "version 2")),
+    (
+        "gpl-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License,
+        or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+        PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+        ("under the terms of the gnu general public license", "version 3 of the license"),
+    ),
+    (
+        "gpl-2.0",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License,
+        or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+        PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+        ("under the terms of the gnu general public license", "version 2 of the license"),
+    ),
+    (
+        "lgpl",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation""",
+        ("gnu lesser general public license",),
+    ),
+    (
+        "agpl-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License""",
+        ("gnu affero general public license",),
+    ),
+    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0", ("cc by nc sa 4 0",)),
+    ("cc-by-nc-nd-4.0", "Licensed under CC BY-NC-ND 4.0", ("cc by nc nd 4 0",)),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
+    ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0", ("cc by nd 4 0",)),
+    ("cc-by-4.0", "Licensed under CC BY 4.0", ("cc by 4 0",)),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution 4 0",)),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal", ("waived all copyright and related or neighboring rights",)),
+    ("mit", "Released under the MIT License", ("mit license",)),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including
+        without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to
+        the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY
+        OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+        LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        ("permission is hereby granted free of charge", "copy of this software"),
+    ),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above
+        copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+        the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+        LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+        ("redistribution and use in source and binary forms", "with or without modification"),
+    ),
+    (
+        "bsd-3-clause",
+        """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+        ("neither the name of", "may be used to endorse or promote products derived from this software"),
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all
+        copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+        ("permission to use copy modify", "with or without fee is hereby granted"),
+    ),
+    (
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to
+        anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions""",
+        ("permission is granted to anyone to use this software for any purpose", "to alter it and redistribute it freely"),
+    ),
+    (
+        "mpl-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+        ("mozilla public license v 2 0",),
+    ),
+    (
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+        compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+        ("free and unencumbered software released into the public domain",),
+    ),
+    (
+        "bsl-1.0",
+        """Boost Software License - Version 1.0 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license""",
+        ("boost software license",),
+    ),
+    ("proprietary", "All rights reserved", ("all rights reserved",)),
+)
+
+
+def slack(distance: int) -> int:
+    """By how many words a word or phrase so far from the first key phrase may be out of place."""
+    return 3 + distance // 8
+
 
 #: Bytes that are no part of words become spaces; A-Z become a-z.
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -51,27 +142,95 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_CLEAN).split()
 
 
+class Template(NamedTuple):
+    label: str
+    words: list[bytes]
+    keys: list[list[bytes]]
+    at: list[int]  # where in the words each key phrase begins
+
+
+def template(label: str, text: str, keys: tuple[str, ...]) -> Template:
+    words, at = words_of(text), []
+    phrases = [k.encode().split() for k in keys]
+    for phrase in phrases:
+        at.append(next(p for p in range(at[-1] if at else 0, len(words)) if words[p : p + len(phrase)] == phrase))
+    return Template(label, words, phrases, at)
+
+
 class Index:
-    """Postings of the templates' and base phrases' words, and their weights of rarity in a corpus."""
+    """Postings of the key phrases' words, and the weights of rarity in a corpus of all words."""
 
     def __init__(self, counts: dict[str, int], n_docs: int):
-        self.templates = [(label, t.encode().split(), [k.encode().split() for k in keys]) for label, t, keys in TEMPLATES]
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        for t, (_, words, _) in enumerate(self.templates):
-            for p, w in enumerate(words):
-                self.postings.setdefault(w, []).append((t, p))
+        self.templates = [template(*t) for t in TEMPLATES]
         base = [(p.encode().split(), label) for p, label in BASE.items()]
-        known = self.postings.keys() | {w for phrase, _ in base for w in phrase}
-        self.idf = {w: math.log((n_docs + 1) / (counts.get(w.decode(), 0) + 1)) for w in known}
-        self.leads: dict[bytes, list[int]] = {}
-        for t, (_, _, keys) in enumerate(self.templates):
-            self.leads.setdefault(max((w for k in keys for w in k), key=lambda w: (self.idf[w], w)), []).append(t)
+        known = {w for t in self.templates for w in t.words} | {w for phrase, _ in base for w in phrase}
+        self.idf = {w: math.log(1 + n_docs / (counts.get(w.decode(), 0) + 1)) for w in known}
+        #: Licence words, the rarest first.
+        self.rank = {w: i for i, w in enumerate(sorted(known, key=lambda w: (-self.idf[w], w)))}
+        #: By key word: the template, the key phrase, and where in the phrase the word stands.
+        self.postings: dict[bytes, list[tuple[int, int, int]]] = {}
+        for t, one in enumerate(self.templates):
+            for k, phrase in enumerate(one.keys):
+                for p, w in enumerate(phrase):
+                    self.postings.setdefault(w, []).append((t, k, p))
+        self.holders = {w: sorted({t for t, _, _ in found}) for w, found in self.postings.items()}
+        #: How many different key words each template has: a file must hold them all.
+        self.needed = [len({w for k in t.keys for w in k}) for t in self.templates]
         #: By each base phrase's rarest word: the phrase, where in it the word stands, its label.
         self.base: dict[bytes, list[tuple[list[bytes], int, str]]] = {}
         for phrase, label in base:
-            rarest = max(phrase, key=lambda w: (self.idf[w], w))
+            rarest = min(phrase, key=self.rank.__getitem__)
             self.base.setdefault(rarest, []).append((phrase, phrase.index(rarest), label))
 
+    def candidates(self, held: set[bytes]) -> dict[int, bytes]:
+        """Templates of which a file holds every key word, each with the first of them that led
+        to it: the file's licence words are looked up in the order of their rarity."""
+        led: dict[int, bytes] = {}
+        found: Counter = Counter()
+        for w in sorted(self.postings.keys() & held, key=self.rank.__getitem__):
+            for t in self.holders[w]:
+                led.setdefault(t, w)
+                found[t] += 1
+        return {t: w for t, w in led.items() if found[t] == self.needed[t]}
+
+    def places(self, words: list[bytes], t: int, rare: bytes) -> set[int]:
+        """Where the template's first key phrase stands with all others in their places.
+
+        The postings of the rare word give the places; what stands there is verified."""
+        one = self.templates[t]
+        first, found = one.keys[0], set()
+        for i, w in enumerate(words):
+            if w != rare:
+                continue
+            for s, k, p in self.postings[rare]:
+                if s != t or i < p or words[i - p : i - p + len(one.keys[k])] != one.keys[k]:
+                    continue
+                far = one.at[k] - one.at[0]
+                reach = slack(far) if k else 0
+                for a in range(max(0, i - p - far - reach), i - p - far + reach + 1):
+                    if a not in found and words[a : a + len(first)] == first and self._stands(words, one, a):
+                        found.add(a)
+        return found
+
+    @staticmethod
+    def _stands(words: list[bytes], one: Template, a: int) -> bool:
+        """The other key phrases stand where they should beside the first one at ``a``."""
+        for key, at in zip(one.keys[1:], one.at[1:], strict=True):
+            there = a + at - one.at[0]
+            reach = slack(at - one.at[0])
+            if not any(words[b : b + len(key)] == key for b in range(max(0, there - reach), there + reach + 1)):
+                return False
+        return True
+
+    def share(self, words: list[bytes], t: int, a: int) -> float:
+        """The share, by rarity, of the template's words that stand in their places."""
+        one, got = self.templates[t], 0.0
+        for p, w in enumerate(one.words):
+            there, reach = a + p - one.at[0], slack(abs(p - one.at[0]))
+            if w in words[max(0, there - reach) : max(0, there + reach + 1)]:
+                got += self.idf[w]
+        return min(1.0, got / sum(self.idf[w] for w in one.words))
+
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
         words = words_of(text)
         held = set(words)
@@ -85,37 +244,16 @@ class Index:
                             at.append(i - p)
                             base.add(label)
         labels, score = set(base), 1.0 if base else 0.0
-        present = self.postings.keys() & held
-        wanted = {t for w in present & self.leads.keys() for t in self.leads[w]}
-        if wanted:
-            votes: Counter = Counter()
-            weight: dict = {}
-            for i, w in enumerate(words):
-                if w in present:
-                    for t, p in self.postings[w]:
-                        if t in wanted:
-                            votes[t, i - p] += 1
-                            weight[t, i - p] = weight.get((t, i - p), 0.0) + self.idf[w]
-            for (t, shift), n in votes.items():
-                label, template, keys = self.templates[t]
-                if n >= AGREE * len(template) and all(self._stands(words, shift, template, k) for k in keys):
-                    labels.add(label)
-                    whole = sum(self.idf[w] for w in template)
-                    score = max(score, min(1.0, weight[t, shift] / whole) if whole > 0 else n / len(template))
+        for t, rare in self.candidates(held).items():
+            for a in self.places(words, t, rare):
+                labels.add(self.templates[t].label)
+                score = max(score, self.share(words, t, a))
         return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
-    @staticmethod
-    def _stands(words: list[bytes], shift: int, template: list[bytes], key: list[bytes]) -> bool:
-        """The key phrase stands in the words where the alignment puts it."""
-        for p in range(len(template) - len(key) + 1):
-            if template[p : p + len(key)] == key:
-                return shift + p >= 0 and words[shift + p : shift + p + len(key)] == key
-        return False
-
 
 def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
     """In how many documents each template word occurs; at most as many rows as such words."""
-    known = frozenset(w.encode() for t in (*BASE, *(t for _, t, _ in TEMPLATES)) for w in t.split())
+    known = frozenset(w for t in (*BASE, *(t for _, t, _ in TEMPLATES)) for w in words_of(t))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()

@@ -1,31 +1,45 @@
-"""Labels of licence scans against a full alignment scan."""
+"""Labels and scores of licence scans against a scan of every place."""
 
+import math
 import random
 
+import pytest
 from pulselake.llm import license_scan
-from pulselake.llm.license_scan import AGREE, BASE, TEMPLATES, scan_licenses, words_of
+from pulselake.llm.license_scan import BASE, TEMPLATES, scan_licenses, slack, words_of
 
 
-def full_labels(text):
-    """Every template is held against every place of the text."""
-    words = [w.decode() for w in words_of(text)]
-    labels = {label for p, label in BASE.items() if f" {p} " in f" {' '.join(words)} "}
-    for label, t, keys in TEMPLATES:
-        t, keys = t.split(), [k.split() for k in keys]
-        at = [next(p for p in range(len(t)) if t[p : p + len(k)] == k) for k in keys]
-        for shift in range(-len(t), len(words)):
-            agree = sum(0 <= shift + p < len(words) and words[shift + p] == w for p, w in enumerate(t))
-            stand = all(shift + p >= 0 and words[shift + p : shift + p + len(k)] == k for p, k in zip(at, keys, strict=True))
-            if agree >= AGREE * len(t) and stand:
-                labels.add(label)
-    return ",".join(sorted(labels))
+def split(text):
+    return [w.decode() for w in words_of(text)]
+
+
+def full_scan(texts):
+    """Every template is held against every place of every text."""
+    files = [split(t) for t in texts]
+    weight = {w: math.log(1 + len(files) / (1 + sum(w in set(f) for f in files))) for t in (*BASE, *(t for _, t, _ in TEMPLATES)) for w in split(t)}
+    found = []
+    for words in files:
+        labels = {label for p, label in BASE.items() if f" {p} " in f" {' '.join(words)} "}
+        score = 1.0 if labels else 0.0
+        for label, t, keys in TEMPLATES:
+            t, keys = split(t), [k.split() for k in keys]
+            at = [" ".join(t).split(" ".join(k))[0].count(" ") for k in keys]
+            for a in range(len(words)):
+                near = lambda k, p: any(words[b : b + len(k)] == k for b in range(max(0, a + p - slack(p)), a + p + slack(p) + 1))  # noqa: B023, E731
+                if words[a : a + len(keys[0])] == keys[0] and all(near(k, p - at[0]) for k, p in zip(keys[1:], at[1:], strict=True)):
+                    labels.add(label)
+                    here = [w for p, w in enumerate(t) if any(0 <= b < len(words) and words[b] == w for b in range(a + p - at[0] - slack(abs(p - at[0])), a + p - at[0] + slack(abs(p - at[0])) + 1))]
+                    score = max(score, sum(weight[w] for w in here) / sum(weight[w] for w in t))
+        found.append((",".join(sorted(labels)), score))
+    return found
 
 
 def check(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.labels for r in scan_licenses(docs).collect()}
-    assert got == {i: full_labels(t) for i, t in enumerate(texts)}
-    return got
+    got = {r.doc_id: (r.labels, r.score) for r in scan_licenses(docs).collect()}
+    want = full_scan(texts)
+    assert {i: label for i, (label, _) in got.items()} == {i: label for i, (label, _) in enumerate(want)}
+    assert all(got[i][1] == pytest.approx(score) for i, (_, score) in enumerate(want))
+    return {i: label for i, (label, _) in got.items()}
 
 
 def test_templates_with_words_that_no_document_holds(spark):
@@ -33,21 +47,33 @@ def test_templates_with_words_that_no_document_holds(spark):
     assert got == {0: "gpl,gpl-3.0", 1: "", 2: "apache-2.0"}
 
 
+def test_key_phrases_alone_give_the_label_whatever_other_files_hold(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    mpl = "Mozilla Public License, v. 2.0"
+    for others in (["nothing"], [bsd] * 5, [mpl, "redistribution forms mozilla"] * 3, ["source code and binary use v 2 0"] * 9):
+        got = check(spark, [bsd, mpl, "Released under the MIT license.", *others])
+        assert (got[0], got[1], got[2]) == ("bsd", "mpl-2.0", "mit")
+
+
 def test_groups_of_copies_and_altered_templates(spark):
     rng, texts = random.Random(5), ["GNU General Public License version 3"] * 40 + ["this work is licensed under the sun"]
     for _, t, keys in TEMPLATES:
         key_words = {w for k in keys for w in k.split()}
         for share in (0.0, 0.5, 1.0):
-            words = [w if w in key_words or rng.random() < share else f"q{rng.randrange(99)}" for w in t.split()]
+            words = [w if w in key_words or rng.random() < share else f"q{rng.randrange(99)}" for w in split(t)]
             texts += [" ".join(words), " ".join(words[1:]), "before it " + " ".join(words) + " and after " + t]
+        moved = split(t)
+        for _ in range(3):
+            moved.insert(rng.randrange(len(moved)), "q")
+        texts.append(" ".join(moved))
     check(spark, texts)
 
 
 def test_labels_do_not_hang_on_the_counts():
-    for counts in ({}, {w: n for n, w in enumerate("gnu general public license version 3 apache 2 0".split(), 1)}):
+    for counts in ({}, {w: n for n, w in enumerate("gnu general public license version 3 apache 2 0".split(), 1)}, {"license": 10, "gnu": 10}):
         index = license_scan.Index(counts, 10)
         for _, t, _ in TEMPLATES:
-            assert index.scan(t)[5] == full_labels(t)
+            assert index.scan(t)[5] == full_scan([t])[0][0]
         assert index.scan("gnu general public license version 3")[5] == "gpl,gpl-3.0"
 
 
