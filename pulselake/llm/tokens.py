@@ -5,10 +5,13 @@ never cross a piece.  The ids of a text are therefore the ids of its pieces, one
 after another, and a piece that was met before need not be encoded again.  Every
 piece is encoded by the ``tokenizers`` library itself; a bounded cache holds its ids
 as little-endian unsigned 32-bit integers, so that a document is one ``bytes.join``.
+A vocabulary with another pre-tokeniser, a normaliser or the like is encoded by the
+library, text by text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -16,9 +19,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: The pre-tokeniser's pattern, written for ``re`` (letters, digits and the
-#: rest, each with one space before it), and the special string of the vocabulary.
+#: rest, each with one space before it), and what a vocabulary file says of it.
 PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"
-SPECIAL = "<|endoftext|>"
+KNOWN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 #: Any other character than these may be a letter, a digit or white space to ``re`` and
 #: something else to the library; a text with one is encoded whole by the library.
@@ -65,6 +68,14 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        self.special = tuple(t["content"] for t in said.get("added_tokens") or ())
+        pre, model = said.get("pre_tokenizer") or {}, said["model"]
+        plain = not any(said.get(k) for k in ("normalizer", "truncation", "padding", "post_processor"))
+        plain &= model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        #: Whether the pieces are those of PATTERN.
+        self.known = plain and bool(pre) and all(pre.get(k, v) == v for k, v in KNOWN.items())
         self._model = self.tokenizer.model
         self._letters = _byte_letters()
         self._split = re.compile(PATTERN).findall
@@ -84,7 +95,7 @@ class PieceEncoder:
         get = self._pieces.__getitem__
         for t in texts:
             t = t or ""
-            if SPECIAL in t or any(map(t.__contains__, _SEPARATORS)) or (not t.isascii() and _UNSURE.search(t)):
+            if not self.known or any(map(t.__contains__, self.special)) or any(map(t.__contains__, _SEPARATORS)) or (not t.isascii() and _UNSURE.search(t)):
                 yield self.whole(t)
             else:
                 yield b"".join(map(get, self._split(t)))

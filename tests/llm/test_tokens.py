@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from hypothesis import given, settings
@@ -14,7 +15,7 @@ from pulselake.llm.tokens import encoder
 SF = "/root/testdata/sf0.001"
 
 BPE = encoder(queries.vocabulary())
-PIECES = st.lists(st.sampled_from(["a", "bc", " ", "  ", "\n", "12", "é", "日本", "<|endoftext|>", ".", "'ll", "x" * 30, "²", "\x1d", "_", "A"]), max_size=60).map("".join)
+PIECES = st.lists(st.sampled_from(["a", "bc", " ", "  ", "\n", "12", "é", "日本", "<|endoftext|>", ".", "'ll", "x" * 30, "²", "\x1d", "_", "A", "\t", "\xa0", "。", "<|end", "oftext|>"]), max_size=60).map("".join)
 
 
 def ids(text):
@@ -30,7 +31,31 @@ def test_pieces_are_the_whole(text):
 @settings(max_examples=200, deadline=None)
 @given(PIECES, st.sampled_from([8, 20, 64]), st.sampled_from([2, 4, 16]))
 def test_resynchronised_counts(text, chunk, overlap):
-    assert token_counts.count_huge(BPE.tokenizer, text, chunk, overlap) == len(ids(text))
+    assert token_counts.count_huge(BPE.tokenizer, text, chunk, overlap, BPE.special) == len(ids(text))
+
+
+def test_unspaced_texts_are_not_encoded_over_and_over():
+    """All that is encoded of a text without white space comes to a few times its length."""
+    rng = np.random.default_rng(3)
+    marked = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 150_000))
+    marked = "。".join(marked[i : i + 37] for i in range(0, len(marked), 37))
+    for text in (marked, "x" * 200_000, "ab12" * 40_000, marked.replace("。", "")):
+        work = []
+
+        class Counting:
+            def encode(self, part, add_special_tokens):
+                work.append(len(part))  # noqa: B023
+                return BPE.tokenizer.encode(part, add_special_tokens=add_special_tokens)
+
+        assert token_counts.count_huge(Counting(), text, special=BPE.special) == len(ids(text))
+        assert sum(work) <= 3 * len(text) + token_counts.CHUNK_CHARS
+
+
+def test_other_vocabularies_are_encoded_by_the_library():
+    other = encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert BPE.known and not other.known
+    for text in ("Hello  World, 123!\n", "", "<|endoftext|> a"):
+        assert next(other.encode([text])) == np.asarray(other.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 @settings(deadline=None)
