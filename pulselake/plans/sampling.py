@@ -40,7 +40,8 @@ scores AS (
   SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, time, seg_index) AS score_rank
   FROM (SELECT record_id, floor(time / 10)::INTEGER AS seg_index, time, score
         FROM raw_scores WHERE score IS NOT NULL AND time >= 0
-        QUALIFY row_number() OVER (PARTITION BY record_id, floor(time / 10) ORDER BY score DESC, time) = 1))"""
+        QUALIFY row_number() OVER (PARTITION BY record_id, floor(time / 10) ORDER BY score DESC, time) = 1)),
+listed AS (SELECT DISTINCT record_id, floor(time / 10)::INTEGER AS seg_index FROM raw_scores WHERE time >= 0)"""
 
 
 @registered(f"WITH {views.EVENTS_SQL} SELECT event_id, user_id AS record_id, floor(us / 3600000000)::INTEGER AS seg_index, (us - floor(us / 3600000000)::BIGINT * 3600000000)::BIGINT AS \"offset\" FROM ev")
@@ -52,13 +53,13 @@ def segment_assignment(spark, sf_dir):
 @registered(
     f"""WITH {views.BEATS_SQL}, len AS (SELECT record_id, max(us) AS n FROM beats GROUP BY 1)
 SELECT record_id, seg_index, count(*)::BIGINT AS n_beats, min(us - seg_index::BIGINT * 3600000000)::BIGINT AS first_offset
-FROM beats JOIN len USING (record_id) WHERE seg_index < least(floor(n / 3600000000), 500) GROUP BY ALL"""
+FROM beats JOIN len USING (record_id) WHERE seg_index < floor(n / 3600000000) GROUP BY ALL"""
 )
 def segment_rebase(spark, sf_dir):
     b = views.beats(spark, sf_dir)
     length = b.groupBy("record_id").agg(F.max("us").alias("n"))
     d = segments.assign_segments(b, views.HOUR_US, "us").join(length, "record_id")
-    d = segments.whole_segments(d, F.col("n"), views.HOUR_US, 500)
+    d = segments.whole_segments(d, F.col("n"), views.HOUR_US)
     return d.groupBy("record_id", "seg_index").agg(F.count(F.lit(1)).alias("n_beats"), F.min("offset").alias("first_offset"))
 
 
@@ -99,15 +100,16 @@ e AS (SELECT * FROM (SELECT *, count(*) FILTER (is_s) OVER (PARTITION BY record_
 g AS (SELECT record_id, seg_index, (SELECT min(abs(s.seg_index - e.seg_index)) FROM flags s WHERE s.record_id = e.record_id AND s.is_s) AS gap FROM e),
 d AS (
   SELECT config_id, record_id, upsample_index, k, fill, seg_index, is_s, n_s, n_all, score_rank,
+         CASE fill WHEN 'slike' THEN score_rank IS NOT NULL WHEN 'slike_random' THEN (record_id, seg_index) IN (SELECT (record_id, seg_index) FROM listed) ELSE false END AS ext,
          NOT is_s AND gap <= radius AS near,
          ('0x' || substr(sha256(concat_ws('||', '2024', '42', record_id::VARCHAR, 's_first', radius::VARCHAR, k::VARCHAR, fill, upsample_index::VARCHAR)), 1, 8))::BIGINT AS seed
   FROM e JOIN g USING (record_id, seg_index) LEFT JOIN scores USING (record_id, seg_index) JOIN ups USING (record_id) CROSS JOIN grid),
 n AS (
   SELECT *, greatest(0, k - n_s - n_near) AS need
-  FROM (SELECT *, count(*) FILTER (near) OVER w AS n_near, count(score_rank) OVER w AS n_ext FROM d WINDOW w AS (PARTITION BY {bag}))),
+  FROM (SELECT *, count(*) FILTER (near) OVER w AS n_near, count(*) FILTER (ext) OVER w AS n_ext FROM d WINDOW w AS (PARTITION BY {bag}))),
 st AS (
   SELECT *, CASE WHEN is_s THEN 0 WHEN n_s >= k THEN NULL WHEN near THEN 1 WHEN fill = 'normal' THEN 2 WHEN fill = 'half' THEN 3
-                 WHEN fill LIKE 'slike%' AND score_rank IS NOT NULL THEN 2 WHEN fill LIKE 'slike%' THEN 3 END AS stage
+                 WHEN ext THEN 2 WHEN fill LIKE 'slike%' THEN 3 END AS stage
   FROM n),
 o AS (
   SELECT *, CASE WHEN stage = 0 AND n_s < k OR stage = 3 AND fill <> 'half' THEN lpad(seg_index::VARCHAR, 12, '0')
@@ -131,7 +133,7 @@ w AS (SELECT *, {h32.format('seed', 'stage', 'j')} % size AS pos FROM j),
 m AS (
   SELECT {bag}, 'A' AS pool, seg_index, row_number() OVER (PARTITION BY {bag} ORDER BY seg_index) - 1 AS pos FROM n
   UNION ALL SELECT {bag}, CASE WHEN is_s THEN 'S' ELSE 'N' END, seg_index, row_number() OVER (PARTITION BY {bag}, is_s ORDER BY seg_index) - 1 FROM n
-  UNION ALL SELECT {bag}, 'E', seg_index, row_number() OVER (PARTITION BY {bag} ORDER BY seg_index) - 1 FROM n WHERE score_rank IS NOT NULL),
+  UNION ALL SELECT {bag}, 'E', seg_index, row_number() OVER (PARTITION BY {bag} ORDER BY seg_index) - 1 FROM n WHERE ext),
 u AS (
   SELECT {bag}, k, stage, ord, seg_index FROM p
   UNION ALL SELECT {bag}, k, stage, lpad(j::VARCHAR, 12, '0'), seg_index FROM w JOIN m USING (config_id, record_id, upsample_index, pool, pos)),
@@ -150,7 +152,7 @@ def _sampler(fill: str):
     rows = [(0, 10, 1, fill), (1, 20, 1, fill), (2, 100, 2, fill)]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        scores = sampling.best_scores(score_rows(spark, sf_dir))
+        scores = sampling.external_segments(score_rows(spark, sf_dir))
         return sampling.sample_bags(flags(spark, sf_dir), _configs(spark, rows), scores)
 
     QUERIES[f"sample_{fill}"] = query
@@ -164,12 +166,12 @@ _GRID = [(0, 20, 1, "normal"), (1, 60, 0, "HALF"), (2, 60, 2, "slike"), (3, 20,
 _GRID_SQL = [(0, 20, 1, "normal"), (1, 60, 0, "half"), (2, 60, 2, "slike"), (3, 20, 0, "normal")]
 
 
-def _grid_bags(spark, sf_dir):
+def _grid(spark, sf_dir):
     """All settings in one plan, positive records three times."""
     f = flags(spark, sf_dir)
     records = f.select("record_id").distinct().withColumn("label", (F.col("record_id") % 3 == 0).cast("int"))
     ups = sampling.upsampled(records, "label", 3).select("record_id", "upsample_index")
-    return sampling.sample_bags(f, _configs(spark, _GRID), sampling.best_scores(score_rows(spark, sf_dir)), ups)
+    return f, _configs(spark, _GRID), sampling.external_segments(score_rows(spark, sf_dir)), ups
 
 
 _UPS_SQL = "SELECT record_id, unnest(CASE WHEN record_id % 3 = 0 THEN [0, 1, 2] ELSE [0] END) AS upsample_index FROM (SELECT DISTINCT record_id FROM flags)"
@@ -177,12 +179,12 @@ _UPS_SQL = "SELECT record_id, unnest(CASE WHEN record_id % 3 = 0 THEN [0, 1, 2]
 
 @registered(sample_sql(_GRID_SQL, _UPS_SQL) + "SELECT config_id, record_id, upsample_index, bag_pos, seg_index, stage FROM bags")
 def sample_grid(spark, sf_dir):
-    return _grid_bags(spark, sf_dir)
+    return sampling.sample_bags(*_grid(spark, sf_dir))
 
 
 @registered(sample_sql(_GRID_SQL, _UPS_SQL) + "SELECT config_id, record_id, upsample_index, string_agg(seg_index::VARCHAR, '|' ORDER BY bag_pos) AS keys FROM bags GROUP BY ALL")
 def bag_sequence(spark, sf_dir):
-    bags = sampling.bag_sequences(_grid_bags(spark, sf_dir))
+    bags = sampling.bag_sequences(sampling.bags(*_grid(spark, sf_dir)))
     keys = F.concat_ws("|", F.transform("selected", lambda x: x.cast("string")))
     return bags.select("config_id", "record_id", "upsample_index", keys.alias("keys")).orderBy("record_id", "keys")
 
@@ -192,7 +194,7 @@ def bag_sequence(spark, sf_dir):
 SELECT count(*)::BIGINT AS n_bags, coalesce(bool_and(n = 20), false) AS valid FROM (SELECT config_id, record_id, upsample_index, count(*) AS n FROM bags GROUP BY ALL)"""
 )
 def cache_validate(spark, sf_dir):
-    bags = sampling.sample_bags(flags(spark, sf_dir), _configs(spark, [(0, 20, 1, "normal")]))
+    bags = sampling.bags(flags(spark, sf_dir), _configs(spark, [(0, 20, 1, "normal")]))
     cache = sampling.bag_sequences(bags).withColumnRenamed("selected", "selected_keys").withColumn("fill", F.lit("normal"))
     return sampling.cache_is_valid(cache, {"fill": "normal", "config_id": 0}, 20)
 

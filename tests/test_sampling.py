@@ -21,7 +21,7 @@ def configs(spark, k, radius, fill):
 
 def bag(spark, spec, k, radius, fill, scores=None, ups=None):
     s = spark.createDataFrame(scores, "record_id string, time string, score string") if scores else None
-    got = sampling.sample_bags(flags(spark, spec), configs(spark, k, radius, fill), sampling.best_scores(s) if s is not None else None, ups).orderBy("record_id", "upsample_index", "bag_pos").collect()
+    got = sampling.sample_bags(flags(spark, spec), configs(spark, k, radius, fill), sampling.external_segments(s) if s is not None else None, ups).orderBy("record_id", "upsample_index", "bag_pos").collect()
     return {key: [r.seg_index for r in g] for key, g in itertools.groupby(got, lambda r: (r.record_id, r.upsample_index))}
 
 
@@ -50,6 +50,28 @@ def test_fills_beyond_the_record(spark):
     assert slike[:9] == [0, 3, 8, 2, 7, 1, 5, 6, 9] and set(slike[9:]) <= {2, 7}
 
 
+def test_external_set_of_the_random_fill_is_from_times_alone(spark):
+    """Scores that are no numbers rank nothing, but their times name segments all the same."""
+    scored = [("r", str(10 * i), "n/a") for i in range(20, 30)] + [("r", "300", "0.5")]
+    spec = {"r": "SS" + "N" * 38}
+    got = bag(spark, spec, 8, 0, "slike_random", scored)["r", 0]
+    assert got[:2] == [0, 1] and set(got[2:]) <= set(range(20, 31)) and len(set(got)) == 8
+    assert bag(spark, spec, 8, 0, "slike", scored)["r", 0] == [0, 1, 30, 2, 3, 4, 5, 6]
+    over = bag(spark, {"r": "SS" + "N" * 3}, 9, 0, "slike_random", [("r", "30", "n/a")])["r", 0]
+    assert over[:5] == [0, 1, 3, 2, 4] and set(over[5:]) == {3}
+
+
+def test_whole_segments_up_to_a_maximum(spark):
+    d = spark.createDataFrame([(i,) for i in range(6)], "seg_index int")
+    kept = lambda most: sorted(r.seg_index for r in segments.whole_segments(d, F.lit(47), 10, most).collect())
+    assert kept(None) == [0, 1, 2, 3] and kept(2) == [0, 1] and kept(9) == [0, 1, 2, 3]
+
+
+def test_config_tags(spark):
+    tag = sampling.config_tag(F.lit("s_first"), F.lit(1), F.lit(20), F.lit("half"), F.lit(42), F.col("id"))
+    assert [r.t for r in spark.range(1, 3).select(tag.alias("t")).collect()] == ["s_first_R1_K20_Fhalf_SS42", "s_first_R1_K20_Fhalf_SS42_UP2"]
+
+
 def test_upsampled_bags_differ(spark):
     ups = sampling.upsampled(spark.createDataFrame([("a", 1), ("many", 0)], "record_id string, label int"), "label", 3).select("record_id", "upsample_index")
     bags = bag(spark, {"a": "SNSNNNNNNNNNNNNNNNNNN", "many": SPEC["many"]}, 8, 0, "normal", ups=ups)
