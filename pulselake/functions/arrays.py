@@ -53,8 +53,3 @@ def transposed(m: Column) -> Column:
 
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
-
-
-def mean_vector(rows: Column) -> Column:
-    """The element-wise mean of an array of arrays."""
-    return F.transform(F.sequence(F.lit(0), F.size(rows[0]) - 1), lambda i: F.aggregate(rows, F.lit(0.0), lambda s, r: s + F.get(r, i)) / F.size(rows))

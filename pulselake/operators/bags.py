@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, pad_or_crop, sigmoid, transposed
+from ..functions.grouped import with_groups
 
 
 def _literal(values: list[float]) -> Column:
@@ -25,20 +26,24 @@ def gated_score(x: Column, a: list[list[float]], a_bias: list[float], b: list[li
     return dot(gate, _literal(v))
 
 
+def _raised(instances: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """``__e``: the exponential of each score less the bag's greatest."""
+    d = with_groups(instances, keys, F.col(score), [F.max(score).alias("__peak")])
+    return d.withColumn("__e", F.exp(F.col(score) - F.col("__peak"))).drop("__peak")
+
+
 def softmax_weights(instances: DataFrame, keys: list[str], score: str) -> DataFrame:
     """``weight``: the softmax of the scores within each bag."""
-    bag = Window.partitionBy(*keys)
-    raised = F.exp(F.col(score) - F.max(score).over(bag))
-    return instances.withColumn("__e", raised).withColumn("weight", F.col("__e") / F.sum("__e").over(bag)).drop("__e")
+    d = with_groups(_raised(instances, keys, score), keys, F.col(score), [F.sum("__e").alias("__all")])
+    return d.withColumn("weight", F.col("__e") / F.col("__all")).drop("__e", "__all")
 
 
 def attention_pool(instances: DataFrame, keys: list[str], score: str, vector: str) -> DataFrame:
     """``keys, pos, pooled``: the softmax-weighted sum of the bag's vectors, element by element.
 
     Elements are summed as rows, so partial sums are made before anything is shuffled."""
-    weighted = softmax_weights(instances, keys, score)
-    parts = weighted.select(*keys, "weight", F.posexplode(vector).alias("pos", "x"))
-    return parts.groupBy(*keys, "pos").agg(F.sum(F.col("weight") * F.col("x").cast("double")).alias("pooled"))
+    parts = _raised(instances, keys, score).select(*keys, "__e", F.posexplode(vector).alias("pos", "x"))
+    return parts.groupBy(*keys, "pos").agg((F.sum(F.col("__e") * F.col("x").cast("double")) / F.sum("__e")).alias("pooled"))
 
 
 def pooled_vectors(pooled: DataFrame, keys: list[str], value: str = "pooled") -> DataFrame:

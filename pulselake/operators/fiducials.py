@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The pairs of waves behind each feature (Baseline first for amplitudes).
+#: The pairs of waves behind each feature (a peak and its baseline for amplitudes, from and to for intervals).
 AMPLITUDES = {
     "p_amp": [("P_Peak", "P_Onset", 1.0)], "q_amp": [("Q_Peak", "P_Onset", 1.0)], "r_amp": [("R_Peak", "Q_Peak", 0.5), ("R_Peak", "S_Peak", 0.5)],
     "s_amp": [("S_Peak", "P_Onset", 1.0)], "t_amp": [("T_Peak", "T_Onset", 1.0)],
@@ -15,42 +15,51 @@ INTERVALS = {
     "pr_int": ("P_Onset", "Q_Peak"), "qt_int": ("Q_Peak", "T_Offset"),
 }
 AXES = {"p_axis": "P_Peak", "r_axis": "R_Peak", "t_axis": "T_Peak"}
-#: Lists of this many points or fewer say nothing.
+#: So many points of a wave or fewer say nothing.
 FEW = 3
 
 
-def wave_lists(points: DataFrame, keys: list[str], wave: str, beat: str, columns: list[str], waves: list[str]) -> DataFrame:
-    """One row per group: for each wave the list of its points (structs) in beat order.
+def wave_beats(points: DataFrame, keys: list[str], wave: str, beat: str, columns: list[str], waves: list[str]) -> DataFrame:
+    """One row for each beat of a group: of each wave its point (a struct), and as ``next_<wave>``
+    that of the beat after it.  A missing point is a struct of nulls; no point is null."""
+    at = F.explode(F.array(F.struct(F.lit(False).alias("next"), F.col(beat).alias("beat")), F.struct(F.lit(True).alias("next"), (F.col(beat) - 1).alias("beat"))))
+    both = points.select(*keys, wave, F.struct(*columns).alias("point"), at.alias("at"))
+    one = lambda w, n: F.max(F.when((F.col(wave) == w) & (F.col("at.next") == F.lit(n)), F.col("point")))
+    return both.groupBy(*keys, F.col("at.beat").alias(beat)).agg(*(one(w, False).alias(w) for w in waves), *(one(w, True).alias(f"next_{w}") for w in waves))
 
-    A list keeps its missing points; a wave without points is an empty list."""
-    point = F.struct(beat, *columns)
-    lists = [F.sort_array(F.collect_list(F.when(F.col(wave) == w, point))).alias(w) for w in waves]
-    return points.groupBy(*keys).agg(*lists)
 
+def _mean(value: Column) -> Column:
+    """The mean without nulls and NaN; null if none is left."""
+    return F.avg(F.when(~F.isnan(value), value))
 
-def _mean(values: Column) -> Column:
-    """The mean of an array without its nulls; null if none is left."""
-    some = F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v))
-    return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda s, v: s + v) / F.size(some))
 
+def paired_mean(a: str, b: str, value: str) -> Column:
+    """Of :func:`wave_beats`: the mean of b's less a's values, beat by beat; only if both waves have
+    equally many points, and more than three (missing ones count)."""
+    gate = (F.count(a) == F.count(b)) & (F.count(a) > FEW)
+    return F.when(gate, _mean((F.col(b)[value] - F.col(a)[value]).cast("double")))
 
-def paired_mean(a: Column, b: Column, value: str) -> Column:
-    """Mean of b's less a's values, position by position; only if both lists are equally long and
-    of more than three points (missing ones count)."""
-    gate = (F.size(a) == F.size(b)) & (F.size(a) > FEW)
-    return F.when(gate, _mean(F.zip_with(a, b, lambda x, y: (y[value] - x[value]).cast("double"))))
 
+def successive_mean(a: str, b: str, value: str) -> Column:
+    """Mean of the next beat's b less a; a and b the same wave gives the steps within it."""
+    gate = (F.count(a) == F.count(b)) & (F.count(a) - 1 > FEW)
+    return F.when(gate, _mean((F.col(f"next_{b}")[value] - F.col(a)[value]).cast("double")))
 
-def successive_mean(a: Column, b: Column, value: str) -> Column:
-    """Mean of b[i + 1] less a[i]; a and b the same list gives the steps within it."""
-    n, m = F.size(a), F.size(b)
-    gate = (n == m) & (n - 1 > FEW)
-    return F.when(gate, _mean(F.zip_with(F.slice(a, 1, F.greatest(n - 1, F.lit(0))), F.slice(b, 2, F.greatest(m - 1, F.lit(0))), lambda x, y: (y[value] - x[value]).cast("double"))))
 
-
-def axis_mean(points: Column, one: str, two: str) -> Column:
+def axis_mean(wave: str, one: str, two: str) -> Column:
     """Mean electrical axis in degrees over the points that are there."""
-    return _mean(F.transform(points, lambda p: F.degrees(F.atan2(p[two], p[one]))))
+    return _mean(F.degrees(F.atan2(F.col(wave)[two], F.col(wave)[one])))
+
+
+def with_amplitudes(points: DataFrame, segments: DataFrame, keys: list[str], sample: str, leads: dict[str, str]) -> DataFrame:
+    """``points`` with the samples of their segment's leads at each point: column name to lead.
+
+    ``segments`` has ``keys, lead, samples``; a point without a sample, outside the segment, or of
+    a lead that is not there has a null."""
+    wanted = segments.where(F.col("lead").isin(*leads.values()))
+    by_lead = [F.first(F.when(F.col("lead") == lead, F.col("samples")), ignorenulls=True).alias(f"__{name}") for name, lead in leads.items()]
+    joined = points.join(wanted.groupBy(*keys).agg(*by_lead), keys, "left")
+    return joined.withColumns({name: F.get(F.col(f"__{name}"), F.col(sample)).cast("double") for name in leads}).drop(*(f"__{n}" for n in leads))
 
 
 def corrected_qt(qt: Column, rr: Column) -> tuple[Column, Column]:
@@ -59,12 +68,15 @@ def corrected_qt(qt: Column, rr: Column) -> tuple[Column, Column]:
     return F.when(sound, qt / F.sqrt(rr)), F.when(sound, qt / F.pow(rr, F.lit(1.0 / 3.0)))
 
 
-def features(lists: DataFrame, keys: list[str], rate: float, sample: str = "sample", lead_one: str | None = "lead_1", lead_two: str = "lead_2", names: dict[str, str] | None = None) -> DataFrame:
-    """The 19 features of each group's wave lists; all null with three R peaks or fewer.
+def features(beats: DataFrame, keys: list[str], rate: float, sample: str = "sample", lead_one: str | None = "lead_1", lead_two: str = "lead_2", names: dict[str, str] | None = None, dummy: bool = False) -> DataFrame:
+    """The 19 features of each group from its :func:`wave_beats`; all null with three R peaks or
+    fewer, or if ``dummy``.
 
     Points are structs of the sample and the leads' amplitudes there; without the first lead
-    the axes are null.  ``names`` maps a wave to the column of its list."""
-    at = lambda w: F.col((names or {}).get(w, w))
+    the axes are null.  ``names`` maps a wave to the column of its points."""
+    if dummy:
+        return dummy_features(beats.select(*keys).distinct(), keys)
+    at = lambda w: (names or {}).get(w, w)
     out: dict[str, Column] = {}
     for name, pairs in AMPLITUDES.items():
         terms = [weight * paired_mean(at(base), at(peak), lead_two) for peak, base, weight in pairs]
@@ -73,11 +85,10 @@ def features(lists: DataFrame, keys: list[str], rate: float, sample: str = "samp
         out[name] = paired_mean(at(a), at(b), sample) / rate
     out["rr_int"] = successive_mean(at("R_Peak"), at("R_Peak"), sample) / rate
     out["tp_seg"] = successive_mean(at("T_Offset"), at("P_Onset"), sample) / rate
-    out["qtc_baz"], out["qtc_frid"] = corrected_qt(out["qt_int"], out["rr_int"])
-    for name, wave in AXES.items():
-        out[name] = axis_mean(at(wave), lead_one, lead_two) if lead_one else F.lit(None).cast("double")
-    enough = F.size(at("R_Peak")) > FEW
-    return lists.select(*keys, *(F.when(enough, c).alias(n) for n, c in out.items()))
+    axes = {name: axis_mean(at(wave), lead_one, lead_two) if lead_one else F.lit(None).cast("double") for name, wave in AXES.items()}
+    d = beats.groupBy(*keys).agg(F.count(at("R_Peak")).alias("__r"), *(c.alias(n) for n, c in (out | axes).items()))
+    columns = {n: F.col(n) for n in out} | dict(zip(("qtc_baz", "qtc_frid"), corrected_qt(F.col("qt_int"), F.col("rr_int")), strict=True)) | {n: F.col(n) for n in axes}
+    return d.select(*keys, *(F.when(F.col("__r") > FEW, c).alias(n) for n, c in columns.items()))
 
 
 def dummy_features(groups: DataFrame, keys: list[str]) -> DataFrame:

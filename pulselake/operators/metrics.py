@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grouped import running_sums
+
 
 def predicted(p: Column, threshold: float = 0.5) -> Column:
     return F.when(p >= threshold, 1).otherwise(0)
@@ -17,18 +19,16 @@ def _by_score(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def auroc(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the ROC curve with ties at half; null for one class."""
-    below = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    d = _by_score(rows, keys).withColumn("lower", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
-    wins = F.sum(F.col("pos") * (F.col("lower") + F.col("neg") / 2))
+    d = running_sums(_by_score(rows, keys), keys, "p", ["neg"])
+    wins = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
     return d.groupBy(*keys).agg(F.try_divide(wins, F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auroc"))
 
 
 def average_precision(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Step-wise average precision with tied scores as one step; null without positives."""
-    down = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    d = _by_score(rows, keys).withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
-    step = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
-    return d.groupBy(*keys).agg(F.try_divide(F.sum(step), F.nullif(F.sum("pos"), F.lit(0.0))).alias("ap"))
+    d = running_sums(_by_score(rows, keys), keys, "p", ["pos", "neg"], descending=True)
+    tp, fp = F.col("before_pos") + F.col("pos"), F.col("before_neg") + F.col("neg")
+    return d.groupBy(*keys).agg(F.try_divide(F.sum(F.col("pos") * tp / (tp + fp)), F.nullif(F.sum("pos"), F.lit(0.0))).alias("ap"))
 
 
 def confusion(rows: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:

@@ -17,7 +17,6 @@ def weighted_logistic(rows: DataFrame, keys: list[str], label: str, vector: str,
     d = rows.crossJoin(F.broadcast(weight)).select(  # one row
         *keys, F.col(label).cast("double").alias("y"), F.when(F.col(label) == 1, F.col("pos_weight")).otherwise(1.0).alias("w"), array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features")
     )
-    d = d.persist()
     model = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", maxIter=iterations, regParam=0.01, probabilityCol="prob").fit(d)
     out = model.transform(d)
     return out.select(*keys, F.col("y").cast("int").alias("y"), vector_to_array("prob")[1].alias("p"))

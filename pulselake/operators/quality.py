@@ -48,22 +48,32 @@ def array_statistics(segments: DataFrame, samples: str) -> DataFrame:
     return d.withColumns(out).drop("__x", "__n", "__mean", "__m2", "__m3", "__m4")
 
 
-def beat_pairs(beats: DataFrame, keys: list[str], order: str, samples: str) -> DataFrame:
+def resampled(x: Column, length: int) -> Column:
+    """The array at ``length`` evenly spaced places from its first to its last element, linear between them."""
+    at = lambda i: i * (F.size(x) - 1) / F.lit(float(max(1, length - 1)))
+    value = lambda k: F.coalesce(F.get(x, k.cast("int")).cast("double"), F.lit(0.0))
+    between = lambda p: value(F.floor(p)) * (1 - (p - F.floor(p))) + value(F.floor(p) + 1) * (p - F.floor(p))
+    return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: between(at(i))))
+
+
+def beat_pairs(beats: DataFrame, keys: list[str], order: str, samples: str, length: int | None = None) -> DataFrame:
     """Consecutive beats of each group with more than three: ``beat, before``, z-normalised.
 
-    Beats with a missing sample are null and take part in no pair."""
+    Beats may be brought to one ``length`` first.  Those with a missing sample are null and take
+    part in no pair."""
     whole = ~F.exists(samples, lambda v: v.isNull() | F.isnan(v))
+    x = resampled(F.col(samples), length) if length else F.col(samples)
     group, by_order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(order)
-    d = beats.withColumn("beat", F.when(whole, z_normalised(F.col(samples)))).withColumn("__n", F.count(F.lit(1)).over(group))
+    d = beats.withColumn("beat", F.when(whole, z_normalised(x))).withColumn("__n", F.count(F.lit(1)).over(group))
     d = d.withColumn("before", F.lag("beat").over(by_order)).where("__n > 3")
     return d.where("beat is not null and before is not null").select(*keys, order, "beat", "before")
 
 
-def beat_correlation(beats: DataFrame, keys: list[str], order: str, samples: str) -> DataFrame:
+def beat_correlation(beats: DataFrame, keys: list[str], order: str, samples: str, length: int | None = None) -> DataFrame:
     """Mean Pearson correlation of consecutive beats."""
     r = dot(F.col("beat"), F.col("before")) / F.size("beat")
     constant = (dot(F.col("beat"), F.col("beat")) == 0) | (dot(F.col("before"), F.col("before")) == 0)
-    return beat_pairs(beats, keys, order, samples).groupBy(*keys).agg(F.avg(F.when(~constant, r)).alias("bs_corr"))
+    return beat_pairs(beats, keys, order, samples, length).groupBy(*keys).agg(F.avg(F.when(~constant, r)).alias("bs_corr"))
 
 
 def dtw(a: np.ndarray, b: np.ndarray) -> float:

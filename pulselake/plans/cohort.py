@@ -110,7 +110,20 @@ def beat_correlation(spark, sf_dir):
     return d.select("label", F.round("bs_corr", 6).alias("bs_corr"))
 
 
-@registered(None)
+_DTW = """WITH RECURSIVE s AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+m AS (SELECT *, list_avg(x) AS m, sqrt(list_avg(list_transform(x, lambda v: (v - list_avg(x)) ** 2))) AS d FROM s),
+z AS (SELECT vec_id, label, list_transform(x, lambda v: (v - m) / d) AS a, count(*) OVER (PARTITION BY label) AS n FROM m),
+p AS (SELECT * FROM (SELECT *, lag(a) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM z) WHERE n > 3 AND b IS NOT NULL),
+r AS (
+  SELECT label, vec_id, a, b, 0 AS d, list_transform(range(0, 64), lambda i: CASE WHEN i = 0 THEN abs(a[1] - b[1]) ELSE 'inf'::DOUBLE END) AS last, list_transform(range(0, 64), lambda i: 'inf'::DOUBLE) AS last2 FROM p
+  UNION ALL
+  SELECT label, vec_id, a, b, d + 1, list_transform(range(0, 64), lambda i: CASE WHEN d + 1 - i NOT BETWEEN 0 AND 63 THEN 'inf'::DOUBLE ELSE
+    least(least(coalesce(last[i], 'inf'::DOUBLE), last[i + 1]) + abs(a[i + 1] - b[d + 2 - i]), coalesce(last2[i], 'inf'::DOUBLE) + 2 * abs(a[i + 1] - b[d + 2 - i])) END), last
+  FROM r WHERE d < 126)
+SELECT label, round(avg(last[64] / 64), 6) AS bs_dtw FROM r WHERE d = 126 GROUP BY label"""
+
+
+@registered(_DTW)
 def beat_dtw(spark, sf_dir):
     d = quality.beat_dtw(views.table(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding", 64)
     return d.select("label", F.round("bs_dtw", 6).alias("bs_dtw"))
@@ -133,8 +146,8 @@ def points(spark, sf_dir):
     )
 
 
-def wave_lists(spark, sf_dir):
-    return fiducials.wave_lists(points(spark, sf_dir), ["record_id"], "wave", "beat_no", ["sample", "lead_1", "lead_2"], WAVES)
+def wave_beats(spark, sf_dir):
+    return fiducials.wave_beats(points(spark, sf_dir), ["record_id"], "wave", "beat_no", ["sample", "lead_1", "lead_2"], WAVES)
 
 
 @registered(_POINTS + " SELECT record_id, wave, beat_no::INTEGER AS beat_no, round(sample - lag(sample) OVER (PARTITION BY record_id, wave ORDER BY beat_no), 6) AS interval FROM pt")
@@ -156,17 +169,17 @@ def _pair_sql(a: str, b: str, value: str, shift: int = 0) -> str:
 
 @registered(_LISTS + f" SELECT record_id, round({_pair_sql('click', 'view', 'sample', 1)}, 4) AS tp FROM recs")
 def tp_interval(spark, sf_dir):
-    return wave_lists(spark, sf_dir).select("record_id", F.round(fiducials.successive_mean(F.col("click"), F.col("view"), "sample"), 4).alias("tp"))
+    return wave_beats(spark, sf_dir).groupBy("record_id").agg(F.round(fiducials.successive_mean("click", "view", "sample"), 4).alias("tp"))
 
 
 @registered(_LISTS + f" SELECT record_id, round({_pair_sql('click', 'view', 'lead_2')}, 6) AS amp FROM recs")
 def wave_amplitude(spark, sf_dir):
-    return wave_lists(spark, sf_dir).select("record_id", F.round(fiducials.paired_mean(F.col("click"), F.col("view"), "lead_2"), 6).alias("amp"))
+    return wave_beats(spark, sf_dir).groupBy("record_id").agg(F.round(fiducials.paired_mean("click", "view", "lead_2"), 6).alias("amp"))
 
 
 @registered(_POINTS + " SELECT record_id, round(avg(degrees(atan2(lead_2, lead_1))) FILTER (wave = 'error'), 6) AS axis FROM pt GROUP BY 1")
 def wave_axis(spark, sf_dir):
-    return wave_lists(spark, sf_dir).select("record_id", F.round(fiducials.axis_mean(F.col("error"), "lead_1", "lead_2"), 6).alias("axis"))
+    return wave_beats(spark, sf_dir).groupBy("record_id").agg(F.round(fiducials.axis_mean("error", "lead_1", "lead_2"), 6).alias("axis"))
 
 
 #: Which event stands for which wave.
@@ -193,7 +206,7 @@ SELECT record_id, {outer} FROM q"""
 
 @registered(_features_sql())
 def fiducial_features(spark, sf_dir):
-    d = fiducials.features(wave_lists(spark, sf_dir), ["record_id"], 125.0, names=STAND_INS)
+    d = fiducials.features(wave_beats(spark, sf_dir), ["record_id"], 125.0, names=STAND_INS)
     return d.select("record_id", *(F.round(c, 4).alias(c) for c in d.columns[1:]))
 
 
@@ -201,3 +214,33 @@ def fiducial_features(spark, sf_dir):
 def fiducial_order(spark, sf_dir):
     d = fiducials.ordered_points(views.beats(spark, sf_dir), ["record_id", "seg_index"], "us", "symbol")
     return d.select("record_id", "seg_index", F.concat_ws(",", F.transform("fsample", lambda x: x.cast("string"))).alias("fsample"), F.concat_ws(",", "fiducial").alias("fiducial"))
+
+
+#: Peaks of each vector: components above both neighbours.
+_PEAKS = """pk AS (
+  SELECT vec_id, label, unnest(list_filter(range(1, 63), lambda i: embedding[i + 1] > embedding[i] AND embedding[i + 1] > embedding[i + 2])) AS sample FROM embeddings)"""
+
+
+@registered(
+    f"""WITH {_PEAKS}, nb AS (SELECT vec_id + 1 AS vec_id, embedding AS other FROM embeddings)
+SELECT pk.vec_id, sample::INTEGER AS sample, round(embedding[sample + 1]::DOUBLE, 6) AS lead_1, round(other[sample + 1]::DOUBLE, 6) AS lead_2 FROM pk JOIN embeddings USING (vec_id) LEFT JOIN nb ON nb.vec_id = pk.vec_id"""
+)
+def point_amplitudes(spark, sf_dir):
+    """Samples of two leads at each vector's peaks; the second lead is the vector before it."""
+    v = views.table(spark, sf_dir, "embeddings")
+    inner = F.filter(F.sequence(F.lit(1), F.size("embedding") - 2), lambda i: (F.get("embedding", i) > F.get("embedding", i - 1)) & (F.get("embedding", i) > F.get("embedding", i + 1)))
+    peaks = v.select("vec_id", F.explode(inner).alias("sample"))
+    leads = v.select("vec_id", F.lit("I").alias("lead"), F.col("embedding").alias("samples"))
+    leads = leads.unionByName(v.select((F.col("vec_id") + 1).alias("vec_id"), F.lit("II").alias("lead"), F.col("embedding").alias("samples")))
+    d = fiducials.with_amplitudes(peaks, leads, ["vec_id"], "sample", {"lead_1": "I", "lead_2": "II"})
+    return d.select("vec_id", "sample", F.round("lead_1", 6).alias("lead_1"), F.round("lead_2", 6).alias("lead_2"))
+
+
+@registered(
+    """SELECT vec_id, i::INTEGER AS pos, round(embedding[floor(i * 63 / 127.0::DOUBLE)::INTEGER + 1]::DOUBLE * (1 - (i * 63 / 127.0::DOUBLE - floor(i * 63 / 127.0::DOUBLE)))
+  + coalesce(embedding[floor(i * 63 / 127.0::DOUBLE)::INTEGER + 2], 0)::DOUBLE * (i * 63 / 127.0::DOUBLE - floor(i * 63 / 127.0::DOUBLE)), 6) AS value FROM embeddings, range(0, 128) t(i)"""
+)
+def beat_resample(spark, sf_dir):
+    """Beats at twice their number of samples."""
+    d = views.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(quality.resampled(F.col("embedding"), 128)).alias("pos", "value"))
+    return d.select("vec_id", "pos", F.round("value", 6).alias("value"))

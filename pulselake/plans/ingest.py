@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from ..operators import bags, experiments, segments
 from ..sources import files, headers, reports
 from ..sources.shared import shared_folder
@@ -121,9 +122,8 @@ SELECT event_id, there AND event_id % 11 = 0 AS rejected,
   CASE WHEN NOT (there AND event_id % 11 = 0) THEN odd END AS "PacedBeats_raw" FROM r"""
 )
 def report_flatten(spark, sf_dir):
-    flat, rejects = reports.flattened(_report_texts(spark, sf_dir), ["event_id"])
-    kept = flat.select("event_id", F.lit(False).alias("rejected"), "ann_len", "v_total", "v_Isolated_raw", "v_Isolated", "v_LongestRunBeats", "NoisePercentage", "PacedBeats_raw")
-    return kept.unionByName(rejects.withColumn("rejected", F.lit(True)), allowMissingColumns=True)
+    flat = reports.flat_rows(_report_texts(spark, sf_dir), ["event_id"])
+    return flat.select("event_id", "rejected", "ann_len", "v_total", "v_Isolated_raw", "v_Isolated", "v_LongestRunBeats", "NoisePercentage", "PacedBeats_raw")
 
 
 _NAMED = """g AS (
@@ -178,6 +178,26 @@ def score_name_resolve(spark, sf_dir):
 _HOURS = f"WITH {views.BEATS_SQL} SELECT record_id, seg_index, count(*)::BIGINT AS n_beats, count(*) FILTER (symbol = 'S')::BIGINT AS n_s FROM beats GROUP BY ALL"
 
 
+@registered("SELECT label::VARCHAR AS record_id, vec_id::INTEGER AS seg_index, 64 AS n_samples, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings WHERE vec_id % 3 = 1")
+def segment_scan(spark, sf_dir):
+    """Waveforms written as the segment table, apart by lead, and one lead read back."""
+    v, folder = views.table(spark, sf_dir, "embeddings"), shared_folder(spark, "segments")
+    lead = F.element_at(F.array(*map(F.lit, ("II", "V1", "V5"))), (F.col("vec_id") % 3 + 1).cast("int"))
+    d = v.select(F.col("label").cast("string").alias("record_id"), F.col("vec_id").cast("int").alias("seg_index"), lead.alias("lead"), F.lit(0).alias("lead_pos"), F.col("embedding").alias("samples"))
+    files.write_records({"segments": d}, folder)
+    back = files.read_records(spark, folder, "segments").where("lead = 'V1'")
+    return back.select("record_id", "seg_index", F.size("samples").alias("n_samples"), F.round(arrays.total(F.col("samples")), 5).alias("total"))
+
+
+@registered(f"WITH {views.EVENTS_SQL} SELECT user_id::VARCHAR || '_' || floor(us / 86400000000)::INTEGER AS record_name FROM ev GROUP BY user_id, floor(us / 86400000000) HAVING count(DISTINCT event_type) = 5")
+def record_list(spark, sf_dir):
+    """The list of complete records, made where there is none, and read."""
+    path = shared_folder(spark, "record-list")
+    made = lambda: completeness_division(spark, sf_dir).select(F.concat_ws("_", "user_id", "day").alias("record_name"))
+    files.listed_records(spark, path, made)
+    return files.listed_records(spark, path, made)
+
+
 @registered(_HOURS)
 def incremental_ingest(spark, sf_dir):
     """New event files become beats; a second run finds nothing to do."""
@@ -190,18 +210,21 @@ def incremental_ingest(spark, sf_dir):
         return batch.select(F.col("user_id").alias("record_id"), F.floor(us / views.HOUR_US).cast("int").alias("seg_index"), symbol.alias("symbol"))
 
     for _ in range(2):
-        ingest.ingest_new_files(spark, sf_dir, schema, f"{folder}/beats", f"{folder}/checkpoint", beats, "events.parquet")
+        ingest.ingest_new_files(spark, f"{sf_dir}/events.parquet", schema, f"{folder}/beats", f"{folder}/checkpoint", beats)
     done = spark.read.parquet(f"{folder}/beats")
     return done.groupBy("record_id", "seg_index").agg(F.count(F.lit(1)).alias("n_beats"), F.count_if(F.col("symbol") == "S").alias("n_s"))
 
 
-@registered(f"WITH {views.EVENTS_SQL} SELECT event_type, (us // 10000000)::BIGINT AS window_no, count(*)::BIGINT AS n_events FROM ev GROUP BY ALL")
+@registered(
+    f"""WITH {views.EVENTS_SQL}, w AS (SELECT event_type, (us // 10000000)::BIGINT AS window_no, count(*)::BIGINT AS n_events FROM ev GROUP BY ALL)
+SELECT * FROM w WHERE (window_no + 1) * 10000000 <= (SELECT max(us) FROM ev) - 60000000"""
+)
 def window_stream(spark, sf_dir):
-    """Ten-second windows, as a stream."""
+    """Ten-second windows, as a stream: those that the watermark, a minute late, has closed."""
     schema = views.table(spark, sf_dir, "events").schema
     folder = shared_folder(spark, "windows")
     build = lambda e: ingest.tumbling_counts(e.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "10 seconds", "1 minute", ["event_type"])
-    ingest.run_complete(spark, sf_dir, schema, f"{folder}/counts", f"{folder}/checkpoint", build, "events.parquet")
+    ingest.run_windows(spark, f"{sf_dir}/events.parquet", schema, f"{folder}/counts", f"{folder}/checkpoint", build)
     d = spark.read.parquet(f"{folder}/counts")
     return d.select("event_type", ((F.unix_micros("window_start") - F.lit(views.START_US)) / 10_000_000).cast("long").alias("window_no"), "n_events")
 

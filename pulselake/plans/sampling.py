@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import stable
-from ..operators import experiments, sampling, segments
+from ..functions import arrays, stable
+from ..operators import bags, experiments, sampling, segments
 from . import views
 
 QUERIES, ORACLES = {}, {}
@@ -226,6 +226,47 @@ def bag_payload(spark, sf_dir):
     return bags.join(payload, ["record_id", "seg_index"]).select("config_id", "record_id", "upsample_index", "bag_pos", "seg_index", "mean_amp", "n_beats")
 
 
+_HOUR_SQL = """hours AS (SELECT record_id, seg_index, symbol, list(amp ORDER BY us, event_id) AS samples FROM beats GROUP BY ALL)"""
+
+
+@registered(
+    sample_sql([(0, 20, 1, "normal")])
+    + f""", {_HOUR_SQL},
+chan AS (SELECT config_id, record_id, upsample_index, bag_pos, seg_index, unnest(['view', 'click', 'purchase']) AS lead, unnest([0, 1, 2]) AS channel FROM bags),
+there AS (SELECT DISTINCT record_id, seg_index FROM hours WHERE symbol IN ('view', 'click', 'purchase'))
+SELECT config_id, record_id, upsample_index, (row_number() OVER (PARTITION BY config_id, record_id, upsample_index, channel ORDER BY bag_pos) - 1)::INTEGER AS pos, channel,
+  round(coalesce(samples[1], 0), 6) AS first, round(coalesce(list_sum(samples[1:4]), 0), 6) AS total
+FROM chan JOIN there USING (record_id, seg_index) LEFT JOIN hours h ON h.record_id = chan.record_id AND h.seg_index = chan.seg_index AND h.symbol = chan.lead"""
+)
+def bag_tensor(spark, sf_dir):
+    """Each bag as K x leads x samples: an hour's events of three types are its leads."""
+    b = views.beats(spark, sf_dir)
+    rows = F.sort_array(F.collect_list(F.struct("us", "event_id", "amp")))
+    hours = b.groupBy("record_id", "seg_index", F.col("symbol").alias("lead")).agg(F.transform(rows, lambda r: r["amp"]).alias("samples"))
+    chosen = sampling.sample_bags(segments.flags_of_beats(b), _configs(spark, [(0, 20, 1, "normal")]))
+    d = bags.bag_tensor(chosen, hours, list(sampling.BAG), ["view", "click", "purchase"], 4)
+    d = d.select(*sampling.BAG, F.posexplode("tensor").alias("pos", "channels")).select(*sampling.BAG, "pos", F.posexplode("channels").alias("channel", "x"))
+    return d.select(*sampling.BAG, "pos", "channel", F.round(F.col("x")[0], 6).alias("first"), F.round(arrays.total(F.col("x")), 6).alias("total"))
+
+
+@registered(
+    f"""WITH {views.BEATS_SQL}, w AS (SELECT *, exp(amp / 100 - max(amp / 100) OVER (PARTITION BY record_id, seg_index)) AS e FROM beats)
+SELECT record_id, seg_index, unnest([0, 1])::INTEGER AS pos, round(unnest([sum(e * amp) / sum(e), sum(e * (us % 3600000000) / 3600000000.0::DOUBLE) / sum(e)]), 6) AS pooled FROM w GROUP BY record_id, seg_index"""
+)
+def segment_pool(spark, sf_dir):
+    """Attention over the positions inside a segment: larger amplitudes weigh more."""
+    d = views.beats(spark, sf_dir).withColumn("score", F.col("amp") / 100)
+    d = d.withColumn("x", F.array("amp", (F.col("us") % views.HOUR_US) / views.HOUR_US))
+    return bags.attention_pool(d, ["record_id", "seg_index"], "score", "x").withColumn("pooled", F.round("pooled", 6))
+
+
+@registered("SELECT label, vec_id, 's_first_R' || label || '_K20_Fhalf_SS42' || CASE WHEN vec_id % 3 > 1 THEN '_UP' || vec_id % 3 ELSE '' END AS tag FROM embeddings")
+def config_tags(spark, sf_dir):
+    d = views.table(spark, sf_dir, "embeddings")
+    tag = sampling.config_tag(F.lit("s_first"), F.col("label"), F.lit(20), F.lit("half"), F.lit(42), F.col("vec_id") % 3)
+    return d.select("label", "vec_id", tag.alias("tag"))
+
+
 _GRID60 = """
 k(k, ko) AS (VALUES (20, 0), (60, 1), (100, 2), (140, 3), (180, 4)), r(radius, ro) AS (VALUES (0, 0), (1, 1), (2, 2)),
 f(fill, fo) AS (VALUES ('normal', 0), ('duplicate', 1), ('half', 2), ('slike', 3)),

@@ -161,13 +161,13 @@ def runs_summary_union(spark, sf_dir):
     return experiments.summary(per_run, split, experiments.aggregate_runs(r, ["method", "fill"], _METRICS, "n_runs"))
 
 
-_WIDTH = 8
-_V = f"v AS (SELECT vec_id, label, list_transform(embedding[1:{_WIDTH}], lambda x: x::DOUBLE) AS x, 8 * embedding[9]::DOUBLE AS score FROM embeddings)"
-_POOL = ", w AS (SELECT *, exp(score - max(score) OVER (PARTITION BY label)) AS e FROM {src}), z AS (SELECT *, e / sum(e) OVER (PARTITION BY label) AS wt FROM w)\nSELECT label, pos::INTEGER AS pos, round(sum(wt * x[pos + 1]), 6) AS pooled FROM z, range(0, 8) t(pos) GROUP BY label, pos"
+_WIDTH = 64
+_V = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x, 8 * embedding[9]::DOUBLE AS score FROM embeddings)"
+_POOL = ", w AS (SELECT *, exp(score - max(score) OVER (PARTITION BY label)) AS e FROM {src}), z AS (SELECT *, e / sum(e) OVER (PARTITION BY label) AS wt FROM w)\nSELECT label, pos::INTEGER AS pos, round(sum(wt * x[pos + 1]), 6) AS pooled FROM z, range(0, 64) t(pos) GROUP BY label, pos"
 
 
 def instances(spark, sf_dir):
-    x = F.transform(F.slice("embedding", 1, _WIDTH), lambda v: v.cast("double"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
     return views.table(spark, sf_dir, "embeddings").select("vec_id", "label", x.alias("x"), (8 * F.col("embedding")[8].cast("double")).alias("score"))
 
 
@@ -197,7 +197,7 @@ def gated_pool(spark, sf_dir):
     return _rounded(bags.attention_pool(_gated(instances(spark, sf_dir)), ["label"], "score", "x"), "pooled")
 
 
-@registered(f"WITH {_V}, k AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 5) SELECT label, pos::INTEGER AS pos, round(avg(x[pos + 1]), 6) AS pooled FROM k, range(0, 8) t(pos) GROUP BY label, pos")
+@registered(f"WITH {_V}, k AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 5) SELECT label, pos::INTEGER AS pos, round(avg(x[pos + 1]), 6) AS pooled FROM k, range(0, 64) t(pos) GROUP BY label, pos")
 def topk_pool(spark, sf_dir):
     return _rounded(bags.topk_mean_pool(instances(spark, sf_dir), ["label"], "score", "vec_id", "x"), "pooled")
 

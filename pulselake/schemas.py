@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+#: The columns of the normalised tables.
 HEADER_LINES = "record_name string, line_no int, line string"
 RECORDS = (
     "record_id string, pid string, age int, gender string, fs double, n_sig int, sig_len bigint, base_time string, base_date string, sig_name array<string>, "
@@ -10,6 +11,7 @@ RECORDS = (
 SEGMENTS = "record_id string, seg_index int, lead string, lead_pos int, samples array<float>"
 BEATS = "record_id string, sample bigint, symbol string, subtype int, chan int, num int, aux_note string"
 FIDUCIALS = "record_id string, seg_index int, wave string, beat_no int, sample int"
+TABLES = {"header_lines": HEADER_LINES, "records": RECORDS, "segments": SEGMENTS, "beats": BEATS, "fiducials": FIDUCIALS}
 
 #: The names in a report.
 FAMILY_FIELDS = ("Isolated", "Couplets", "BigeminalCycles", "Runs", "LongestRunBeats", "LongestRunBPM", "LongestRunTimestamp", "FastestRunBeats", "FastestRunBPM", "FastestRunTimestamp")

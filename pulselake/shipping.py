@@ -14,11 +14,13 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the application's Python files, once, unless workers have it on
-    their path (PYTHONPATH, or the working folder)."""
-    known = {Path(p).resolve() for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p}
+    """Adds the package to the application's Python files, once.
+
+    Workers of a local master share the driver's machine: they find the package where PYTHONPATH
+    or the working folder leads to it.  Those of a cluster have neither for certain."""
     app = spark.sparkContext.applicationId
-    if ROOT in known or app in _SHIPPED:
+    known = {Path(p).resolve() for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p}
+    if app in _SHIPPED or (spark.sparkContext.master.startswith("local") and ROOT in known):
         return
     folder = tempfile.mkdtemp(prefix="pulselake-")
     spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/pulselake", "zip", ROOT, "pulselake"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import BAG_CACHE, META, SCORES, SPLITS
+from ..schemas import BAG_CACHE, META, SCORES, SPLITS, TABLES
 
+#: The files of a record, and what a name may end with.
 REQUIRED = ("hea", "SIG", "ANN", "json")
 DENOISED = "_seg_all_denoise"
 
@@ -81,9 +84,32 @@ def read_bag_cache(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_records(tables: dict[str, DataFrame], folder: str) -> None:
-    """The record's parts as tables, each in a folder of its own."""
+    """The record's parts as tables, each in a folder of its own; segments apart by lead."""
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+        parted = ["lead"] if name == "segments" and "lead" in table.columns else []
+        table.write.mode("overwrite").partitionBy(*parted).parquet(f"{folder}/{name}")
+
+
+def read_records(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the tables that :func:`write_records` wrote, by its schema."""
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}")
+
+
+def write_record_list(records: DataFrame, path: str, name: str = "record_name") -> None:
+    """A record list: a CSV file of names with a header; written in parts."""
+    records.select(F.col(name).cast("string").alias(name)).write.mode("overwrite").csv(path, header=True)
+
+
+def read_record_list(spark: SparkSession, path: str, name: str = "record_name") -> DataFrame:
+    return spark.read.schema(f"{name} string").csv(path, header=True)
+
+
+def listed_records(spark: SparkSession, path: str, generate: Callable[[], DataFrame]) -> DataFrame:
+    """The record list at ``path``; where there is none, ``generate`` makes it first."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        write_record_list(generate(), path)
+    return read_record_list(spark, path)
 
 
 def nested_records(records: DataFrame, segments: DataFrame, key: str = "record_id") -> DataFrame:

@@ -61,8 +61,9 @@ def family(general: Column, fields: Column, total: str) -> dict[str, Column]:
     return out | {name: _missing(fields[name], "Unknown") for name in _TEXT}
 
 
-def flattened(reports: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Flat rows, and the rejected ones: those in which a family's total is no number."""
+def flat_rows(reports: DataFrame, keys: list[str]) -> DataFrame:
+    """Flat rows of all reports in one pass; ``rejected`` are those in which a family's total is no
+    number, and then the other columns are null."""
     r = F.col("report")[ROOT]
     general = r["General"]
     columns = {"ann_len": F.coalesce(_int(_missing(general["QRScomplexes"], "0")), F.lit(0))}
@@ -74,4 +75,10 @@ def flattened(reports: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
     columns |= {n: _missing(general[n], "Unknown") for n in ("NoisePercentage", "AFAFLPercentage")}
     flat = reports.select(*keys, *(c.alias(n) for n, c in columns.items()))
     sound = F.col("v_total_beats").isNotNull() & F.col("sv_total_beats").isNotNull()
-    return flat.where(sound), flat.where(~sound).select(*keys)
+    return flat.select(*keys, (~sound).alias("rejected"), *(F.when(sound, F.col(n)).alias(n) for n in columns))
+
+
+def flattened(reports: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Flat rows, and the keys of the rejected ones."""
+    rows = flat_rows(reports, keys)
+    return rows.where(~F.col("rejected")).drop("rejected"), rows.where("rejected").select(*keys)

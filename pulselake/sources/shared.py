@@ -7,12 +7,17 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from ..shipping import ship
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path in the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a temporary folder serves."""
+    Where that is unset a temporary folder serves only if everything runs on this machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="pulselake-")
+    ship(spark)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -52,11 +52,11 @@ def test_fiducial_gates(spark):
     rows += points("five", "Q_Peak", [10, None, 210, 310]) + points("five", "T_Offset", [20, 120, 230, 320])
     d = spark.createDataFrame(rows, "record_id string, wave string, beat_no int, sample int, lead_1 double, lead_2 double")
     waves = ["R_Peak", "Q_Peak", "S_Peak", "P_Onset", "P_Peak", "P_Offset", "T_Onset", "T_Peak", "T_Offset"]
-    got = {r.record_id: r for r in fiducials.features(fiducials.wave_lists(d, ["record_id"], "wave", "beat_no", ["sample", "lead_1", "lead_2"], waves), ["record_id"], 100.0).collect()}
+    got = {r.record_id: r for r in fiducials.features(fiducials.wave_beats(d, ["record_id"], "wave", "beat_no", ["sample", "lead_1", "lead_2"], waves), ["record_id"], 100.0).collect()}
     assert got["three"].r_axis is None and got["four"].rr_int is None and got["four"].r_axis is not None
     f = got["five"]
     assert f.rr_int == 1.0 and f.qt_int == pytest.approx(0.4 / 3) and f.qtc_baz == f.qt_int and f.p_amp is None
-    none = fiducials.features(fiducials.wave_lists(d, ["record_id"], "wave", "beat_no", ["sample", "lead_1", "lead_2"], waves), ["record_id"], 100.0, lead_one=None)
+    none = fiducials.features(fiducials.wave_beats(d, ["record_id"], "wave", "beat_no", ["sample", "lead_1", "lead_2"], waves), ["record_id"], 100.0, lead_one=None)
     assert none.where("record_id = 'five'").first().r_axis is None
 
 
@@ -106,3 +106,53 @@ def test_runs_edges(spark):
     d = spark.createDataFrame([("a", 0.5), ("b", NAN), ("b", 0.25), (None, 0.1)], "k string, v double")
     got = {r.k: (r.n, r.v_mean, r.v_std, r.v_ci95_lo) for r in experiments.aggregate_runs(d, ["k"], ["v"], "n").collect()}
     assert got == {"a": (1, 0.5, 0.0, 0.5), "b": (2, 0.25, 0.0, 0.25)}
+
+
+def test_weighted_logistic_against_newton(spark):
+    from pulselake.operators import ml
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3)) * [1.0, 2.0, 0.5]
+    y = (x @ [1.0, -0.5, 2.0] + rng.normal(size=300) > 1.2).astype(float)
+    w = np.where(y == 1, min(20.0, (y == 0).sum() / (y == 1).sum()), 1.0)
+    # features are scaled to unit deviation (weighted, unbiased) for the penalty, the intercept is free
+    mean = (w[:, None] * x).sum(0) / w.sum()
+    scale = np.sqrt((w[:, None] * (x - mean) ** 2).sum(0) / (w.sum() - (w**2).sum() / w.sum()))
+    z = np.c_[x / scale, np.ones(300)]
+    beta, penalty = np.zeros(4), np.array([0.01, 0.01, 0.01, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ beta))
+        gradient = z.T @ (w * (p - y)) / w.sum() + penalty * beta
+        beta -= np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z / w.sum() + np.diag(penalty), gradient)
+    want = 1 / (1 + np.exp(-z @ beta))
+    d = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(300)], "i int, y int, x array<double>")
+    got = {r.i: r.p for r in ml.weighted_logistic(d, ["i"], "y", "x", 200).collect()}
+    assert np.abs(np.array([got[i] for i in range(300)]) - want).max() < 0.005
+
+
+def test_resampled_beats(spark):
+    d = spark.createDataFrame([(0, [0.0, 2.0]), (1, [1.0]), (2, []), (3, [1.0, 3.0, 5.0])], "i int, x array<double>")
+    got = {r.i: r.y for r in d.select("i", quality.resampled(F.col("x"), 5).alias("y")).collect()}
+    assert got[0] == [0.0, 0.5, 1.0, 1.5, 2.0] and got[1] == [1.0] * 5 and got[2] is None and got[3] == [1.0, 2.0, 3.0, 4.0, 5.0]
+    rows = [("a", i, [math.sin(k / (5 + i)) for k in range(5 + i)]) for i in range(5)]
+    r = quality.beat_correlation(spark.createDataFrame(rows, "r string, i int, x array<double>"), ["r"], "i", "x", 16).first().bs_corr
+    assert 0.99 < r <= 1.0
+
+
+def test_running_sums_of_many_ranges(spark):
+    from pulselake.functions.grouped import running_sums
+
+    rows = [("a", float(i % 97) / 7, 1.0) for i in range(97)] + [("b", float(-i), 2.0) for i in range(5)]
+    for down in (False, True):
+        got = running_sums(spark.createDataFrame(rows, "k string, p double, n double"), ["k"], "p", ["n"], down, 16).collect()
+        assert len(got) == len(rows)
+        assert all(r.before_n == sum(n for k, p, n in rows if k == r.k and (p > r.p if down else p < r.p)) for r in got)
+
+
+def test_amplitudes_at_points(spark):
+    points = spark.createDataFrame([("a", 0, 1), ("a", 0, 9), ("a", 0, None), ("b", 0, 0)], "record_id string, seg_index int, sample int")
+    segs = spark.createDataFrame([("a", 0, "I", [1.0, 2.0]), ("a", 0, "V1", [7.0, 8.0])], "record_id string, seg_index int, lead string, samples array<double>")
+    got = sorted(fiducials.with_amplitudes(points, segs, ["record_id", "seg_index"], "sample", {"lead_1": "I", "lead_2": "II"}).collect(), key=str)
+    assert [(r.record_id, r.sample, r.lead_1, r.lead_2) for r in got] == [("a", None, None, None), ("a", 1, 2.0, None), ("a", 9, None, None), ("b", 0, None, None)]
+    none = fiducials.features(fiducials.wave_beats(points.selectExpr("record_id", "'R_Peak' as wave", "seg_index as beat", "sample"), ["record_id"], "wave", "beat", ["sample"], ["R_Peak"]), ["record_id"], 125.0, dummy=True)
+    assert none.count() == 2 and none.columns[1] == "p_amp" and len(none.columns) == 20 and none.first().rr_int is None

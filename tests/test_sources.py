@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pulselake.operators import experiments
@@ -98,3 +99,63 @@ def test_ingest_goes_on_where_it_stopped(spark, tmp_path):
     spark.range(10, 12).write.mode("append").parquet(source)
     ingest.ingest_new_files(spark, source, spark.range(1).schema, *args)
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 10, 11]
+
+
+def test_streams_read_folders_and_single_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40).select((F.lit(1_704_067_200) + F.col("id") * 3).cast("timestamp").alias("ts"), (F.col("id") % 2).alias("k"))
+    rows.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    build = lambda e: ingest.tumbling_counts(e, "ts", "10 seconds", "30 seconds", ["k"])
+    single = str(next((tmp_path / "events.parquet").glob("*.parquet")))
+    for source, some in ((str(tmp_path / "events.parquet"), rows), (single, spark.read.parquet(single))):
+        out = str(tmp_path / f"windows-{len(source)}")
+        ingest.run_windows(spark, source, rows.schema, out, out + "-cp", build)
+        start = F.floor(F.unix_timestamp("ts") / 10) * 10
+        newest = some.agg(F.max(F.unix_timestamp("ts"))).first()[0]
+        want = some.groupBy(start.alias("at"), "k").count().where(F.col("at") + 10 <= newest - 30)
+        got = spark.read.parquet(out).select(F.unix_timestamp("window_start"), "k", "n_events")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_late_events_of_closed_windows_are_dropped(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    at = lambda *s: spark.createDataFrame([(1_704_067_200 + x, 0) for x in s], "s long, k long").select(F.col("s").cast("timestamp").alias("ts"), "k")
+    build = lambda e: ingest.tumbling_counts(e, "ts", "10 seconds", "5 seconds", ["k"])
+    for batch in (at(1, 2, 100), at(3, 101), at(200)):
+        batch.coalesce(1).write.mode("append").parquet(source)
+        ingest.run_windows(spark, source, batch.schema, out, out + "-cp", build)
+    got = {r.at - 1_704_067_200: r.n_events for r in spark.read.parquet(out).select(F.unix_timestamp("window_start").alias("at"), "n_events").collect()}
+    assert got == {0: 2, 100: 2}
+
+
+def test_shared_folders_are_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from pulselake.sources.shared import shared_folder
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://far:7077"))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        shared_folder(far, "x")
+
+
+def test_package_is_shipped_to_clusters_whatever_the_working_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from pulselake import shipping
+
+    monkeypatch.chdir(shipping.ROOT)
+    for master, many in (("spark://far:7077", 1), ("local[4]", 0)):
+        sent = []
+        context = SimpleNamespace(applicationId=f"app-{master}", master=master, addPyFile=sent.append)
+        for _ in range(2):
+            shipping.ship(SimpleNamespace(sparkContext=context))
+        assert len(sent) == many
+
+
+def test_header_rejects(spark):
+    texts = {"good": ["good 1 125 1250", "good.SIG 16 200 12 0 0 0 0 II"], "short": ["short 2 125 9", "a.SIG 16"], "odd": ["odd x 125", "a.SIG 16"], "none": ["", ""]}
+    lines = spark.createDataFrame([(n, i, line) for n, ls in texts.items() for i, line in enumerate(ls)], "record_name string, line_no int, line string")
+    assert {r.record_name: r.rejected for r in headers.parsed_headers(lines).collect()} == {"good": False, "short": True, "odd": True}
