@@ -45,13 +45,16 @@ PERCENT = 85
 #: Largest probabilities that a pair at the threshold meets in no tree, that a branching loses it,
 #: and that the sketches rule it out.
 MISS, LOST, RULED_OUT = 3e-7, 0.0034, 2e-5
-#: Tokens of a child's path.  Nodes branch so many times at most; a node is small if no more than LIMIT * LIMIT pairs are to
-#: be compared in it.
-PATH, DEPTH, LIMIT = 4, 4, 512
+#: Tokens of a child's path.  Nodes branch so many times at most.  A node is small if no more than
+#: LIMIT * LIMIT pairs of sketches are to be compared in it, which costs each document about as much
+#: as its own sketch does.
+PATH, DEPTH, LIMIT = 4, 4, 4096
+#: Documents of a lot in which likely links are looked for, and of a tile of sketches.
+LOT, SKETCH_TILE = 512, 2048
 #: Tokens of a sketch.
 SKETCH = 128
 #: Documents of a tile of full sets, and the bytes of their sets, which are far below a task's memory.
-TILE, TILE_BYTES = 1024, 64_000_000
+TILE, TILE_BYTES = 512, 64_000_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _RNG = np.random.default_rng(2024)
@@ -203,9 +206,9 @@ def _batch(rows: list[tuple[int, ...]], *names: str) -> pa.RecordBatch:
 
 
 def _likeliest(nodes: DataFrame, how: Search) -> DataFrame:
-    """``node, a, b``: a forest of the likeliest links of each node, dealt into lots of LIMIT
+    """``node, a, b``: a forest of the likeliest links of each node, dealt into lots of LOT
     documents or so; each tree deals a large node's documents anew."""
-    lots = F.ceil(F.col("m") / F.lit(LIMIT))
+    lots = F.ceil(F.col("m") / F.lit(LOT))
     dealt = nodes.select("node", F.pmod(F.xxhash64("node", "no"), lots).cast("int").alias("lot"), "no", "n", "sig")
     dealt = dealt.repartition("node", "lot").sortWithinPartitions("node", "lot", "no")
 
@@ -252,7 +255,7 @@ def _judged(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _candidates(leaves: DataFrame, how: Search) -> DataFrame:
     """``a, b``: stars around the documents of a leaf that may be linked beyond their component."""
-    dealt = tiled_by_class(leaves, ["node"], F.col("no"), LIMIT)
+    dealt = tiled_by_class(leaves, ["node"], F.col("no"), SKETCH_TILE)
     dealt = dealt.repartition("node", "tile_a", "tile_b").sortWithinPartitions("node", "tile_a", "tile_b", "no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,10 +321,10 @@ def _links(reps: DataFrame, docs: DataFrame, how: Search) -> DataFrame:
     judged = staged(_judged(pairs, sets, how.percent), "judged")
     parts = components(judged.where("linked").select("a", "b"))
 
-    # what is left: nodes too large to be compared at once, and small ones of which a likely link
+    # what is left: nodes of more than a lot, and others of which a likely link
     # proved false; of each, the pairs beyond a component
     doubtful = likely.join(judged.where("not linked"), ["a", "b"]).select("node").distinct()
-    left = nodes.where(F.col("m") > LIMIT).unionByName(nodes.where(F.col("m") <= LIMIT).join(doubtful, "node", "left_semi"))
+    left = nodes.where(F.col("m") > LOT).unionByName(nodes.where(F.col("m") <= LOT).join(doubtful, "node", "left_semi"))
     known = left.drop("m").join(parts.withColumnRenamed("node", "no"), "no", "left")
     level = staged(known.withColumn("component", F.coalesce("component", "no")), "level-0")
     used, leaves = [level], []

@@ -39,7 +39,7 @@ def test_stage_takes_four_fifths(spark):
 
 @pytest.mark.parametrize("percent", [60, 80, 95])
 def test_thresholds(spark, percent, monkeypatch):
-    for name in ("LIMIT", "TILE"):
+    for name in ("LIMIT", "LOT", "SKETCH_TILE", "TILE"):
         monkeypatch.setattr(minhash_dedup, name, 8)
     docs = altered(spark, (0, 1, 2, 3, 4), 12)
     got = {r.doc_id: r.component_id for r in minhash_dedup.deduplicate(docs, percent).collect()}
