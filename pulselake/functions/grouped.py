@@ -10,15 +10,24 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def fresh(name: str, *taken: DataFrame) -> str:
+    """The name, or one like it that no column of the tables has."""
+    held = {c.lower() for d in taken for c in d.columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], member: Column) -> DataFrame:
     """``rows`` with the columns of ``table``, which has one row for each key; an inner join.
 
     The rows of a key are dealt by ``member`` over as many salts as there are tasks, and a row of
     ``table`` goes to no more salts than its key has."""
     salt = F.pmod(F.xxhash64(member), F.lit(parallelism(rows.sparkSession))).cast("int")
-    salted = rows.withColumn("__salt", salt)
-    wanted = salted.select(*keys, "__salt").distinct()
-    return salted.join(wanted.join(table, keys), [*keys, "__salt"]).drop("__salt")
+    name = fresh("__salt", rows, table)
+    salted = rows.withColumn(name, salt)
+    wanted = salted.select(*keys, name).distinct()
+    return salted.join(wanted.join(table, keys), [*keys, name]).drop(name)
 
 
 def with_groups(rows: DataFrame, group: list[str], member: Column, figures: list[Column]) -> DataFrame:
