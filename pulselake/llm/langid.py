@@ -65,18 +65,24 @@ def _forward(net: Network, x: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]
     return h, seats, z / z.sum(axis=1, keepdims=True)
 
 
+def drawn_windows(text: str, seed: int) -> np.ndarray:
+    """At most WINDOWS_A_DOC windows, drawn from the whole text."""
+    w = windows_of(text.encode())
+    return w[np.random.default_rng(seed).permutation(len(w))[:WINDOWS_A_DOC]]
+
+
 def train(texts: list[str], langs: list[str], seed: int = 5) -> Network:
-    """Gradient descent over windows of the texts; the same texts make the same network."""
+    """A network fitted on windows of the texts."""
+    return fit([(lang, drawn_windows(text, seed + i)) for i, (text, lang) in enumerate(zip(texts, langs, strict=True))], seed)
+
+
+def fit(sample: list[tuple[str, np.ndarray]], seed: int = 5) -> Network:
+    """Gradient descent over labelled windows; the same windows make the same network."""
     rng = np.random.default_rng(seed)
-    labels = sorted(set(langs))
+    labels = sorted({lang for lang, _ in sample})
     number = {lang: i for i, lang in enumerate(labels)}
-    xs, ys = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        if len(w := windows_of(text.encode())):
-            take = rng.permutation(len(w))[:WINDOWS_A_DOC]
-            xs.append(w[take])
-            ys += [number[lang]] * len(take)
-    x, y = np.concatenate(xs), np.array(ys)
+    x = np.concatenate([w for _, w in sample])
+    y = np.array([number[lang] for lang, w in sample for _ in range(len(w))])
     weight = len(y) / (len(labels) * np.maximum(1, np.bincount(y, minlength=len(labels))))
     total = FILTERS * len(WIDTHS)
     net = Network(
@@ -166,12 +172,21 @@ class Predictor:
         return langs, scores
 
 
-def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """At most SAMPLE labelled documents that are not held out, of the least hashes."""
-    learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    ids = learn.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = learn.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).collect()
-    return [r.text for r in rows], [r.lang for r in rows]
+def training_sample(docs: DataFrame) -> list[tuple[str, np.ndarray]]:
+    """Labels and windows of at most SAMPLE labelled documents that are not held out, of the least
+    hashes.  Windows are drawn where the documents are: no text leaves its task."""
+    learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).withColumn("key", F.xxhash64("doc_id"))
+    ids = learn.select("doc_id", "key").distinct().orderBy("key", "doc_id").limit(SAMPLE)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [drawn_windows(t.as_py(), k & 0xFFFFFFFF).tobytes() for t, k in zip(b.column(2), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(got, pa.binary())], names=["doc_id", "key", "lang", "windows"])
+
+    chosen = learn.join(F.broadcast(ids.select("doc_id")), "doc_id").select("doc_id", "key", "text", "lang")
+    drawn = chosen.mapInArrow(draw, "doc_id long, key long, lang string, windows binary")
+    rows = drawn.orderBy("key", "doc_id", "lang", "windows").limit(SAMPLE).collect()
+    return [(r.lang, np.frombuffer(bytes(r.windows), dtype=np.uint8).reshape(-1, WINDOW)) for r in rows]
 
 
 def held_out() -> F.Column:
@@ -180,8 +195,8 @@ def held_out() -> F.Column:
 
 def _fitted(docs: DataFrame) -> Broadcast:
     """The network, or None where there is nothing to learn from."""
-    texts, langs = training_sample(docs)
-    return docs.sparkSession.sparkContext.broadcast(train(texts, langs) if any(map(len, texts)) else None)
+    sample = training_sample(docs)
+    return docs.sparkSession.sparkContext.broadcast(fit(sample) if any(len(w) for _, w in sample) else None)
 
 
 def identify(documents: DataFrame) -> DataFrame:
