@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import groups_of, staged
+from .work import groups_of, parallelism, staged
 
 K, SCALE, QUERY_EVERY = 20, 64, 20
-#: Rows of a tile of queries and of candidates, and lists that are merged at a time.
-QUERY_TILE, SHARD_TILE, FAN_IN = 4096, 8192, 32
+#: The largest tiles, in bytes of their numbers; fewest rows of a shard; lists that are merged at a time.
+TILE_BYTES, LEAST_SHARD, FAN_IN = 16_000_000, 2048, 32
 
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     values, ends = flat.flatten().to_numpy(), flat.value_lengths().to_numpy()
     if len(set(ends.tolist())) == 1:
         return values.reshape(len(ends), -1)
-    out = np.zeros((len(ends), int(ends.max(initial=0))), dtype=np.int64)
+    out = np.zeros((len(ends), int(ends.max(initial=0))), dtype=values.dtype)
     out[np.arange(out.shape[1]) < ends[:, None]] = values
     return out
 
@@ -54,7 +54,8 @@ def best_of_tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     dim = min(q.shape[1], c.shape[1])
     order = np.argsort(c_ids, kind="stable")
     c_ids, c, q = c_ids[order], c[order, :dim], q[:, :dim]
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dim, 1)
+    size = lambda x: float(np.abs(x.astype(np.float64)).max(initial=0))
+    bound = size(q) * size(c) * max(dim, 1)
     exact = np.float64 if bound * len(c_ids) < 2**52 else np.int64
     out: list[tuple] = []
     right = c.T.astype(exact)
@@ -78,8 +79,14 @@ def best_of_tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
 def top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY) -> DataFrame:
     """``query_id, rank, vec_id, score`` of every query's k best."""
     d = staged(whole_vectors(vectors), "vectors")
-    n, n_q = d.agg(F.count(F.lit(1)), F.count_if(F.pmod("vec_id", F.lit(query_every)) == 0)).first()
-    shards, tiles = max(1, -(-n // SHARD_TILE)), max(1, -(-n_q // QUERY_TILE))
+    largest = F.max(F.array_max(F.transform("v", lambda c: F.abs(c))))
+    n, n_q, width, most = d.agg(F.count(F.lit(1)), F.count_if(F.pmod("vec_id", F.lit(query_every)) == 0), F.max(F.size("v")), largest).first()
+    bytes_each = 2 if (most or 0) < 1 << 15 else 8
+    if bytes_each == 2:  # narrow numbers, so that few copies of few bytes are sent
+        d = d.withColumn("v", F.col("v").cast("array<short>"))
+    rows = max(LEAST_SHARD, TILE_BYTES // (bytes_each * max(1, width or 1)))
+    tiles = max(1, -(-n_q // rows))
+    shards = max(1, -(-n // rows), min(parallelism(d.sparkSession), n // LEAST_SHARD))
     deal = F.xxhash64("vec_id")
     c = d.withColumn("shard", F.pmod(deal, F.lit(shards)).cast("int")).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("is_query", F.lit(False))
     q = d.where(F.pmod("vec_id", F.lit(query_every)) == 0).distinct()
