@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tokens import encoder
-from .work import staged
+from .work import parallelism, staged
 
 CAPACITY = 2048
-#: Ranks within a length are counted apart in so many salts.
-SALTS = 256
+#: Ranks within a length are counted apart in salts of about so many pieces.
+SALT_PIECES = 100_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -117,11 +117,12 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``items`` (columns of :func:`pieces`), each with ``sequence_id`` and ``offset``."""
-    salted = items.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(SALTS)))
+    salts = max(parallelism(items.sparkSession), -(-items.count() // SALT_PIECES))
+    salted = items.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)))
     counts = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n"))
     by_length = Window.partitionBy("length").orderBy("__salt")
     bases = counts.withColumn("base", F.sum("n").over(by_length) - F.col("n"))
-    # at most `capacity` rows, and at most capacity * SALTS: bounded, whatever the corpus
+    # at most `capacity` rows: bounded, whatever the corpus
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows, _ = plan_bins(histogram, capacity)
     plan = np.array(sorted(rows), dtype=np.int64).reshape(-1, 6)
