@@ -37,9 +37,9 @@ from .files import open_file, write_file
 from .work import groups_of, parallelism, shared_folder, staged
 
 START = datetime(2024, 1, 1, tzinfo=UTC)
-#: An archive is closed when it holds so many bytes; captures of a merged range, about; the most
-#: ranges, and the keys that are sampled for each, which bounds what the driver receives.
-ARCHIVE_BYTES, RANGE_CAPTURES, MOST_RANGES, KEYS_A_RANGE = 32_000_000, 20_000, 4_096, 32
+#: An archive is closed when it holds so many bytes; captures of a merged range, about, and the keys
+#: that are sampled for each.  The driver receives one key for each range.
+ARCHIVE_BYTES, RANGE_CAPTURES, KEYS_A_RANGE = 32_000_000, 20_000, 32
 SALTS = 32
 _URI = "urn:page:"
 
@@ -69,7 +69,8 @@ def when(page_id: int | None) -> datetime:
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record as a gzip member."""
     uri = (url or f"{_URI}{page_id}").replace("\r", "%0D").replace("\n", "%0A")
-    body = b"" if refers_to is not None else payload
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    body = http if refers_to is not None else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
@@ -78,7 +79,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"WARC-Date: {when(page_id):%Y-%m-%dT%H:%M:%SZ}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
-        "Content-Type: text/html; charset=utf-8",
+        "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(body)}",
     ]
     if refers_to is not None:
@@ -93,7 +94,7 @@ def read_record(member: bytes) -> tuple[int | None, int, str, str, int | None]:
     raw = zlib.decompress(member, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    body = rest[: int(fields["Content-Length"])]
+    body = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]  # behind the HTTP head
     number = lambda name: int(v) if (v := fields.get(name, "<>")[1:-1].removeprefix(_URI)) else None
     stated = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if fields["WARC-Type"] == "revisit":
@@ -160,13 +161,24 @@ def _digests(pages: DataFrame) -> DataFrame:
 
 
 def _cuts(captures: DataFrame) -> list[tuple[str, str, int]]:
-    """Where the key ranges end: evenly among a bounded sample of keys."""
-    n = captures.count()
-    ranges = max(min(n, parallelism(captures.sparkSession)), min(MOST_RANGES, -(-n // RANGE_CAPTURES)))
+    """Where the key ranges end: a sample of keys is sorted in Spark, and every KEYS_A_RANGE-th stays."""
+    spark, n = captures.sparkSession, captures.count()
+    ranges = max(min(n, parallelism(spark)), -(-n // RANGE_CAPTURES))
+    if ranges < 2:
+        return []
     page = F.coalesce("page_id", F.lit(-1)).alias("page")
-    sample = captures.select("key", "ts", page).orderBy(F.xxhash64("key", "page", F.lit(3))).limit(KEYS_A_RANGE * ranges).collect()
-    keys = sorted((r.key, r.ts, r.page) for r in sample)
-    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+    share = min(1.0, KEYS_A_RANGE * ranges / n)
+    sample = captures.select("key", "ts", page).where(F.pmod(F.xxhash64("key", "page", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
+    step = max(1, int(n * share) // ranges)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for b in batches:
+            yield b.slice((step - 1 - seen) % step).take(pa.array(range(0, max(0, b.num_rows - (step - 1 - seen) % step), step)))
+            seen += b.num_rows
+
+    ordered = sample.repartitionByRange("key", "ts", "page").sortWithinPartitions("key", "ts", "page")
+    return sorted({(r.key, r.ts, r.page) for r in ordered.mapInArrow(thin, f"{_KEY}, page long").collect()})
 
 
 def write_archives(pages: DataFrame, folder: str, cuts: list) -> DataFrame:

@@ -1,5 +1,7 @@
 """Vectors and pages, against brute force."""
 
+import zlib
+
 import numpy as np
 import pytest
 
@@ -103,7 +105,7 @@ def test_top_k(spark, vectors, scale):
 
 def test_top_k_of_many_tiles(spark, monkeypatch):
     d = queries.table(spark, SF, "embeddings")
-    for name, n in (("QUERY_TILE", 7), ("SHARD_TILE", 11), ("FAN_IN", 3)):
+    for name, n in (("TILE_BYTES", 1), ("LEAST_SHARD", 7), ("FAN_IN", 3)):
         monkeypatch.setattr(topk, name, n)
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(d).collect()} == brute_top(d.collect())
 
@@ -142,6 +144,8 @@ def test_loser_tree(runs):
 def test_record_round_trip():
     a = warc.record(7, "http://x/", "é".encode(), warc.payload_digest("é".encode()), None)
     assert warc.read_record(a) == (7, 2, warc.payload_digest("é".encode()), "response", None)
+    raw = zlib.decompress(a, 31)
+    assert b"Content-Type: application/http; msgtype=response" in raw and b"HTTP/1.1 200 OK\r\n" in raw and "\r\n\r\né\r\n\r\n".encode() in raw
     b = warc.record(3, None, b"abc", warc.payload_digest(b"abc"), 7)
     assert warc.read_record(b) == (3, 3, warc.payload_digest(b"abc"), "revisit", 7)
 
