@@ -11,18 +11,21 @@ table mixes to an empty one; with no words at all every target is 0.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import staged
+from .work import fresh, lookup, staged
 
 #: A word, and the weights of the sources in the order of their code points.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: A target is at most so many times its source's size.
 MOST_EPOCHS = 3
-#: Hexadecimal digits of the key by which a source is cut into ranges: 4096 of them.
-RANGE_DIGITS = 3
+#: A source is cut into ranges by the first hexadecimal digits of the key, three or so many that a
+#: range of a source with all documents has about RANGE_DOCUMENTS.
+RANGE_DOCUMENTS = 50_000
 
 
 def word_count(text: str) -> F.Column:
@@ -60,7 +63,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     copies, that document being in if half of it or more is."""
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), key.alias("key"))
-    d = staged(d.withColumn("range", F.substring("key", 1, RANGE_DIGITS)), "sizes")
+    d = staged(d, "sizes")
+    digits = max(3, math.ceil(math.log(max(1, d.count() / RANGE_DOCUMENTS), 16)))
+    d = d.withColumn("range", F.substring("key", 1, digits))
     ranges = d.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     source_of = Window.partitionBy("source")
     ranges = ranges.withColumn("range_before", F.sum("range_size").over(source_of.orderBy("range")) - F.col("range_size"))
@@ -86,7 +91,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix with their own columns, a row for each whole copy."""
-    plan = mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """The documents of the mix with their own columns, a row for each whole copy.
+
+    Rows that share a doc_id, or have none, come as often as the one of them that comes most often;
+    documents without a whole copy go, and an empty table stays empty."""
+    key, copies, copy = (fresh(n, docs) for n in ("__key", "__copies", "__copy"))
+    named = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    plan = mix(docs).groupBy(named(F.col("doc_id")).alias(key)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    apart = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # those without a doc_id may be many
+    joined = lookup(docs.withColumn(key, named(F.col("doc_id"))), plan, [key], apart)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
