@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import Forest, components, discard, groups_of, labelled, lookup, lookup_left, staged, tiled_by_class, with_groups
+from .work import Forest, components, discard, fresh, groups_of, labelled, lookup, lookup_left, staged, tiled_by_class, with_groups
 
 WORDS = 5
 #: Links: 100 * intersection >= percent * union; op5's percent.
@@ -371,6 +371,10 @@ def deduplicate(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, with its own columns."""
-    gone = deduplicate(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    """One document of each group, with its own columns: the one with the least doc_id.
+
+    Rows without a doc_id, a text or a word stay; rows that share a doc_id all go if none of them
+    is kept, and else stay; an empty table stays empty."""
+    gone = fresh("__gone", docs)
+    copies = deduplicate(docs, percent).groupBy(F.col("doc_id").alias(gone)).agg(F.bool_or("kept").alias("kept")).where("not kept").select(gone)
+    return docs.join(copies, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

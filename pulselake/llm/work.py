@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grouped import fresh, lookup, parallelism
 from ..sources.shared import shared_folder
 
+__all__ = ["Forest", "components", "discard", "fresh", "groups_of", "labelled", "lookup", "lookup_left", "parallelism", "shared_folder", "staged", "tiled", "tiled_by_class", "with_groups"]
+
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df``, written as a table in the shared folder and read back: lineage ends there,
@@ -31,10 +34,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def parallelism(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of each group, from batches that are sorted by integer or string ``keys``."""
     held: list[pa.RecordBatch] = []
@@ -85,19 +84,8 @@ class Forest:
         return [(r, i) for i in range(len(self.up)) if (r := self.root(i)) != i]
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], member: Column) -> DataFrame:
-    """``rows`` with the columns of ``table``, which has one row for each key; an inner join.
-
-    A key may hold any share of the rows: they are dealt by ``member`` over as many salts as there
-    are tasks, and a row of ``table`` goes to no more salts than its key has."""
-    salt = F.pmod(F.xxhash64(member), F.lit(parallelism(rows.sparkSession))).cast("int")
-    salted = rows.withColumn("__salt", salt)
-    wanted = salted.select(*keys, "__salt").distinct()
-    return salted.join(wanted.join(table, keys), [*keys, "__salt"]).drop("__salt")
-
-
 def lookup_left(rows: DataFrame, table: DataFrame, keys: list[str], member: Column) -> DataFrame:
-    """The same as an outer join: rows without a key, or with one that is not there, stay."""
+    """Like ``lookup``, but as an outer join: rows without a key, or with one that is not there, stay."""
     salt = F.pmod(F.xxhash64(member), F.lit(parallelism(rows.sparkSession))).cast("int")
     salted = rows.withColumn("__salt", salt)
     wanted = salted.select(*keys, "__salt").distinct().join(table, keys)

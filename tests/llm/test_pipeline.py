@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pulselake.llm import langid, minhash_dedup, mixing, queries
+from pulselake.llm import langid, mixing, queries
 from pulselake.llm.tokens import encoder
 from pulselake.llm.work import staged
+from test_near_duplicates import least_of_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,7 +37,7 @@ def test_stages(spark, edge_docs, which):
     start = queries.table(spark, SF, "documents") if which == "table" else edge_docs
     good = {r.doc_id for r in langid.identify(start).collect() if r.lang_pred != "und" and r.score >= langid.LEAST_SCORE}
     assert named(first) == Counter({k: n for k, n in named(start).items() if k[0] in good})
-    gone = {r.doc_id for r in minhash_dedup.deduplicate(first).collect() if not r.kept}
+    gone = {i for i, least in least_of_groups(first.where("doc_id is not null"), corpus_pipeline.NEAR).items() if i != least}
     assert named(second) == Counter({k: n for k, n in named(first).items() if k[0] not in gone})
     copies = {r.doc_id: r.copies for r in mixing.mix(second).collect()}
     assert set(named(third)) == {k for k in named(second) if copies[k[0]]}
