@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import fresh, lookup, staged
+from .work import discard, fresh, lookup, staged
 
 #: A word, and the weights of the sources in the order of their code points.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,7 +63,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     copies, that document being in if half of it or more is."""
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), key.alias("key"))
-    d = staged(d, "sizes")
+    sizes = d = staged(d, "sizes")
     digits = max(3, math.ceil(math.log(max(1, d.count() / RANGE_DOCUMENTS), 16)))
     d = d.withColumn("range", F.substring("key", 1, digits))
     ranges = d.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -83,11 +83,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     d = d.withColumn("epochs", epochs).withColumn("left", (budget - F.col("epochs") * F.col("source_size")).cast("long"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("before")))
     whole = (2 * part >= F.col("size")) & (F.col("before") < F.col("left"))
-    return d.select(
+    mixed = staged(d.select(
         "doc_id", "size", "source", "source_size", "target",
         (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
         (F.col("epochs") + whole.cast("long")).alias("copies"),
-    )
+    ), "mixed")
+    discard(sizes)
+    return mixed
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tokens import encoder
-from .work import parallelism, staged
+from .work import discard, parallelism, staged
 
 CAPACITY = 2048
 #: Ranks within a length are counted apart in salts of about so many pieces.
@@ -148,4 +148,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    return pack(staged(pieces(docs, vocabulary, capacity), "pieces"), capacity)
+    items = staged(pieces(docs, vocabulary, capacity), "pieces")
+    packed = staged(pack(items, capacity), "packed")
+    discard(items)
+    return packed

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import open_file, write_file
-from .work import groups_of, parallelism, shared_folder, staged
+from .work import discard, groups_of, parallelism, shared_folder, staged
 
 START = datetime(2024, 1, 1, tzinfo=UTC)
 #: An archive is closed when it holds so many bytes; captures of a merged range, about, and the keys
@@ -270,7 +270,9 @@ def archive_pages(table: DataFrame, least_bytes: int = 0) -> DataFrame:
     runs = staged(write_archives(joined, folder, _cuts(digests)), "runs")
     if runs.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, capture_time string, history_range int, history_place long")
-    return read_captures(staged(merge_runs(runs), "capture-history"), folder)
+    history = staged(merge_runs(runs), "capture-history")
+    discard(digests, runs)
+    return read_captures(history, folder)
 
 
 def _with_digest(pages: DataFrame) -> DataFrame:
