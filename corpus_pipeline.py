@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pulselake.llm import langid, minhash_dedup, mixing, packing
-from pulselake.llm.work import staged
+from pulselake.llm.work import discard, staged
 
 #: Near copies share so many hundredths of their word shingles.
 NEAR = 80
@@ -52,6 +52,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    kept = None
+    for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if kept is not None:  # what the stage has read is not needed any more
+            discard(kept)
+        kept = docs
+    return docs
