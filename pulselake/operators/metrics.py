@@ -75,6 +75,18 @@ def evaluate(rows: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFr
     return auroc(rows, keys).join(average_precision(rows, keys), keys).join(binary_metrics(rows, keys, threshold), keys)
 
 
+def evaluation_report(rows: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
+    """The whole report of each run as one table: ``keys, section, item, measure, value``, with the
+    metrics, the report of each class and the confusion matrix."""
+    def long(d: DataFrame, section: str, item: Column, measures: list[str]) -> DataFrame:
+        each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures)))
+        return d.select(*keys, F.lit(section).alias("section"), item.alias("item"), each.alias("m")).select(*keys, "section", "item", "m.*")
+
+    metrics = long(evaluate(rows, keys, threshold), "metrics", F.lit("all"), ["auroc", "ap", "accuracy", "precision", "recall", "f1"])
+    classes = long(class_report(rows, keys, threshold), "classes", F.col("class"), ["precision", "recall", "f1", "support"])
+    return metrics.unionByName(classes).unionByName(long(confusion(rows, keys, threshold), "confusion", F.col("y").cast("string"), ["pred_0", "pred_1"]))
+
+
 def best_epoch(log: DataFrame, keys: list[str], order: list[str], metric: str, least_gain: float = 0.001, patience: int = 30) -> DataFrame:
     """A running best that counts only gains of more than ``least_gain``, from 0 on, until
     ``patience`` epochs bring none: best value (null if none), best epoch and the epoch of the stop.

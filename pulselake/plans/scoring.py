@@ -97,6 +97,16 @@ def evaluate_runs(spark, sf_dir):
     return _rounded(metrics.evaluate(predictions(spark, sf_dir), ["grp"]), "auroc", "ap", "accuracy", "precision", "recall", "f1")
 
 
+@registered(
+    f"""WITH ev AS ({ORACLES["evaluate_runs"]}), cr AS ({ORACLES["class_report"]}), cm AS ({ORACLES["confusion"]})
+SELECT grp, 'metrics' AS section, 'all' AS item, unnest(['auroc', 'ap', 'accuracy', 'precision', 'recall', 'f1']) AS measure, unnest([auroc, ap, accuracy, precision, recall, f1])::DOUBLE AS value FROM ev
+UNION ALL SELECT grp, 'classes', class, unnest(['precision', 'recall', 'f1', 'support']), unnest([precision, recall, f1, support]::DOUBLE[]) FROM cr
+UNION ALL SELECT grp, 'confusion', y::VARCHAR, unnest(['pred_0', 'pred_1']), unnest([pred_0, pred_1]::DOUBLE[]) FROM cm"""
+)
+def evaluation_report(spark, sf_dir):
+    return _rounded(metrics.evaluation_report(predictions(spark, sf_dir), ["grp"]), "value")
+
+
 @registered(
     f"""WITH RECURSIVE {views.EVENTS_SQL}, v AS (SELECT user_id, value / 500 AS v, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM ev),
 s AS (
