@@ -25,6 +25,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Bounds the sample on which the network is fitted.
 SAMPLE = 3000
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 8, (2, 3, 4)
@@ -195,6 +197,7 @@ def held_out() -> F.Column:
 
 def _fitted(docs: DataFrame) -> Broadcast:
     """The network, or None where there is nothing to learn from."""
+    ship(docs.sparkSession)
     sample = training_sample(docs)
     return docs.sparkSession.sparkContext.broadcast(fit(sample) if any(len(w) for _, w in sample) else None)
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .tokens import PieceEncoder, encoder
 
 #: Longer texts are counted in chunks of so many characters, overlapping by so many at first.
@@ -93,4 +94,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -172,3 +172,23 @@ def test_mixed_documents(spark):
 def test_empty_tables(spark, no_docs):
     for f in (minhash_dedup.deduplicate, minhash_dedup.distinct_documents, langid.identify, langid.accepted, license_scan.scan_licenses, mixing.mix, mixing.mixed_documents):
         assert f(no_docs).count() == 0
+
+
+def test_columns_of_clashing_names(spark):
+    """Helper columns give way to the documents' own."""
+    names = ("__salt", "__gone", "__key", "__copies", "__copy", "_salt", "component", "node", "rep", "no", "same")
+    text = "one two three four five six seven eight nine ten"
+    rows = [(i, text if i < 3 else f"{text} {i} a b c d e f g", "s", *(f"{n}{i}" for n in names)) for i in range(6)] + [(None, text, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    for f in (minhash_dedup.distinct_documents, mixing.mixed_documents):
+        got = f(docs)
+        assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= {tuple(r) for r in docs.collect()}
+    kept = {r.doc_id for r in minhash_dedup.distinct_documents(docs).collect()}
+    assert kept == {0, 3, 4, 5, None}
+
+
+def test_rows_of_one_doc_id_are_documents_of_their_own(spark):
+    texts = [" ".join(f"w{k * 100 + i}" for i in range(60)) for k in range(2)]
+    docs = spark.createDataFrame([(1, texts[0]), (5, texts[0]), (5, texts[1]), (9, texts[1] + " x")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.deduplicate(docs).collect())
+    assert got == [(1, 56, 1, True), (5, 56, 1, False), (5, 56, 5, True), (9, 57, 5, False)]

@@ -4,7 +4,7 @@ import math
 import random
 
 import pytest
-from pulselake.llm import license_scan
+from pulselake.llm import license_scan, queries
 from pulselake.llm.license_scan import BASE, TEMPLATES, scan_licenses, slack, words_of
 
 
@@ -69,6 +69,11 @@ def test_groups_of_copies_and_altered_templates(spark):
     check(spark, texts)
 
 
+def test_documents_of_the_table(spark):
+    rows = queries.table(spark, "/root/testdata/sf0.001", "documents").select("text").collect()
+    assert {"gpl,gpl-3.0", "apache-2.0", "mit"} & set(check(spark, [r.text for r in rows]).values())
+
+
 def test_labels_do_not_hang_on_the_counts():
     for counts in ({}, {w: n for n, w in enumerate("gnu general public license version 3 apache 2 0".split(), 1)}, {"license": 10, "gnu": 10}):
         index = license_scan.Index(counts, 10)
