@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, z_normalised
+from ..shipping import ship
 
 STATISTICS = ("nan_ratio", "amp_mean", "amp_std", "amp_skewness", "amp_kurtosis")
 
@@ -97,6 +98,8 @@ def dtw(a: np.ndarray, b: np.ndarray) -> float:
 def beat_dtw(beats: DataFrame, keys: list[str], order: str, samples: str, fixed_length: int) -> DataFrame:
     """Mean warping distance of consecutive beats over their fixed length."""
 
+    ship(beats.sparkSession)
+
     @F.pandas_udf("double")
     def distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
