@@ -174,7 +174,7 @@ def _cuts(captures: DataFrame) -> list[tuple[str, str, int]]:
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = 0
         for b in batches:
-            yield b.slice((step - 1 - seen) % step).take(pa.array(range(0, max(0, b.num_rows - (step - 1 - seen) % step), step)))
+            yield b.take(pa.array(range((step - 1 - seen) % step, b.num_rows, step), pa.int64()))
             seen += b.num_rows
 
     ordered = sample.repartitionByRange("key", "ts", "page").sortWithinPartitions("key", "ts", "page")
