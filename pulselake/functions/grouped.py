@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,8 +18,19 @@ def fresh(name: str, *taken: DataFrame) -> str:
     return name
 
 
+def null_safe_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``table``; null keys meet."""
+    names = {k: fresh(f"__key_{i}", rows, table) for i, k in enumerate(keys)}
+    other = table.withColumnsRenamed(names)
+    same = F.lit(True)
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return rows.join(other, same, how).drop(*names.values())
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], member: Column) -> DataFrame:
-    """``rows`` with the columns of ``table``, which has one row for each key; an inner join.
+    """``rows`` with the columns of ``table``, which has one row for each key; an inner join in which
+    null keys meet.
 
     The rows of a key are dealt by ``member`` over as many salts as there are tasks, and a row of
     ``table`` goes to no more salts than its key has."""
@@ -27,26 +38,9 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], member: Column) -
     name = fresh("__salt", rows, table)
     salted = rows.withColumn(name, salt)
     wanted = salted.select(*keys, name).distinct()
-    return salted.join(wanted.join(table, keys), [*keys, name]).drop(name)
+    return null_safe_join(salted, null_safe_join(wanted, table, keys), [*keys, name]).drop(name)
 
 
 def with_groups(rows: DataFrame, group: list[str], member: Column, figures: list[Column]) -> DataFrame:
     """``rows`` with figures of their group."""
     return lookup(rows, rows.groupBy(*group).agg(*figures), group, member)
-
-
-def running_sums(rows: DataFrame, keys: list[str], order: str, names: list[str], descending: bool = False, ranges: int = 256) -> DataFrame:
-    """``rows``, one for each value of ``order`` within the keys, with ``before_<name>``: the sum of
-    each name over the values before it.
-
-    Each group is cut into ranges of about as many rows, whose sums come first, so that no group is
-    summed by one task."""
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000).alias("__cuts"))
-    d = lookup(rows, cuts, keys, F.col(order)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
-    up = lambda c: F.desc(c) if descending else F.asc(c)
-    sums = d.groupBy(*keys, "__range").agg(*(F.sum(n).alias(f"__{n}") for n in names))
-    by_range = Window.partitionBy(*keys).orderBy(up("__range")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    sums = sums.select(*keys, "__range", *(F.coalesce(F.sum(f"__{n}").over(by_range), F.lit(0.0)).alias(f"__{n}") for n in names))
-    inside = Window.partitionBy(*keys, "__range").orderBy(up(order)).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumns({f"before_{n}": F.coalesce(F.sum(n).over(inside), F.lit(0.0)) for n in names}).join(sums, [*keys, "__range"])
-    return d.withColumns({f"before_{n}": F.col(f"before_{n}") + F.col(f"__{n}") for n in names}).drop("__range", *(f"__{n}" for n in names))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grouped import running_sums
+from ..functions.ranges import running_sums
 
 
 def predicted(p: Column, threshold: float = 0.5) -> Column:
@@ -26,7 +26,7 @@ def auroc(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def average_precision(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Step-wise average precision with tied scores as one step; null without positives."""
-    d = running_sums(_by_score(rows, keys), keys, "p", ["pos", "neg"], descending=True)
+    d = running_sums(_by_score(rows, keys), keys, F.desc("p"), ["pos", "neg"])
     tp, fp = F.col("before_pos") + F.col("pos"), F.col("before_neg") + F.col("neg")
     return d.groupBy(*keys).agg(F.try_divide(F.sum(F.col("pos") * tp / (tp + fp)), F.nullif(F.sum("pos"), F.lit(0.0))).alias("ap"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 
@@ -21,3 +21,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         top = "file://" + tempfile.mkdtemp(prefix="pulselake-")
     ship(spark)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written as a table in a shared folder and read back: lineage ends there, and rows stay
+    where they were put."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
