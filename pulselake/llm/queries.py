@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, langid, license_scan, minhash_dedup, mixing, packing, token_counts, token_store, topk, warc
+from . import embedding_dedup, langid, license_scan, minhash_dedup, mixing, packing, resampling, token_counts, token_store, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_token_store": op2_token_store,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_topk": op9_topk,
     "op10_mix": op10_mix,
+    "op11_resample": op11_resample,
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -143,5 +148,25 @@ e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END
 SELECT doc_id, size, source_size, target,
        (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken
 FROM e
+""",
+    "op11_resample": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+fd AS (SELECT row, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS f FROM (SELECT row_number() OVER () AS row, * FROM d), range(1, 4) t(k)),
+fb AS (SELECT unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS f FROM b, range(1, 4) t(k)),
+tab AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+u AS (SELECT f, hex(f) AS h FROM (SELECT f FROM fd UNION SELECT f FROM fb)),
+k AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM u, tab),
+hs AS (SELECT bucket, count(*) AS s FROM fd JOIN k USING (f) GROUP BY 1),
+ht AS (SELECT bucket, count(*) AS t FROM fb JOIN k USING (f) GROUP BY 1),
+n AS (SELECT (SELECT count(*) FROM fd)::DOUBLE AS s_all, (SELECT count(*) FROM fb)::DOUBLE AS t_all),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (t_all + 10000))))::BIGINT AS gain FROM hs FULL JOIN ht USING (bucket), n),
+w AS (SELECT row, count(*)::BIGINT AS n_features, sum(gain)::BIGINT AS weight FROM fd JOIN k USING (f) JOIN g USING (bucket) GROUP BY row),
+o AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM (SELECT row_number() OVER () AS row, * FROM d) LEFT JOIN w USING (row)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS rk, 5 * count(*) OVER (PARTITION BY n_words >= 20) // 100 AS drawn FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND rk <= drawn THEN rk END::BIGINT AS rank FROM r
 """,
 }
