@@ -50,14 +50,14 @@ def lowered(text: str) -> str:
     return text.encode().lower().decode()
 
 
-def words_of(split, text: str) -> Iterator[tuple[str, tuple[int, int]]]:
-    """The words of a lower-cased text with their offsets, from chunks that end between words."""
+def words_of(split, text: str) -> Iterator[tuple[int, list[tuple[str, tuple[int, int]]]]]:
+    """The words of a lower-cased text with their offsets, in chunks that end between words: where a
+    chunk starts, and its words with offsets from there."""
     at = 0
     while at < len(text):
         cut = _BETWEEN.search(text, min(len(text), at + CHUNK))
         stop = cut.start() if cut else len(text)
-        for word, (a, b) in split.pre_tokenize_str(text[at:stop]):
-            yield word, (at + a, at + b)
+        yield at, split.pre_tokenize_str(text[at:stop])
         at = stop
 
 
@@ -126,7 +126,9 @@ def text_buckets(texts: list[str | None], split, appender: Appender) -> Iterator
             yield len(i), np.concatenate([r[a : max(a, stop - k)] for k, r in enumerate(runs)])
 
     for text in texts:
-        ids = array("i", (words[w] for w, _ in words_of(split, lowered(text or ""))))
+        ids = array("i")
+        for _, found in words_of(split, lowered(text or "")):
+            ids.extend([words[w] for w, _ in found])
         held.append((ids, len(ids)))
         n += len(ids)
         if n >= BLOCK:
