@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, langid, license_scan, minhash_dedup, mixing, packing, resampling, token_counts, token_store, topk, warc
+from . import collocations, embedding_dedup, langid, license_scan, minhash_dedup, mixing, packing, resampling, token_counts, token_store, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_token_store": op2_token_store,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_mix": op10_mix,
     "op11_resample": op11_resample,
+    "op12_collocations": op12_collocations,
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -168,5 +173,22 @@ o AS (
   FROM (SELECT row_number() OVER () AS row, * FROM d) LEFT JOIN w USING (row)),
 r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS rk, 5 * count(*) OVER (PARTITION BY n_words >= 20) // 100 AS drawn FROM o)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND rk <= drawn THEN rk END::BIGINT AS rank FROM r
+""",
+    "op12_collocations": rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+f AS (
+  SELECT lang, k, phrase, count(*) AS n
+  FROM (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 4) t(k))
+  GROUP BY ALL),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND n >= 10),
+t AS (SELECT lang, k, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS first, array_to_string(ws[cut + 1:], ' ') AS rest FROM c, range(1, 3) t(cut) WHERE cut < k),
+s AS (SELECT t.*, x.n AS l, y.n AS r, ((1000000::HUGEINT * a * a) // (x.n::HUGEINT * y.n))::BIGINT AS score FROM t JOIN f x ON x.lang = t.lang AND x.phrase = first JOIN f y ON y.lang = t.lang AND y.phrase = rest),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3) GROUP BY ALL),
+z AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, z.n, score
+FROM b LEFT JOIN i USING (lang, phrase) JOIN z USING (lang) WHERE longer IS NULL OR 100 * longer < 50 * a QUALIFY rank <= 2000
 """,
 }
