@@ -33,12 +33,12 @@ from ..shipping import ship
 from .html_blocks import APART_NAMES, Block, blocks_of, dressed, marked_main
 
 #: Bounds the sample on which the network is fitted, and the blocks that are learned of a page.
-SAMPLE, DRESSES, LEARNED_BLOCKS = 250, 3, 64
-PATHS, WORDS = 256, 64
+SAMPLE, DRESSES, LEARNED_BLOCKS = 300, 4, 64
+PATHS, WORDS = 512, 64
 MEASURES = 10
 WIDTH = PATHS + WORDS + MEASURES
 EMBED, HIDDEN = 24, 16
-EPOCHS, BATCH, RATE = 10, 32, 0.01
+EPOCHS, BATCH, RATE = 20, 32, 0.01
 #: So many padded blocks are labelled at once, or one page.
 CELLS = 16_384
 _STOP = re.compile(r"[.!?,;:](?:\s|$)")

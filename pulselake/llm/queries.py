@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, embedding_dedup, langid, license_scan, minhash_dedup, mixing, packing, resampling, token_counts, token_store, topk, warc
+from . import collocations, embedding_dedup, html_text, langid, license_scan, minhash_dedup, mixing, packing, resampling, token_counts, token_store, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_token_store": op2_token_store,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix": op10_mix,
     "op11_resample": op11_resample,
     "op12_collocations": op12_collocations,
+    "op13_html_text": op13_html_text,
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
