@@ -44,18 +44,37 @@ _FOLD = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 COUNTS = "lang string, phrase string, words int, begun int, n long"
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def tokens(raw: bytes) -> tuple[np.ndarray, list[bytes]]:
     """Numbers of the words of a text, with 0 between pieces, and the words by number."""
-    ids = _Ids()
-    ids[_BREAK]
-    words = raw.lower().translate(_FOLD).replace(_BREAK, b" \n ").split(b" ")
-    return np.array([ids[w] for w in words if w], dtype=np.int64), list(ids)
+    text = raw.lower().translate(_FOLD)
+    data = np.frombuffer(text, np.uint8)
+    breaks = data == _BREAK[0]
+    solid = (data != 32) & ~breaks
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    starts, sizes = np.flatnonzero(first), np.flatnonzero(last) - np.flatnonzero(first) + 1
+    # a word of up to 16 bytes is two numbers and its length; a longer one is its number among those
+    eights = np.ndarray(len(text) + 9, "<u8", buffer=text + bytes(16), strides=(1,))
+    low, high = eights[starts] & _MASKS[np.minimum(sizes, 8)], eights[np.minimum(starts + 8, len(text))] & _MASKS[np.clip(sizes - 8, 0, 8)]
+    long = np.flatnonzero(sizes > 16)
+    known: dict[bytes, int] = {}
+    low[long] = [known.setdefault(text[a : a + n], len(known)) for a, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)]
+    high[long] = 0
+    kind = np.minimum(sizes, 17).astype(np.uint64)
+    mixed = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F) + kind)
+    mixed ^= mixed >> np.uint64(29)
+    _, where, number = np.unique(mixed, return_index=True, return_inverse=True)
+    same = where[number]
+    if not (np.array_equal(low, low[same]) and np.array_equal(high, high[same]) and np.array_equal(kind, kind[same])):
+        # two words of one mix
+        _, where, number = np.unique(np.column_stack((low, high, kind)), axis=0, return_index=True, return_inverse=True)
+    ids = np.zeros(len(text), np.int64)
+    ids[starts] = number + 1
+    return ids[np.flatnonzero(first | breaks)], [_BREAK, *(text[a : a + n] for a, n in zip(starts[where].tolist(), sizes[where].tolist(), strict=True))]
 
 
 def slot_of(lang: str, phrase: str) -> int:
@@ -76,15 +95,17 @@ def counted(lang: str, raw: bytes, step: int, reached: np.ndarray, appender: App
     alone = np.array([zlib.crc32(prefix + w) for w in words], np.uint32)
     behind = np.array([zlib.crc32(b" " + w) for w in words], np.uint32)
     sizes = np.array([len(w) + 1 for w in words], np.int64)
-    crc, ok, codes = alone[ids], inside, ids
+    crc, ok, codes, kinds = alone[ids], inside, ids, len(words)
     for k in range(2, min(longest, step + 1) + 1):  # a phrase of k words begins at step k - 1 at the earliest
         at = reached[crc % SLOTS].astype(np.int64)
         begun = 1 + np.maximum(at[:-1], at[1:])
         ok = ok[:-1] & inside[k - 1 :]
         here = np.flatnonzero(ok & (begun <= step) & (step < begun + shards))
         # phrases as numbers: that of the first words, then the last one
-        if k > 2:
-            _, codes = np.unique(codes, return_inverse=True)
+        if kinds * len(words) >= 1 << 63:
+            distinct, codes = np.unique(codes, return_inverse=True)
+            kinds = len(distinct)
+        kinds *= len(words)
         last = ids[k - 1 :]
         codes = codes[: len(last)] * len(words) + last
         _, first, n = np.unique(codes[here], return_index=True, return_counts=True)
