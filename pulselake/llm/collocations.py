@@ -41,7 +41,8 @@ SLOTS, NEVER = 1 << 24, 255
 BLOCK = 1 << 22
 _BREAK = b"\n"
 _FOLD = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
-COUNTS = "lang string, phrase string, words int, begun int, n long"
+#: A key is the language (escaped), a null character and the phrase.
+COUNTS = "key string, begun int, n long"
 
 
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
@@ -77,8 +78,8 @@ def tokens(raw: bytes) -> tuple[np.ndarray, list[bytes]]:
     return ids[np.flatnonzero(first | breaks)], [_BREAK, *(text[a : a + n] for a, n in zip(starts[where].tolist(), sizes[where].tolist(), strict=True))]
 
 
-def slot_of(lang: str, phrase: str) -> int:
-    return zlib.crc32(f"{lang}\0{phrase}".encode()) % SLOTS
+def escaped(lang: str) -> str:
+    return lang.replace("%", "%25").replace("\0", "%00")
 
 
 def counted(lang: str, raw: bytes, step: int, reached: np.ndarray, appender: Appender, longest: int, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[pa.Array]]]:
@@ -91,13 +92,13 @@ def counted(lang: str, raw: bytes, step: int, reached: np.ndarray, appender: App
         counts = np.bincount(ids, minlength=len(words))
         yield 0, np.zeros(1, np.int64), np.array([inside.sum()]), []
         yield 1, np.zeros(len(words) - 1, np.int64), counts[1:], [names.slice(1)]
-    prefix = f"{lang}\0".encode()
+    prefix = f"{escaped(lang)}\0".encode()
     alone = np.array([zlib.crc32(prefix + w) for w in words], np.uint32)
     behind = np.array([zlib.crc32(b" " + w) for w in words], np.uint32)
     sizes = np.array([len(w) + 1 for w in words], np.int64)
     crc, ok, codes, kinds = alone[ids], inside, ids, len(words)
     for k in range(2, min(longest, step + 1) + 1):  # a phrase of k words begins at step k - 1 at the earliest
-        at = reached[crc % SLOTS].astype(np.int64)
+        at = reached[crc % np.uint32(len(reached))].astype(np.int64)
         begun = 1 + np.maximum(at[:-1], at[1:])
         ok = ok[:-1] & inside[k - 1 :]
         here = np.flatnonzero(ok & (begun <= step) & (step < begun + shards))
@@ -126,10 +127,11 @@ def scan(shard: DataFrame, step: int, reached: np.ndarray, longest: int, shards:
         def flush() -> Iterator[pa.RecordBatch]:
             while held:
                 lang, texts = held.popitem()
-                for k, begun, n, parts in counted(lang, _BREAK.join(texts), step, table, appender, longest, shards):
-                    phrase = pc.binary_join_element_wise(*parts, b" ").cast(pa.string()) if parts else pa.array([""])
-                    lang_k = [pa.array([lang] * len(n), pa.string()), phrase, pa.array(np.full(len(n), k), pa.int32())]
-                    yield pa.RecordBatch.from_arrays([*lang_k, pa.array(begun, pa.int32()), pa.array(n, pa.int64())], names=["lang", "phrase", "words", "begun", "n"])
+                prefix = pa.scalar(f"{escaped(lang)}\0".encode())
+                for _, begun, n, parts in counted(lang, _BREAK.join(texts), step, table, appender, longest, shards):
+                    phrase = pc.binary_join_element_wise(*parts, b" ") if parts else pa.array([b""])
+                    key = pc.binary_join_element_wise(prefix, phrase, b"").cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([key, pa.array(begun, pa.int32()), pa.array(n, pa.int64())], names=["key", "begun", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -155,10 +157,17 @@ def _sharded(documents: DataFrame, shards: int) -> DataFrame:
     return table
 
 
-def _new_slots(counters: DataFrame, step: int, longest: int) -> np.ndarray:
-    """Slots of the phrases that came to the threshold at this step; a bit for each slot at most."""
-    slot = F.crc32(F.concat_ws("\0", "lang", "phrase")) % SLOTS
-    found = counters.where((F.col("reached") == step) & F.col("words").between(1, longest - 1)).select(slot.alias("slot"))
+def _phrase() -> F.Column:
+    return F.expr("substring(key, instr(key, '\\u0000') + 1)")
+
+
+def _words(phrase: F.Column) -> F.Column:
+    return F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1)
+
+
+def _reached_slots(counters: DataFrame, threshold: int, longest: int) -> np.ndarray:
+    """Slots of the phrases that have come to the threshold; a bit for each slot at most."""
+    found = counters.where(F.col("n") >= threshold).where(_words(_phrase()).between(1, longest - 1)).select((F.crc32("key") % SLOTS).alias("slot"))
     bits = found.groupBy(F.expr("slot div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
     at, packed = bits.column(0).to_numpy(), bits.column(1).to_numpy().astype("<i8")
     on = np.unpackbits(packed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").reshape(-1, 64)
@@ -174,33 +183,34 @@ def frequent_phrases(documents: DataFrame, threshold: int = THRESHOLD, longest:
     table = _sharded(documents, shards)
     reached = np.full(SLOTS, NEVER, np.uint8)
     open_counters, finished = None, []
-    step = 0
+    step, newest = 0, -1
     while True:
-        rows = scan(table.where(F.col("shard") == step % shards).select("lang", "text"), step, reached, longest, shards).withColumn("reached", F.lit(None).cast("int"))
+        rows = scan(table.where(F.col("shard") == step % shards).select("lang", "text"), step, reached, longest, shards)
         if open_counters is not None:
             rows = rows.unionByName(open_counters)
-        n = F.sum("n")
-        d = rows.groupBy("lang", "phrase", "words").agg(F.min("begun").alias("begun"), n.alias("n"), F.min("reached").alias("reached"))
-        d = d.withColumn("reached", F.coalesce("reached", F.when((F.col("n") >= threshold) & (F.col("words") > 0), F.lit(step))))
-        d = d.withColumn("done", F.col("begun") + shards - 1 <= step).where(~F.col("done") | (F.col("n") >= threshold) | (F.col("words") == 0))
+        d = rows.groupBy("key", "begun").agg(F.sum("n").alias("n"))  # a key begins once
+        d = d.withColumn("done", F.col("begun") + shards - 1 <= step).where(~F.col("done") | (F.col("n") >= threshold) | F.col("key").endswith("\0"))
         path = shared_folder(spark, "counters")
-        d.write.partitionBy("done").parquet(path)
-        counters = spark.read.schema("lang string, phrase string, words int, begun int, n long, reached int, done boolean").parquet(path)
+        d.write.partitionBy("done").option("parquet.enable.dictionary", "false").parquet(path)
+        counters = spark.read.schema("key string, begun int, n long, done boolean").parquet(path)
         if open_counters is not None:
             discard(open_counters)
-        slots = _new_slots(counters, step, longest)
+        slots = _reached_slots(counters, threshold, longest)
         slots = slots[reached[slots] == NEVER]
         reached[slots] = step
+        newest = step if len(slots) else newest
         open_counters = counters.where("not done").drop("done")
         open_counters.staged_at = f"{path}/done=false"
         finished.append(counters.where("done"))
         finished[-1].staged_at = path
         step += 1
-        if step >= shards and not len(slots) and open_counters.isEmpty():
+        if step > newest + shards:  # what began last has seen each shard
             break
     found = finished[0]
     for part in finished[1:]:
         found = found.unionByName(part)
+    lang = F.replace(F.replace(F.expr("substring(key, 1, instr(key, '\\u0000') - 1)"), F.lit("%00"), F.lit("\0")), F.lit("%25"), F.lit("%"))
+    found = found.select(lang.alias("lang"), _phrase().alias("phrase"), "n").withColumn("words", _words(F.col("phrase"))).where((F.col("words") == 0) | (F.col("n") >= threshold))
     out = staged(found.select("lang", "phrase", "words", "n"), "phrases")
     discard(*finished, table)
     return out
