@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.grouped import null_safe_join
+
 #: The sampling grid.
 KS, RADII, GRID_FILLS = (20, 60, 100, 140, 180), (0, 1, 2), ("normal", "duplicate", "half", "slike")
 Z95 = 1.96
@@ -42,6 +44,41 @@ def aggregate_runs(runs: DataFrame, keys: list[str], metrics: list[str], n: str)
     return whole.groupBy(*keys).agg(F.count(F.lit(1)).alias(n), *(c for m in metrics for c in _interval(m, n))).orderBy(*keys)
 
 
+def run_moments(runs: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """What aggregates of runs can be merged from: of each group the number of runs, and of each metric
+    the number of values, their mean and their sum of squares about it.  Null keys are groups."""
+    figures = [F.count(F.lit(1)).alias("runs")]
+    for m in metrics:
+        x = F.when(~F.isnan(m), F.col(m).cast("double"))
+        n, mean = F.count(x), F.coalesce(F.avg(x), F.lit(0.0))
+        figures.append(F.struct(n.alias("n"), mean.alias("mean"), (F.coalesce(F.var_pop(x), F.lit(0.0)) * n).alias("m2")).alias(m))
+    return runs.groupBy(*keys).agg(*figures)
+
+
+def merged_moments(parts: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """Moments of the union of all parts of each group: means first, then squares about them."""
+    weigh = lambda m: F.coalesce(F.try_divide(F.sum(F.col(m)["n"] * F.col(m)["mean"]), F.sum(F.col(m)["n"]).cast("double")), F.lit(0.0))
+    means = parts.groupBy(*keys).agg(*(weigh(m).alias(f"__{m}") for m in metrics))
+    d = null_safe_join(parts, means, keys)
+    figures = [F.sum("runs").alias("runs")]
+    for m in metrics:
+        gap = F.col(m)["mean"] - F.col(f"__{m}")
+        figures.append(F.struct(F.sum(F.col(m)["n"]).alias("n"), F.first(f"__{m}").alias("mean"), F.sum(F.col(m)["m2"] + F.col(m)["n"] * gap * gap).alias("m2")).alias(m))
+    return d.groupBy(*keys).agg(*figures)
+
+
+def moments_report(moments: DataFrame, keys: list[str], metrics: list[str], n: str) -> DataFrame:
+    """The same table as :func:`aggregate_runs` makes of the runs themselves."""
+    columns = [F.col("runs").alias(n)]
+    for m in metrics:
+        x, count = F.col(m), F.col("runs").cast("double")
+        mean = F.when(x["n"] > 0, x["mean"])
+        std = F.when(x["n"] > 1, F.sqrt(x["m2"] / (x["n"] - 1))).otherwise(0.0)
+        half = Z95 * std / F.greatest(F.lit(1.0), F.sqrt(count))
+        columns += [F.round(v, 4).alias(f"{m}_{name}") for name, v in (("mean", mean), ("std", std), ("ci95_lo", mean - half), ("ci95_hi", mean + half))]
+    return moments.dropna(subset=keys).select(*keys, *columns)
+
+
 def two_level_aggregates(runs: DataFrame, keys: list[str], split_key: str, metrics: list[str]) -> DataFrame:
     """Both levels, with and without the split key, in one pass over grouping sets."""
     whole = runs.dropna(subset=[*keys, split_key])

@@ -9,6 +9,7 @@ from ..operators import bags, experiments, segments
 from ..sources import files, headers, reports
 from ..sources.shared import shared_folder
 from ..streaming import ingest
+from ..streaming.run_log import RunLog
 from . import scoring, views
 
 QUERIES, ORACLES = {}, {}
@@ -229,12 +230,37 @@ def window_stream(spark, sf_dir):
     return d.select("event_type", ((F.unix_micros("window_start") - F.lit(views.START_US)) / 10_000_000).cast("long").alias("window_no"), "n_events")
 
 
+def _log(spark, folder: str) -> RunLog:
+    return RunLog(spark, folder, ["method", "fill"], "split_seed", ["val_best_auc", "test_auc"])
+
+
 @registered(scoring.ORACLES["runs_segseed_agg"])
 def run_log_stream(spark, sf_dir):
-    """The run log re-aggregated as it grows."""
+    """The run log as a stream of several files, a batch each; the aggregates after the last one."""
     folder = shared_folder(spark, "runs")
-    log = scoring.runs(spark, sf_dir)
-    log.write.parquet(f"{folder}/log")
-    ingest.ingest_new_files(spark, f"{folder}/log", log.schema, f"{folder}/seen", f"{folder}/checkpoint", lambda b: b)
-    seen = spark.read.schema(log.schema).parquet(f"{folder}/seen/*")
-    return experiments.aggregate_runs(seen, ["method", "fill", "split_seed"], ["val_best_auc", "test_auc"], "n_segseeds")
+    rows = scoring.runs(spark, sf_dir)
+    rows.repartition(4).write.parquet(f"{folder}/log")
+    log = _log(spark, folder)
+    log.take_new(f"{folder}/log", rows.schema, files_a_batch=1)
+    return log.by_split(log.last())
+
+
+_ARRIVALS = 3
+
+
+def _overall_after(arrival: int) -> str:
+    runs = scoring._RUNS.replace("FROM orders", f"FROM orders WHERE o_orderkey % {_ARRIVALS} <= {arrival}")
+    return f"SELECT {arrival} AS arrival, * FROM (WITH {runs} {scoring._agg('method, fill', 'n_runs')})"
+
+
+@registered(" UNION ALL ".join(_overall_after(i) for i in range(_ARRIVALS)))
+def run_log_growth(spark, sf_dir):
+    """The answers over all runs while the log grows: part after part arrives, and the stream goes on
+    from where it stopped."""
+    folder = shared_folder(spark, "growth")
+    rows = scoring.runs(spark, sf_dir, also=[(F.col("o_orderkey") % _ARRIVALS).cast("int").alias("part")])
+    log = _log(spark, folder)
+    for part in range(_ARRIVALS):
+        experiments.append_runs(rows.where(F.col("part") == part).drop("part"), f"{folder}/log", decimals=12)
+        log.take_new(f"{folder}/log", rows.drop("part").schema)
+    return log.answers("overall").withColumnRenamed("batch", "arrival").drop("runs_seen")

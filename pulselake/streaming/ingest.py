@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def _source(spark: SparkSession, path: str, schema: StructType, files_a_batch: int | None = None) -> DataFrame:
+def new_files(spark: SparkSession, path: str, schema: StructType, files_a_batch: int | None = None) -> DataFrame:
     """New Parquet files of a table: a folder of files, or one file of that name."""
     store = spark._jvm.org.apache.hadoop.fs.Path(path)
     reader = spark.readStream.schema(schema)
@@ -29,7 +29,7 @@ def ingest_new_files(spark: SparkSession, path: str, schema: StructType, sink: s
     def put(batch: DataFrame, number: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    stream = _source(spark, path, schema, files_a_batch)
+    stream = new_files(spark, path, schema, files_a_batch)
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -49,5 +49,5 @@ def run_windows(spark: SparkSession, path: str, schema: StructType, sink: str, c
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    query = build(_source(spark, path, schema, files_a_batch)).writeStream.outputMode("append").foreachBatch(put)
+    query = build(new_files(spark, path, schema, files_a_batch)).writeStream.outputMode("append").foreachBatch(put)
     query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
