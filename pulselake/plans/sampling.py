@@ -214,18 +214,6 @@ def upsample_positive(spark, sf_dir):
     return sampling.upsampled(views.table(spark, sf_dir, "labels"), "toxic", 5).select("doc_id", "toxic", "upsample_index")
 
 
-@registered(
-    sample_sql([(0, 20, 1, "normal")])
-    + """, pay AS (SELECT record_id, seg_index, round(avg(amp), 6) AS mean_amp, count(*)::BIGINT AS n_beats FROM beats GROUP BY ALL)
-SELECT config_id, record_id, upsample_index, bag_pos, seg_index, mean_amp, n_beats FROM bags JOIN pay USING (record_id, seg_index)"""
-)
-def bag_payload(spark, sf_dir):
-    b = views.beats(spark, sf_dir)
-    payload = b.groupBy("record_id", "seg_index").agg(F.round(F.avg("amp"), 6).alias("mean_amp"), F.count(F.lit(1)).alias("n_beats"))
-    bags = sampling.sample_bags(segments.flags_of_beats(b), _configs(spark, [(0, 20, 1, "normal")]))
-    return bags.join(payload, ["record_id", "seg_index"]).select("config_id", "record_id", "upsample_index", "bag_pos", "seg_index", "mean_amp", "n_beats")
-
-
 _HOUR_SQL = """hours AS (SELECT record_id, seg_index, symbol, list(amp ORDER BY us, event_id) AS samples FROM beats GROUP BY ALL)"""
 
 
