@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranges import lagged
+
 #: The pairs of waves behind each feature (a peak and its baseline for amplitudes, from and to for intervals).
 AMPLITUDES = {
     "p_amp": [("P_Peak", "P_Onset", 1.0)], "q_amp": [("Q_Peak", "P_Onset", 1.0)], "r_amp": [("R_Peak", "Q_Peak", 0.5), ("R_Peak", "S_Peak", 0.5)],
@@ -98,8 +100,9 @@ def dummy_features(groups: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def successive_intervals(points: DataFrame, keys: list[str], order: str, sample: str) -> DataFrame:
-    """Each point's distance from the one before it."""
-    return points.withColumn("interval", F.col(sample) - F.lag(sample).over(Window.partitionBy(*keys).orderBy(order)))
+    """Each point's distance from the one before it, in groups of any size."""
+    d = lagged(points, keys, [order], {"__before": sample})
+    return d.withColumn("interval", F.col(sample) - F.col("__before")).drop("__before")
 
 
 def ordered_points(points: DataFrame, keys: list[str], sample: str, label: str) -> DataFrame:

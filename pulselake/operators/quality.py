@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, z_normalised
-from ..shipping import ship
+from ..functions.ranges import lagged
 
 STATISTICS = ("nan_ratio", "amp_mean", "amp_std", "amp_skewness", "amp_kurtosis")
 
@@ -57,52 +53,54 @@ def resampled(x: Column, length: int) -> Column:
     return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: between(at(i))))
 
 
+def normalised_beat(samples: Column, length: int | None = None) -> Column:
+    """The beat brought to ``length``, with mean 0 and deviation 1; zeros if it is constant, null, or
+    has a missing sample."""
+    whole = F.coalesce(~F.exists(samples, lambda v: v.isNull() | F.isnan(v)) & (F.size(samples) > 0), F.lit(False))
+    x = resampled(samples, length) if length else samples
+    n = F.lit(length) if length else F.coalesce(F.greatest(F.size(samples), F.lit(0)), F.lit(0))
+    return F.when(whole, z_normalised(x)).otherwise(F.array_repeat(F.lit(0.0), n))
+
+
 def beat_pairs(beats: DataFrame, keys: list[str], order: str, samples: str, length: int | None = None) -> DataFrame:
-    """Consecutive beats of each group with more than three: ``beat, before``, z-normalised.
+    """``keys, order, beat, before``: each beat, normalised, with the one before it (null for the
+    first), in groups of any size."""
+    d = beats.select(*keys, order, normalised_beat(F.col(samples), length).alias("beat"))
+    return lagged(d, keys, [order], {"before": "beat"})
+
 
-    Beats may be brought to one ``length`` first.  Those with a missing sample are null and take
-    part in no pair."""
-    whole = ~F.exists(samples, lambda v: v.isNull() | F.isnan(v))
-    x = resampled(F.col(samples), length) if length else F.col(samples)
-    group, by_order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(order)
-    d = beats.withColumn("beat", F.when(whole, z_normalised(x))).withColumn("__n", F.count(F.lit(1)).over(group))
-    d = d.withColumn("before", F.lag("beat").over(by_order)).where("__n > 3")
-    return d.where("beat is not null and before is not null").select(*keys, order, "beat", "before")
+def _mean_of_pairs(pairs: DataFrame, keys: list[str], figure: Column, name: str) -> DataFrame:
+    """The figure's mean over the pairs of each group with more than three beats; null without any."""
+    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.avg(figure).alias(name)).where("__n > 3").drop("__n")
 
 
 def beat_correlation(beats: DataFrame, keys: list[str], order: str, samples: str, length: int | None = None) -> DataFrame:
-    """Mean Pearson correlation of consecutive beats."""
-    r = dot(F.col("beat"), F.col("before")) / F.size("beat")
+    """Mean Pearson correlation of consecutive beats; pairs with a beat of zeros have none."""
+    r = F.try_divide(dot(F.col("beat"), F.col("before")), F.size("beat"))
     constant = (dot(F.col("beat"), F.col("beat")) == 0) | (dot(F.col("before"), F.col("before")) == 0)
-    return beat_pairs(beats, keys, order, samples, length).groupBy(*keys).agg(F.avg(F.when(~constant, r)).alias("bs_corr"))
-
-
-def dtw(a: np.ndarray, b: np.ndarray) -> float:
-    """Dynamic time warping cost where a diagonal step counts twice, by anti-diagonals."""
-    n, m = len(a), len(b)
-    cost = np.abs(a[:, None] - b[None])
-    last2 = last = np.full(n + 1, np.inf)
-    for d in range(n + m - 1):
-        lo, hi = max(0, d - m + 1), min(n, d + 1)
-        i = np.arange(lo, hi)
-        c = cost[i, d - i]
-        now = np.full(n + 1, np.inf)
-        if d == 0:
-            now[1] = c[0]
-        else:  # seat i + 1 holds cell (i, d - i)
-            now[i + 1] = np.minimum(np.minimum(last[i], last[i + 1]) + c, last2[i] + 2 * c)
-        last2, last = last, now
-    return float(last[n])
+    return _mean_of_pairs(beat_pairs(beats, keys, order, samples, length), keys, F.when(~constant, r), "bs_corr")
 
 
-def beat_dtw(beats: DataFrame, keys: list[str], order: str, samples: str, fixed_length: int) -> DataFrame:
-    """Mean warping distance of consecutive beats over their fixed length."""
+def warping_distance(a: Column, b: Column) -> Column:
+    """Dynamic time warping cost of two arrays where a diagonal step counts twice; null for an empty
+    one.  A fold over the anti-diagonals: a cell's neighbours are in the last two."""
+    n, m, inf = F.size(a), F.size(b), F.lit(float("inf"))
+    cost = lambda i, j: F.abs(F.get(a, i) - F.get(b, j))
+    seats = F.sequence(F.lit(0), n - 1)
+    start = F.struct(F.transform(seats, lambda i: F.when(i == 0, cost(i, F.lit(0))).otherwise(inf)).alias("last"), F.array_repeat(inf, n).alias("last2"))
+
+    def cell(s: Column, d: Column, i: Column) -> Column:
+        beside = F.least(F.get(s["last"], i), F.get(s["last"], i - 1)) + cost(i, d - i)
+        return F.when((i > d) | (d - i >= m), inf).otherwise(F.least(beside, F.get(s["last2"], i - 1) + 2 * cost(i, d - i)))
 
-    ship(beats.sparkSession)
+    def step(s: Column, d: Column) -> Column:
+        return F.struct(F.transform(seats, lambda i: cell(s, d, i)).alias("last"), s["last"].alias("last2"))
 
-    @F.pandas_udf("double")
-    def distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series([dtw(np.asarray(x), np.asarray(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+    diagonals = F.when(n + m > 2, F.sequence(F.lit(1), n + m - 2)).otherwise(F.array().cast("array<int>"))
+    return F.when((n > 0) & (m > 0), F.aggregate(diagonals, start, step, lambda s: F.get(s["last"], n - 1)))
 
-    return beat_pairs(beats, keys, order, samples).withColumn("d", distance("beat", "before") / fixed_length).groupBy(*keys).agg(F.avg("d").alias("bs_dtw"))
+
+def beat_dtw(beats: DataFrame, keys: list[str], order: str, samples: str, fixed_length: int) -> DataFrame:
+    """Mean warping distance of consecutive beats, each brought to the fixed length, over it."""
+    pairs = beat_pairs(beats, keys, order, samples, fixed_length)
+    return _mean_of_pairs(pairs, keys, warping_distance(F.col("beat"), F.col("before")) / fixed_length, "bs_dtw")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ranges import numbered
 from ..operators import cohort, fiducials, quality
 from . import views
 
@@ -98,24 +99,31 @@ def signal_quality_arrays(spark, sf_dir):
     return _rounded(quality.array_statistics(views.table(spark, sf_dir, "embeddings"), "embedding"), ["vec_id"])
 
 
-@registered(
-    """WITH s AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
-m AS (SELECT *, list_avg(x) AS m, sqrt(list_avg(list_transform(x, lambda v: (v - list_avg(x)) ** 2))) AS d FROM s),
-z AS (SELECT vec_id, label, list_transform(x, lambda v: (v - m) / d) AS z, count(*) OVER (PARTITION BY label) AS n FROM m),
-p AS (SELECT label, n, list_inner_product(z, lag(z) OVER (PARTITION BY label ORDER BY vec_id)) / len(z) AS r FROM z)
-SELECT label, round(avg(r), 6) AS bs_corr FROM p WHERE n > 3 AND r IS NOT NULL GROUP BY label"""
-)
+#: Beats of 40 to 64 samples, every eleventh with a missing one, brought to 64.
+_BEATS = """b AS (SELECT vec_id, label, vec_id % 11 = 0 AS gap, list_transform(embedding[1:40 + vec_id % 25], lambda x: x::DOUBLE) AS x FROM embeddings),
+y AS (SELECT vec_id, label, gap, list_transform(range(0, 64), lambda i: x[floor(i * (len(x) - 1) / 63.0::DOUBLE)::INTEGER + 1] * (1 - (i * (len(x) - 1) / 63.0::DOUBLE - floor(i * (len(x) - 1) / 63.0::DOUBLE)))
+    + coalesce(x[floor(i * (len(x) - 1) / 63.0::DOUBLE)::INTEGER + 2], 0) * (i * (len(x) - 1) / 63.0::DOUBLE - floor(i * (len(x) - 1) / 63.0::DOUBLE))) AS x FROM b),
+m AS (SELECT *, list_avg(x) AS m, sqrt(list_avg(list_transform(x, lambda v: (v - list_avg(x)) ** 2))) AS d FROM y),
+z AS (SELECT vec_id, label, gap OR d = 0 AS flat, list_transform(x, lambda v: CASE WHEN gap OR d = 0 THEN 0.0::DOUBLE ELSE (v - m) / d END) AS a, count(*) OVER (PARTITION BY label) AS n FROM m),
+p AS (SELECT * FROM (SELECT *, lag(a) OVER w AS b, lag(flat) OVER w AS flat_b FROM z WINDOW w AS (PARTITION BY label ORDER BY vec_id)) WHERE n > 3)"""
+
+
+def _beats(spark, sf_dir):
+    x = F.slice("embedding", F.lit(1), (40 + F.col("vec_id") % 25).cast("int"))
+    missing = (F.col("vec_id") % 11 == 0)
+    gapped = F.transform(x, lambda v, i: F.when(missing & (i == 4), F.lit(float("nan"))).otherwise(v.cast("double")))
+    return views.table(spark, sf_dir, "embeddings").select("vec_id", "label", gapped.alias("samples"))
+
+
+@registered(f"WITH {_BEATS} SELECT label, round(avg(CASE WHEN NOT flat AND NOT flat_b THEN list_inner_product(a, b) / 64 END), 6) AS bs_corr FROM p GROUP BY label")
 def beat_correlation(spark, sf_dir):
-    d = quality.beat_correlation(views.table(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding")
+    d = quality.beat_correlation(_beats(spark, sf_dir), ["label"], "vec_id", "samples", 64)
     return d.select("label", F.round("bs_corr", 6).alias("bs_corr"))
 
 
-_DTW = """WITH RECURSIVE s AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
-m AS (SELECT *, list_avg(x) AS m, sqrt(list_avg(list_transform(x, lambda v: (v - list_avg(x)) ** 2))) AS d FROM s),
-z AS (SELECT vec_id, label, list_transform(x, lambda v: (v - m) / d) AS a, count(*) OVER (PARTITION BY label) AS n FROM m),
-p AS (SELECT * FROM (SELECT *, lag(a) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM z) WHERE n > 3 AND b IS NOT NULL),
+_DTW = f"""WITH RECURSIVE {_BEATS},
 r AS (
-  SELECT label, vec_id, a, b, 0 AS d, list_transform(range(0, 64), lambda i: CASE WHEN i = 0 THEN abs(a[1] - b[1]) ELSE 'inf'::DOUBLE END) AS last, list_transform(range(0, 64), lambda i: 'inf'::DOUBLE) AS last2 FROM p
+  SELECT label, vec_id, a, b, 0 AS d, list_transform(range(0, 64), lambda i: CASE WHEN i = 0 THEN abs(a[1] - b[1]) ELSE 'inf'::DOUBLE END) AS last, list_transform(range(0, 64), lambda i: 'inf'::DOUBLE) AS last2 FROM p WHERE b IS NOT NULL
   UNION ALL
   SELECT label, vec_id, a, b, d + 1, list_transform(range(0, 64), lambda i: CASE WHEN d + 1 - i NOT BETWEEN 0 AND 63 THEN 'inf'::DOUBLE ELSE
     least(least(coalesce(last[i], 'inf'::DOUBLE), last[i + 1]) + abs(a[i + 1] - b[d + 2 - i]), coalesce(last2[i], 'inf'::DOUBLE) + 2 * abs(a[i + 1] - b[d + 2 - i])) END), last
@@ -125,7 +133,7 @@ SELECT label, round(avg(last[64] / 64), 6) AS bs_dtw FROM r WHERE d = 126 GROUP
 
 @registered(_DTW)
 def beat_dtw(spark, sf_dir):
-    d = quality.beat_dtw(views.table(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding", 64)
+    d = quality.beat_dtw(_beats(spark, sf_dir), ["label"], "vec_id", "samples", 64)
     return d.select("label", F.round("bs_dtw", 6).alias("bs_dtw"))
 
 
@@ -136,13 +144,10 @@ WAVES = ["click", "error", "purchase", "signup", "view"]
 
 
 def points(spark, sf_dir):
-    from pyspark.sql import Window
-
-    e = views.events(spark, sf_dir)
-    beat = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("us", "event_id"))
+    e = numbered(views.events(spark, sf_dir), ["user_id", "event_type"], ["us", "event_id"], "beat_no")
     return e.select(
         F.col("user_id").alias("record_id"), F.col("event_type").alias("wave"), (F.col("us") / 1_000_000).alias("sample"), F.col("value").alias("lead_2"),
-        (F.col("value") * (1 + F.col("event_id") % 3) - 100).alias("lead_1"), beat.alias("beat_no"), "event_id",
+        (F.col("value") * (1 + F.col("event_id") % 3) - 100).alias("lead_1"), F.col("beat_no").cast("int").alias("beat_no"), "event_id",
     )
 
 
