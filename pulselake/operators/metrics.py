@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranges import running_sums
+from ..functions.grouped import null_safe_join
+from ..functions.ranges import numbered, running_sums
 
 
 def predicted(p: Column, threshold: float = 0.5) -> Column:
@@ -72,7 +73,7 @@ def class_report(rows: DataFrame, keys: list[str], threshold: float = 0.5) -> Da
 
 def evaluate(rows: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """One row of all metrics for each run."""
-    return auroc(rows, keys).join(average_precision(rows, keys), keys).join(binary_metrics(rows, keys, threshold), keys)
+    return null_safe_join(null_safe_join(auroc(rows, keys), average_precision(rows, keys), keys), binary_metrics(rows, keys, threshold), keys)
 
 
 def evaluation_report(rows: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
@@ -87,24 +88,61 @@ def evaluation_report(rows: DataFrame, keys: list[str], threshold: float = 0.5)
     return metrics.unionByName(classes).unionByName(long(confusion(rows, keys, threshold), "confusion", F.col("y").cast("string"), ["pred_0", "pred_1"]))
 
 
+#: Epochs of a group that are folded as one, and pieces that are composed as one.
+SPAN, FAN = 512, 64
+
+
+def _piece_outcomes(rows: Column, last: Column, least_gain: float, patience: int) -> Column:
+    """Of a piece's epochs in order (with as many of the next piece as patience looks ahead): what
+    follows from a gain at each of the first ``patience``.
+
+    A gain at an epoch leads to the next one within the patience, wherever it came from, so outcomes
+    are found from behind: that of the next gain, or the end.  ``at`` is the gain's epoch in the next
+    piece, null where the run ends in this one."""
+    none = F.lit(None)
+    out = lambda at, best, epoch, stop, stopped: F.struct(at.cast("long").alias("at"), best.cast("double").alias("best"), epoch.cast("long").alias("best_epoch"), stop.cast("long").alias("stop"), stopped.cast("boolean").alias("stopped"))
+    kept = "array<struct<epoch:bigint,v:double,out:struct<at:bigint,best:double,best_epoch:bigint,stop:bigint,stopped:boolean>>>"
+
+    def step(ahead: Column, row: Column) -> Column:
+        gain = F.get(F.filter(ahead, lambda later: F.coalesce(later["v"] > row["v"] + least_gain, F.lit(False))), 0)
+        ends = out(none, row["v"], row["epoch"], row["epoch"] + F.size(ahead), F.size(ahead) >= patience)
+        here = F.when(row["epoch"] > last, out(row["epoch"], none, none, none, none)).when(gain.isNotNull(), gain["out"]).otherwise(ends)
+        return F.slice(F.concat(F.array(F.struct(row["epoch"].alias("epoch"), row["v"].alias("v"), here.alias("out"))), ahead), 1, patience)
+
+    return F.transform(F.aggregate(F.reverse(rows), F.array().cast(kept), step), lambda e: F.struct(e["epoch"].alias("epoch"), e["out"].alias("out")))
+
+
+def _composed(pieces: Column) -> Column:
+    """The outcomes of the first piece, carried through those after it."""
+    follow = lambda e, piece: F.get(F.filter(piece["outcomes"], lambda x: x["epoch"] == e["out"]["at"]), 0)["out"]
+    step = lambda found, piece: F.transform(found, lambda e: F.struct(e["epoch"].alias("epoch"), F.when(e["out"]["at"].isNull(), e["out"]).otherwise(follow(e, piece)).alias("out")))
+    return F.aggregate(F.slice(pieces, 2, F.size(pieces)), F.get(pieces, 0)["outcomes"], step)
+
+
 def best_epoch(log: DataFrame, keys: list[str], order: list[str], metric: str, least_gain: float = 0.001, patience: int = 30) -> DataFrame:
     """A running best that counts only gains of more than ``least_gain``, from 0 on, until
     ``patience`` epochs bring none: best value (null if none), best epoch and the epoch of the stop.
 
-    A group's log is a list of its epochs in order; missing values bring no gain."""
-    rows = F.sort_array(F.collect_list(F.struct(*order, metric)))
-    values = log.groupBy(*keys).agg(F.transform(rows, lambda r: r[metric].cast("double")).alias("v"))
-    start = F.struct(F.lit(0.0).alias("best"), F.lit(0).alias("best_epoch"), F.lit(0).alias("epoch"), F.lit(0).alias("flat"))
-
-    def step(s: Column, v: Column) -> Column:
-        done = s["flat"] >= patience
-        gain = ~F.isnan(v) & v.isNotNull() & (v > s["best"] + least_gain)
-        after = F.struct(
-            F.when(gain, v).otherwise(s["best"]).alias("best"), F.when(gain, s["epoch"] + 1).otherwise(s["best_epoch"]).alias("best_epoch"),
-            (s["epoch"] + 1).alias("epoch"), F.when(gain, 0).otherwise(s["flat"] + 1).alias("flat"),
-        )
-        return F.when(done, s).otherwise(after)
-
-    d = values.withColumn("s", F.aggregate("v", start, step))
+    Missing values bring no gain.  A group is folded in pieces of SPAN epochs, each a function of the
+    epoch at which the gain before it led there; the functions are composed FAN at a time, so that no
+    group of any length is in one row."""
+    v = F.when(~F.isnan(metric), F.col(metric).cast("double"))
+    epochs = numbered(log.select(*keys, *order, v.alias("__v")), keys, list(order), "__epoch").select(*keys, "__epoch", "__v")
+    longest = epochs.agg(F.coalesce(F.max("__epoch"), F.lit(0))).first()[0]
+    starts = epochs.where("__epoch = 1").select(*keys, F.lit(0).cast("long").alias("__epoch"), F.lit(0.0).alias("__v"))
+    span = max(SPAN, patience)
+    piece = F.floor(F.col("__epoch") / span)
+    seen_by = F.when((F.col("__epoch") % span < patience) & (F.col("__epoch") >= span), F.array(piece, piece - 1)).otherwise(F.array(piece))
+    d = epochs.unionByName(starts).withColumn("__piece", F.explode(seen_by))
+    rows = F.sort_array(F.collect_list(F.struct(F.col("__epoch").alias("epoch"), F.col("__v").alias("v"))))
+    d = d.groupBy(*keys, "__piece").agg(rows.alias("__rows"))
+    d = d.select(*keys, "__piece", _piece_outcomes(F.col("__rows"), (F.col("__piece") + 1) * span - 1, least_gain, patience).alias("outcomes"))
+    pieces = longest // span + 1
+    while pieces > 1:
+        several = F.sort_array(F.collect_list(F.struct("__piece", "outcomes")))
+        d = d.groupBy(*keys, F.floor(F.col("__piece") / FAN).alias("__piece")).agg(several.alias("__pieces"))
+        d = d.select(*keys, "__piece", _composed(F.col("__pieces")).alias("outcomes"))
+        pieces = -(-pieces // FAN)
+    d = d.withColumn("s", F.get("outcomes", 0)["out"])
     found = F.col("s.best_epoch") > 0
-    return d.select(*keys, F.when(found, F.col("s.best")).alias("best"), F.when(found, F.col("s.best_epoch")).alias("best_epoch"), F.col("s.epoch").alias("stop_epoch"), (F.col("s.flat") >= patience).alias("stopped"))
+    return d.select(*keys, F.when(found, F.col("s.best")).alias("best"), F.when(found, F.col("s.best_epoch")).cast("int").alias("best_epoch"), F.col("s.stop").cast("int").alias("stop_epoch"), F.col("s.stopped").alias("stopped"))
