@@ -39,8 +39,3 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], member: Column) -
     salted = rows.withColumn(name, salt)
     wanted = salted.select(*keys, name).distinct()
     return null_safe_join(salted, null_safe_join(wanted, table, keys), [*keys, name]).drop(name)
-
-
-def with_groups(rows: DataFrame, group: list[str], member: Column, figures: list[Column]) -> DataFrame:
-    """``rows`` with figures of their group."""
-    return lookup(rows, rows.groupBy(*group).agg(*figures), group, member)

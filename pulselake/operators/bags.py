@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, pad_or_crop, sigmoid, transposed
-from ..functions.grouped import with_groups
+from ..functions.grouped import lookup, null_safe_join
 
 
 def _literal(values: list[float]) -> Column:
@@ -26,24 +26,39 @@ def gated_score(x: Column, a: list[list[float]], a_bias: list[float], b: list[li
     return dot(gate, _literal(v))
 
 
-def _raised(instances: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """``__e``: the exponential of each score less the bag's greatest."""
-    d = with_groups(instances, keys, F.col(score), [F.max(score).alias("__peak")])
-    return d.withColumn("__e", F.exp(F.col(score) - F.col("__peak"))).drop("__peak")
+#: Exponentials are summed by scores' nearest multiples of this, within which none overflows.
+_STEP = 32.0
+
+
+def _stepped(instances: DataFrame, score: str) -> DataFrame:
+    """``__step``: the nearest multiple of the score; ``__e``: the exponential of what is left."""
+    d = instances.withColumn("__step", F.rint(F.col(score) / _STEP) * _STEP)
+    return d.withColumn("__e", F.exp(F.col(score) - F.col("__step")))
+
+
+def _with_peak(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """``__scale``: by what sums of a step are multiplied to be those under the bag's greatest step."""
+    d = null_safe_join(sums, sums.groupBy(*keys).agg(F.max("__step").alias("__peak")), keys)
+    return d.withColumn("__scale", F.exp(F.col("__step") - F.col("__peak")))
 
 
 def softmax_weights(instances: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """``weight``: the softmax of the scores within each bag."""
-    d = with_groups(_raised(instances, keys, score), keys, F.col(score), [F.sum("__e").alias("__all")])
-    return d.withColumn("weight", F.col("__e") / F.col("__all")).drop("__e", "__all")
+    """``weight``: the softmax of the scores within each bag, of any size."""
+    sums = _stepped(instances, score).groupBy(*keys, "__step").agg(F.sum("__e").alias("__e"))
+    bags = _with_peak(sums, keys).groupBy(*keys).agg(F.max("__peak").alias("__peak"), F.sum(F.col("__e") * F.col("__scale")).alias("__all"))
+    d = lookup(instances, bags, keys, F.xxhash64(*instances.columns))
+    return d.withColumn("weight", F.exp(F.col(score) - F.col("__peak")) / F.col("__all")).drop("__peak", "__all")
 
 
 def attention_pool(instances: DataFrame, keys: list[str], score: str, vector: str) -> DataFrame:
     """``keys, pos, pooled``: the softmax-weighted sum of the bag's vectors, element by element.
 
-    Elements are summed as rows, so partial sums are made before anything is shuffled."""
-    parts = _raised(instances, keys, score).select(*keys, "__e", F.posexplode(vector).alias("pos", "x"))
-    return parts.groupBy(*keys, "pos").agg((F.sum(F.col("__e") * F.col("x").cast("double")) / F.sum("__e")).alias("pooled"))
+    Elements are summed as rows, step by step of the scores, so that instances meet in partial sums
+    only and the bag's greatest score need not be known to them."""
+    parts = _stepped(instances, score).select(*keys, "__step", "__e", F.posexplode(vector).alias("pos", "x"))
+    sums = parts.groupBy(*keys, "__step", "pos").agg(F.sum(F.col("__e") * F.col("x").cast("double")).alias("__ex"), F.sum("__e").alias("__e"))
+    over = lambda c: F.sum(F.col(c) * F.col("__scale"))
+    return _with_peak(sums, keys).groupBy(*keys, "pos").agg((over("__ex") / over("__e")).alias("pooled"))
 
 
 def pooled_vectors(pooled: DataFrame, keys: list[str], value: str = "pooled") -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..functions.ranges import numbered
 from ..operators import bags, experiments, metrics, ml
 from . import views
 
@@ -125,10 +126,10 @@ def best_epoch(spark, sf_dir):
 _RUNS = "runs AS (SELECT o_orderpriority AS method, o_orderstatus AS fill, month(o_orderdate)::INTEGER AS split_seed, o_totalprice / 1000000 AS test_auc, CASE WHEN o_orderkey % 50 > 0 THEN o_totalprice / 900000 END AS val_best_auc FROM orders)"
 
 
-def runs(spark, sf_dir):
+def runs(spark, sf_dir, also=()):
     d = views.table(spark, sf_dir, "orders")
     val = F.when(F.col("o_orderkey") % 50 > 0, F.col("o_totalprice") / 900_000).otherwise(F.lit(float("nan")))
-    return d.select(F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("fill"), F.month("o_orderdate").alias("split_seed"), (F.col("o_totalprice") / 1_000_000).alias("test_auc"), val.alias("val_best_auc"))
+    return d.select(F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("fill"), F.month("o_orderdate").alias("split_seed"), (F.col("o_totalprice") / 1_000_000).alias("test_auc"), val.alias("val_best_auc"), *also)
 
 
 def _agg(keys: str, n: str) -> str:
@@ -186,6 +187,13 @@ def attention_pool(spark, sf_dir):
     return _rounded(bags.attention_pool(instances(spark, sf_dir), ["label"], "score", "x"), "pooled")
 
 
+@registered(f"WITH {_V}, w AS (SELECT *, exp(score - max(score) OVER (PARTITION BY label)) AS e FROM v) SELECT vec_id, label, round(e / sum(e) OVER (PARTITION BY label), 9) AS weight FROM w")
+def attention_weights(spark, sf_dir):
+    """The weights behind attention_pool."""
+    d = bags.softmax_weights(instances(spark, sf_dir), ["label"], "score")
+    return d.select("vec_id", "label", F.round("weight", 9).alias("weight"))
+
+
 #: Given weights of the gated score: two hidden units.
 _A = [[math.sin(i + 1) for i in range(_WIDTH)], [math.cos(2 * i) for i in range(_WIDTH)]]
 _B = [[math.cos(i + 1) for i in range(_WIDTH)], [math.sin(3 * i) for i in range(_WIDTH)]]
@@ -222,9 +230,7 @@ def _code_sql() -> str:
 h AS (SELECT vec_id, label, x, {_gated_sql()} AS score FROM c), g AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 10){_POOL.format(src='g')}"""
 )
 def time_pool(spark, sf_dir):
-    from pyspark.sql import Window
-
-    d = instances(spark, sf_dir).withColumn("bp", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    d = numbered(instances(spark, sf_dir), ["label"], ["vec_id"], "no").withColumn("bp", F.col("no") - 1)
     d = _gated(bags.with_position(d, "bp", "x", _WIDTH, 0.1))
     return _rounded(bags.attention_pool(bags.top_instances(d, ["label"], "score", "vec_id", 10), ["label"], "score", "x"), "pooled")
 
@@ -245,13 +251,11 @@ def pad_crop(spark, sf_dir):
     return d.select("vec_id", F.size("a").alias("long_width"), F.round(arrays.total(F.col("a")), 6).alias("long_total"), F.size("b").alias("short_width"), F.round(arrays.total(F.col("b")), 6).alias("short_total"))
 
 
-@registered("SELECT vec_id, 66 AS width, round(embedding[64]::DOUBLE, 6) AS last_feature, label::DOUBLE AS first_meta FROM embeddings")
+@registered("SELECT vec_id, pos::INTEGER AS pos, round(CASE WHEN pos < 64 THEN embedding[pos + 1]::DOUBLE WHEN pos = 64 THEN label::DOUBLE ELSE 1 END, 6) AS value FROM embeddings, range(0, 66) t(pos)")
 def feature_concat(spark, sf_dir):
     x = F.transform("embedding", lambda v: v.cast("double"))
-    d = views.table(spark, sf_dir, "embeddings").select("vec_id", bags.joined_features(x, F.array(F.col("label").cast("double"), F.lit(1.0))).alias("v"))
-    return d.select("vec_id", F.size("v").alias("width"), F.round(F.col("v")[63], 6).alias("last_feature"), F.col("v")[64].alias("first_meta"))
-
-
+    d = views.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(bags.joined_features(x, F.array(F.col("label").cast("double"), F.lit(1.0)))).alias("pos", "value"))
+    return _rounded(d, "value")
 
 
 @registered("SELECT vec_id, pos::INTEGER AS pos, CASE WHEN l < 0 THEN 0 ELSE round(list_sum(list_transform(embedding[l * 16 + 1:l * 16 + 16], lambda x: x::DOUBLE)), 6) END AS total FROM embeddings, (VALUES (0, 2), (1, -1), (2, 0)) t(pos, l)")
@@ -263,16 +267,54 @@ def lead_select(spark, sf_dir):
     return d.select("vec_id", "pos", F.round(arrays.total(F.col("s")), 6).alias("total"))
 
 
-@registered("SELECT vec_id, c::INTEGER AS channel, round(embedding[c + 1]::DOUBLE, 6) AS first, round(embedding[48 + c + 1]::DOUBLE, 6) AS last FROM embeddings, range(0, 16) t(c)")
+@registered("SELECT vec_id, c::INTEGER AS channel, i::INTEGER AS sample, round(embedding[16 * i + c + 1]::DOUBLE, 6) AS value FROM embeddings, range(0, 16) t(c), range(0, 4) u(i)")
 def layout_transpose(spark, sf_dir):
     rows = arrays.matrix(F.transform("embedding", lambda v: v.cast("double")), 4, 16)  # 4 samples of 16 channels
     symbols = F.array(F.lit("S").cast("binary"))
     d = bags.variant_layout(views.table(spark, sf_dir, "embeddings").select("vec_id", rows.alias("sig"), symbols.alias("symbol")), "sig", "symbol", 4)
     d = d.where(F.array_contains("symbol", "S")).select("vec_id", F.posexplode("sig").alias("channel", "s"))
-    return d.select("vec_id", "channel", F.round(F.col("s")[0], 6).alias("first"), F.round(F.col("s")[3], 6).alias("last"))
+    return _rounded(d.select("vec_id", "channel", F.posexplode("s").alias("sample", "value")), "value")
 
 
 @registered(None)
 def weighted_logreg(spark, sf_dir):
     d = views.table(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") < 5).cast("int"))
     return _rounded(ml.weighted_logistic(d, ["vec_id"], "y", "embedding"), "p", digits=4)
+
+
+_PARTS, _NEWTON = 4, 12
+
+
+def _newton_sql() -> str:
+    """Newton steps of all runs as a recursive query; the small systems by elimination."""
+    n = _PARTS + 1
+    h = lambda i, j: f"sum(w * p * (1 - p) * x[{i}] * x[{j}]) / any_value(ws)" + (" + 0.01" if i == j > 1 else "")
+    rhs = lambda i: f"sum(w * (y - p) * x[{i}]) / any_value(ws)" + (f" - 0.01 * any_value(b)[{i}]" if i > 1 else "")
+    rows = ", ".join("[" + ", ".join([*(h(i, j) for j in range(1, n + 1)), rhs(i)]) + "]" for i in range(1, n + 1))
+    solved = f"SELECT run, step, b, [{rows}] AS m0 FROM (SELECT r.run, r.step, r.b, d.x, d.y, d.w, d.ws, 1 / (1 + exp(-list_inner_product(r.b, d.x))) AS p FROM r JOIN d ON r.run = d.run WHERE r.step < {_NEWTON}) GROUP BY run, step, b"
+    for k in range(1, n + 1):
+        m = f"m{k - 1}"
+        solved = f"SELECT run, step, b, list_transform(range(1, {n + 1}), lambda i: list_transform(range(1, {n + 2}), lambda j: CASE WHEN i = {k} THEN {m}[i][j] / {m}[{k}][{k}] ELSE {m}[i][j] - {m}[i][{k}] / {m}[{k}][{k}] * {m}[{k}][j] END)) AS m{k} FROM ({solved})"
+    parts = ", ".join(f"list_sum(list_transform(embedding[{16 * i + 1}:{16 * i + 16}], lambda v: v::DOUBLE))" for i in range(_PARTS))
+    mean = ", ".join(f"sum(w * x[{i}]) / sum(w) AS m{i}" for i in range(1, _PARTS + 1))
+    spread = ", ".join(f"sqrt(sum(w * (x[{i}] - m{i}) ** 2) / (any_value(ws) - any_value(ws2) / any_value(ws))) AS s{i}" for i in range(1, _PARTS + 1))
+    scaled = ", ".join(f"x[{i}] / s{i}" for i in range(1, _PARTS + 1))
+    return f"""WITH RECURSIVE f AS (SELECT vec_id, (vec_id % 3)::INTEGER AS run, (label < 5)::INTEGER AS y, [{parts}] AS x FROM embeddings),
+c AS (SELECT run, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM f GROUP BY run),
+w AS (SELECT f.*, CASE WHEN y = 0 THEN 1.0 WHEN pos > 0 AND neg > 0 THEN least(neg::DOUBLE / pos, 20) ELSE 15 END::DOUBLE AS w FROM f JOIN c USING (run)),
+m AS (SELECT run, sum(w) AS ws, sum(w * w) AS ws2, {mean} FROM w GROUP BY run),
+s AS (SELECT run, {spread} FROM w JOIN m USING (run) GROUP BY run),
+d AS (SELECT vec_id, run, y, w, ws, [1.0::DOUBLE, {scaled}] AS x FROM w JOIN m USING (run) JOIN s USING (run)),
+r AS (
+  SELECT run, 0 AS step, {[0.0] * n}::DOUBLE[] AS b FROM c
+  UNION ALL
+  SELECT run, step + 1, list_transform(range(1, {n + 1}), lambda i: b[i] + m{n}[i][{n + 1}]) FROM ({solved}))
+SELECT d.run, vec_id, y, round(1 / (1 + exp(-list_inner_product(b, x))), 4) AS p FROM d JOIN r ON r.run = d.run AND step = {_NEWTON}"""
+
+
+@registered(_newton_sql())
+def weighted_logreg_runs(spark, sf_dir):
+    """Three runs at once, on vectors pooled to four numbers."""
+    total = lambda i: arrays.total(F.slice("embedding", 16 * i + 1, 16))
+    d = views.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 3).cast("int").alias("run"), (F.col("label") < 5).cast("int").alias("y"), F.array(*(total(i) for i in range(_PARTS))).alias("x"))
+    return _rounded(ml.weighted_logistic(d, ["vec_id"], "y", "x", runs=["run"]), "p", digits=4)
