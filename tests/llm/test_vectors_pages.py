@@ -103,6 +103,47 @@ def test_top_k(spark, vectors, scale):
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == brute_top(d.collect()) and len(got) == len(set(got))
 
 
+def test_top_k_of_huge_components(spark):
+    """Finite components of any size take part; scores end at the bounds of 64 bits."""
+    rng = np.random.default_rng(6)
+    huge = [1e300, -1e300, 1e18, -1e17, 5e15, 3e9, 0.0, 1.0, 1.7e308]
+    rows = [(i, [float(v) for v in (rng.choice(huge, 3) if i % 3 == 0 else rng.normal(size=3))]) for i in range(70)]
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    largest = int(1.7976931348623157e308)
+    whole = {i: [max(-largest, min(largest, int(x) * 64 if abs(x) >= 1e15 else int(np.floor(64 * x)))) for x in v] for i, v in rows}
+    want = set()
+    for q in range(0, 70, 20):
+        s = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q)[:20]
+        want |= {(q, n, i, -x) for n, (x, i) in enumerate(s, 1)}
+    assert got == want
+
+
+def test_a_full_tile_needs_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    c, ids = rng.integers(-600, 600, (125_000, 64)).astype(np.int16), rng.permutation(125_000)
+    tracemalloc.start()
+    query, vec, score = topk.best_of_tile(ids[:600], c[:600], ids, c, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and len(query) == 12_000
+    full = c[:3].astype(np.int64) @ c.T.astype(np.int64)
+    for i in range(3):
+        best = sorted((-int(s), int(j)) for s, j in zip(full[i], ids, strict=True) if j != ids[i])[:20]
+        assert [(-int(s), int(j)) for s, j in zip(score[query == ids[i]], vec[query == ids[i]], strict=True)] == best
+
+
+def test_top_k_leaves_its_result_alone(spark, tmp_path):
+    kept = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        topk.top_k(queries.table(spark, SF, "embeddings")).count()
+    finally:
+        spark.conf.set("spark.checkpoint.dir", kept)
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["best"]
+
+
 def test_top_k_of_many_tiles(spark, monkeypatch):
     d = queries.table(spark, SF, "embeddings")
     for name, n in (("TILE_BYTES", 1), ("LEAST_SHARD", 7), ("FAN_IN", 3)):
