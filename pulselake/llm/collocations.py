@@ -10,8 +10,9 @@ one of its subphrases.
 Which phrases have come to the threshold, and at which step, is told to the tasks by a table of
 SLOTS bytes, one for each hash of a phrase, whatever the corpus; the first phrase of a slot sets
 it for good.  Phrases that share a slot are activated too early, which costs a counter and changes
-no count.  The counters themselves are a table that each step reads and writes anew: counters whose
-cycle is complete leave it, and are kept only at the threshold or above.
+no count.  Each step writes its counts block by block.  Running sums, which tell when a phrase comes
+to the threshold, are kept by the phrases' CRCs, and end once it has; the phrases themselves are
+added up once, when all shards have been seen, and only those that may have come to it.
 
 Defined cases: a null text is empty; a null language is ``und``; repeated rows count each; a text of
 any length is split whole; a language without candidates has no row; an empty table gives none.
@@ -41,8 +42,9 @@ SLOTS, NEVER = 1 << 24, 255
 BLOCK = 1 << 22
 _BREAK = b"\n"
 _FOLD = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
-#: A key is the language (escaped), a null character and the phrase.
-COUNTS = "key string, begun int, n long"
+#: A key is the language (escaped), a null character and the phrase; the mark is its CRC, or null where
+#: it does not matter whether the phrase comes to the threshold, or it is known to have.
+COUNTS = "mark int, key string, begun int, n long"
 
 
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
@@ -82,20 +84,20 @@ def escaped(lang: str) -> str:
     return lang.replace("%", "%25").replace("\0", "%00")
 
 
-def counted(lang: str, raw: bytes, step: int, reached: np.ndarray, appender: Appender, longest: int, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[pa.Array]]]:
+def counted(lang: str, raw: bytes, step: int, reached: np.ndarray, appender: Appender, longest: int, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[pa.Array]]]:
     """Of one block of texts, for each length: number of words, step at which the phrases' counting
-    began, their counts, and their words.  Length 0 counts all words."""
+    began, their counts, their CRCs, and their words.  Length 0 counts all words."""
     ids, words = tokens(raw)
     inside = ids > 0
     names = pa.array(words, pa.binary())
-    if step < shards:
-        counts = np.bincount(ids, minlength=len(words))
-        yield 0, np.zeros(1, np.int64), np.array([inside.sum()]), []
-        yield 1, np.zeros(len(words) - 1, np.int64), counts[1:], [names.slice(1)]
     prefix = f"{escaped(lang)}\0".encode()
     alone = np.array([zlib.crc32(prefix + w) for w in words], np.uint32)
     behind = np.array([zlib.crc32(b" " + w) for w in words], np.uint32)
     sizes = np.array([len(w) + 1 for w in words], np.int64)
+    if step < shards:
+        counts = np.bincount(ids, minlength=len(words))
+        yield 0, np.zeros(1, np.int64), np.array([inside.sum()]), np.zeros(1, np.uint32), []
+        yield 1, np.zeros(len(words) - 1, np.int64), counts[1:], alone[1:], [names.slice(1)]
     crc, ok, codes, kinds = alone[ids], inside, ids, len(words)
     for k in range(2, min(longest, step + 1) + 1):  # a phrase of k words begins at step k - 1 at the earliest
         at = reached[crc % np.uint32(len(reached))].astype(np.int64)
@@ -109,11 +111,10 @@ def counted(lang: str, raw: bytes, step: int, reached: np.ndarray, appender: App
         kinds *= len(words)
         last = ids[k - 1 :]
         codes = codes[: len(last)] * len(words) + last
+        crc = appender.append(crc[: len(last)], behind[last], sizes[last])
         _, first, n = np.unique(codes[here], return_index=True, return_counts=True)
         first = here[first]
-        yield k, begun[first], n, [names.take(pa.array(ids[first + j])) for j in range(k)]
-        if k < min(longest, step + 1):
-            crc = appender.append(crc[: len(last)], behind[last], sizes[last])
+        yield k, begun[first], n, crc[first], [names.take(pa.array(ids[first + j])) for j in range(k)]
 
 
 def scan(shard: DataFrame, step: int, reached: np.ndarray, longest: int, shards: int) -> DataFrame:
@@ -128,10 +129,11 @@ def scan(shard: DataFrame, step: int, reached: np.ndarray, longest: int, shards:
             while held:
                 lang, texts = held.popitem()
                 prefix = pa.scalar(f"{escaped(lang)}\0".encode())
-                for _, begun, n, parts in counted(lang, _BREAK.join(texts), step, table, appender, longest, shards):
+                for k, begun, n, crc, parts in counted(lang, _BREAK.join(texts), step, table, appender, longest, shards):
                     phrase = pc.binary_join_element_wise(*parts, b" ") if parts else pa.array([b""])
                     key = pc.binary_join_element_wise(prefix, phrase, b"").cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([key, pa.array(begun, pa.int32()), pa.array(n, pa.int64())], names=["key", "begun", "n"])
+                    known = (table[crc % np.uint32(len(table))] != NEVER) | (k in (0, longest))
+                    yield pa.RecordBatch.from_arrays([pa.array(crc.view(np.int32), mask=known), key, pa.array(begun, pa.int32()), pa.array(n, pa.int64())], names=["mark", "key", "begun", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -157,52 +159,65 @@ def _sharded(documents: DataFrame, shards: int) -> DataFrame:
     return table
 
 
-def _phrase() -> F.Column:
-    return F.expr("substring(key, instr(key, '\\u0000') + 1)")
-
-
-def _words(phrase: F.Column) -> F.Column:
-    return F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1)
-
-
-def _reached_slots(counters: DataFrame, threshold: int, longest: int) -> np.ndarray:
-    """Slots of the phrases that have come to the threshold; a bit for each slot at most."""
-    found = counters.where(F.col("n") >= threshold).where(_words(_phrase()).between(1, longest - 1)).select((F.crc32("key") % SLOTS).alias("slot"))
-    bits = found.groupBy(F.expr("slot div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
+def _slots(marks: DataFrame, slots: int) -> np.ndarray:
+    """The slots of marks; a bit for each slot at most."""
+    slot = F.pmod(F.col("mark").cast("long").bitwiseAND(0xFFFFFFFF), F.lit(slots))
+    bits = marks.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
     at, packed = bits.column(0).to_numpy(), bits.column(1).to_numpy().astype("<i8")
     on = np.unpackbits(packed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").reshape(-1, 64)
     row, bit = np.nonzero(on)
     return at[row] * 64 + bit
 
 
+def _likely(counts: DataFrame, reached: np.ndarray) -> DataFrame:
+    """``key, n``: the counts of phrases that may have come to the threshold, by their marks' slots."""
+    packed = counts.sparkSession.sparkContext.broadcast(zlib.compress(reached.tobytes(), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(zlib.decompress(packed.value), np.uint8)
+        for batch in batches:
+            mark = batch.column(0)
+            slot = mark.fill_null(0).to_numpy().view(np.uint32) % np.uint32(len(table))
+            yield batch.select([1, 2]).filter(pa.array((table[slot] != NEVER) | mark.is_null().to_numpy(zero_copy_only=False)))
+
+    return counts.select("mark", "key", "n").mapInArrow(run, "key string, n long")
+
+
 def frequent_phrases(documents: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS) -> DataFrame:
     """``lang, phrase, words, n``: every phrase of up to ``longest`` words with ``threshold``
     occurrences or more, and for each language all words as the phrase of 0 words; written."""
     spark = documents.sparkSession
     ship(spark)
     table = _sharded(documents, shards)
+    log = shared_folder(spark, "counts")
     reached = np.full(SLOTS, NEVER, np.uint8)
-    open_counters, finished = None, []
+    running, finished = None, []
     step, newest = 0, -1
     while True:
-        rows = scan(table.where(F.col("shard") == step % shards).select("lang", "text"), step, reached, longest, shards)
-        if open_counters is not None:
-            rows = rows.unionByName(open_counters)
-        d = rows.groupBy("key", "begun").agg(F.sum("n").alias("n"))  # a key begins once
-        d = d.withColumn("done", F.col("begun") + shards - 1 <= step).where(~F.col("done") | (F.col("n") >= threshold) | F.col("key").endswith("\0"))
-        path = shared_folder(spark, "counters")
-        d.write.partitionBy("done").option("parquet.enable.dictionary", "false").parquet(path)
-        counters = spark.read.schema("key string, begun int, n long, done boolean").parquet(path)
-        if open_counters is not None:
-            discard(open_counters)
-        slots = _reached_slots(counters, threshold, longest)
+        shard = table.where(F.col("shard") == step % shards).select("lang", "text")
+        scan(shard, step, reached, longest, shards).write.partitionBy("begun").option("parquet.enable.dictionary", "false").parquet(f"{log}/step={step}")
+        steps = [f"{log}/step={s}" for s in range(max(0, step - shards + 1), step + 1)]
+        seen = spark.read.schema("mark int, key string, n long, begun int").parquet(steps[-1]).where("mark is not null").select("begun", "mark", "n")
+        # phrases below the threshold go on being counted by their marks, while they are open
+        d = (seen if running is None else seen.unionByName(running.where(F.col("begun") + shards > step))).groupBy("begun", "mark").agg(F.sum("n").alias("n"))
+        last, running = running, staged(d.withColumn("there", F.col("n") >= threshold), "running")
+        if last is not None:
+            discard(last)
+        slots = _slots(running.where("there"), len(reached))
         slots = slots[reached[slots] == NEVER]
         reached[slots] = step
         newest = step if len(slots) else newest
-        open_counters = counters.where("not done").drop("done")
-        open_counters.staged_at = f"{path}/done=false"
-        finished.append(counters.where("done"))
-        finished[-1].staged_at = path
+        at = running.staged_at
+        running = running.where("not there").drop("there")
+        running.staged_at = at
+        if step - shards + 1 >= 0:  # those that began so long ago have seen each shard
+            begun = step - shards + 1
+            counts = spark.read.option("basePath", log).schema("mark int, key string, n long, step int, begun int").parquet(*steps).where(F.col("begun") == begun)
+            whole = _likely(counts, reached).groupBy("key").agg(F.sum("n").alias("n")).where((F.col("n") >= threshold) | F.col("key").endswith("\0"))
+            finished.append(staged(whole, "finished"))
+            for path in steps:
+                counts.staged_at = f"{path}/begun={begun}"
+                discard(counts)
         step += 1
         if step > newest + shards:  # what began last has seen each shard
             break
@@ -210,9 +225,13 @@ def frequent_phrases(documents: DataFrame, threshold: int = THRESHOLD, longest:
     for part in finished[1:]:
         found = found.unionByName(part)
     lang = F.replace(F.replace(F.expr("substring(key, 1, instr(key, '\\u0000') - 1)"), F.lit("%00"), F.lit("\0")), F.lit("%25"), F.lit("%"))
-    found = found.select(lang.alias("lang"), _phrase().alias("phrase"), "n").withColumn("words", _words(F.col("phrase"))).where((F.col("words") == 0) | (F.col("n") >= threshold))
-    out = staged(found.select("lang", "phrase", "words", "n"), "phrases")
-    discard(*finished, table)
+    phrase = F.expr("substring(key, instr(key, '\\u0000') + 1)")
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
+    found = found.select(lang.alias("lang"), phrase.alias("phrase"), "n").withColumn("words", words)
+    out = staged(found.where((F.col("words") == 0) | (F.col("n") >= threshold)).select("lang", "phrase", "words", "n"), "phrases")
+    spent = spark.range(0)
+    spent.staged_at = log
+    discard(*finished, running, table, spent)
     return out
 
 

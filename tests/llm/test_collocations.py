@@ -114,5 +114,5 @@ def test_phrases_of_many_words(small):
     """Numbers of phrases are made anew where they would pass 64 bits."""
     raw = b" ".join(f"w{i % 97}".encode() for i in range(3000))
     reached = np.zeros(collocations.SLOTS, np.uint8)
-    got = {k: (len(n), int(n.sum())) for k, _, n, _ in collocations.counted("en", raw, 11, reached, collocations.Appender(), 12, 12)}
+    got = {k: (len(n), int(n.sum())) for k, _, n, _, _ in collocations.counted("en", raw, 11, reached, collocations.Appender(), 12, 12)}
     assert got == {k: (97, 3000 - k + 1) for k in range(2, 13)} | {0: (1, 3000), 1: (97, 3000)}
