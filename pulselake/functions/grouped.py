@@ -28,9 +28,9 @@ def null_safe_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str
     return rows.join(other, same, how).drop(*names.values())
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], member: Column) -> DataFrame:
-    """``rows`` with the columns of ``table``, which has one row for each key; an inner join in which
-    null keys meet.
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], member: Column, nulls_meet: bool = False) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each key; an inner join, in which
+    null keys are lost unless ``nulls_meet``.
 
     The rows of a key are dealt by ``member`` over as many salts as there are tasks, and a row of
     ``table`` goes to no more salts than its key has."""
@@ -38,4 +38,6 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], member: Column) -
     name = fresh("__salt", rows, table)
     salted = rows.withColumn(name, salt)
     wanted = salted.select(*keys, name).distinct()
-    return null_safe_join(salted, null_safe_join(wanted, table, keys), [*keys, name]).drop(name)
+    if nulls_meet:
+        return null_safe_join(salted, null_safe_join(wanted, table, keys), [*keys, name]).drop(name)
+    return salted.join(wanted.join(table, keys), [*keys, name]).drop(name)

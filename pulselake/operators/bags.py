@@ -46,7 +46,7 @@ def softmax_weights(instances: DataFrame, keys: list[str], score: str) -> DataFr
     """``weight``: the softmax of the scores within each bag, of any size."""
     sums = _stepped(instances, score).groupBy(*keys, "__step").agg(F.sum("__e").alias("__e"))
     bags = _with_peak(sums, keys).groupBy(*keys).agg(F.max("__peak").alias("__peak"), F.sum(F.col("__e") * F.col("__scale")).alias("__all"))
-    d = lookup(instances, bags, keys, F.xxhash64(*instances.columns))
+    d = lookup(instances, bags, keys, F.xxhash64(*instances.columns), nulls_meet=True)
     return d.withColumn("weight", F.exp(F.col(score) - F.col("__peak")) / F.col("__all")).drop("__peak", "__all")
 
 

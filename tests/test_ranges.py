@@ -74,7 +74,7 @@ def test_repeated_rows_and_empty_tables(spark):
 
 def test_look_ups_keep_null_keys(spark):
     d = spark.createDataFrame([(None, 1), ("a", 2), (None, 3)], "k string, i int")
-    got = lookup(d, d.groupBy("k").agg(F.count("*").alias("n")), ["k"], F.col("i")).collect()
+    got = lookup(d, d.groupBy("k").agg(F.count("*").alias("n")), ["k"], F.col("i"), nulls_meet=True).collect()
     assert sorted((r.i, r.n) for r in got) == [(1, 2), (2, 1), (3, 2)]
 
 
