@@ -198,7 +198,7 @@ def dressed(main: list[str], other: list[str], rng: random.Random) -> tuple[str,
     def boilerplate(where: str) -> None:
         chances = {
             "top": ((NOTICES, rng.choice((texts, bare)), 0.3), (HEADERS, texts, 0.5), (MENUS, links, 0.7), (ADVERTS, rng.choice((bare, texts)), 0.5), (SIDES, links, 0.15), (FORMS, controls, 0.15)),
-            "inside": ((ADVERTS, rng.choice((bare, texts)), 0.08), (FORMS, controls, 0.03), (SIDES, links, 0.04)),
+            "inside": ((ADVERTS, rng.choice((bare, texts)), 0.08), (FORMS, controls, 0.03), (SIDES, links, 0.04), (NOTICES, texts, 0.03), (COMMENTS, comments, 0.01)),
             "bottom": ((SIDES, rng.choice((links, texts)), 0.4), (COMMENTS, comments, 0.4), (FORMS, controls, 0.3), (ADVERTS, bare, 0.3), (NOTICES, texts, 0.2), (FOOTERS, rng.choice((bare, texts, links)), 0.8)),
         }[where]
         for kinds, inner, chance in chances:

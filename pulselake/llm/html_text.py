@@ -35,7 +35,7 @@ from .html_blocks import APART_NAMES, Block, blocks_of, dressed, marked_main
 #: Bounds the sample on which the network is fitted, and the blocks that are learned of a page.
 SAMPLE, DRESSES, LEARNED_BLOCKS = 300, 4, 64
 PATHS, WORDS = 512, 64
-MEASURES = 10
+MEASURES = 11
 WIDTH = PATHS + WORDS + MEASURES
 EMBED, HIDDEN = 24, 16
 EPOCHS, BATCH, RATE = 20, 32, 0.01
@@ -73,7 +73,7 @@ def vectors(blocks: list[Block], paths: Hashes, words: Hashes) -> np.ndarray:
         row[PATHS : PATHS + WORDS] = counts / np.sqrt((counts * counts).sum())
         row[-MEASURES:] = (
             np.log1p(n) / 8, b.linked / n, min(1.0, len(_STOP.findall(b.text)) / len(found)), len(found) < 4, i / len(blocks), i == 0, i == len(blocks) - 1,
-            "©" in b.text, min(1.0, len(b.path) / 12), any(not APART_NAMES.isdisjoint(e[1:]) for e in b.path),
+            "©" in b.text, min(1.0, len(b.path) / 12), any(not APART_NAMES.isdisjoint(e[1:]) for e in b.path), any(e[0] in ("article", "main") for e in b.path),
         )
     return x
 
