@@ -159,10 +159,13 @@ def _sharded(documents: DataFrame, shards: int) -> DataFrame:
     return table
 
 
+def _slot(slots: int) -> F.Column:
+    return F.pmod(F.col("mark").cast("long").bitwiseAND(0xFFFFFFFF), F.lit(slots))
+
+
 def _slots(marks: DataFrame, slots: int) -> np.ndarray:
     """The slots of marks; a bit for each slot at most."""
-    slot = F.pmod(F.col("mark").cast("long").bitwiseAND(0xFFFFFFFF), F.lit(slots))
-    bits = marks.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
+    bits = marks.select(_slot(slots).alias("slot")).groupBy(F.expr("slot div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
     at, packed = bits.column(0).to_numpy(), bits.column(1).to_numpy().astype("<i8")
     on = np.unpackbits(packed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").reshape(-1, 64)
     row, bit = np.nonzero(on)
@@ -171,16 +174,10 @@ def _slots(marks: DataFrame, slots: int) -> np.ndarray:
 
 def _likely(counts: DataFrame, reached: np.ndarray) -> DataFrame:
     """``key, n``: the counts of phrases that may have come to the threshold, by their marks' slots."""
-    packed = counts.sparkSession.sparkContext.broadcast(zlib.compress(reached.tobytes(), 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(zlib.decompress(packed.value), np.uint8)
-        for batch in batches:
-            mark = batch.column(0)
-            slot = mark.fill_null(0).to_numpy().view(np.uint32) % np.uint32(len(table))
-            yield batch.select([1, 2]).filter(pa.array((table[slot] != NEVER) | mark.is_null().to_numpy(zero_copy_only=False)))
-
-    return counts.select("mark", "key", "n").mapInArrow(run, "key string, n long")
+    bits = np.packbits(np.pad(reached != NEVER, (0, -len(reached) % 64)), bitorder="little").view("<i8")
+    one = counts.sparkSession.createDataFrame(pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))}))
+    there = counts.withColumn("slot", _slot(len(reached))).join(F.broadcast(one), F.expr("mark is null or getbit(get(bits, cast(slot div 64 as int)), cast(slot % 64 as int)) = 1"))  # one row, a bit for each slot
+    return there.select("key", "n")
 
 
 def frequent_phrases(documents: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS) -> DataFrame:
