@@ -5,20 +5,23 @@ counts in how many documents each licence word occurs, over the whole corpus.  O
 licence words are looked up, the rarest first; a template is a candidate if the file holds all
 of its key words, whichever led to it.  The postings of the word that led to it give, by relative
 position, the places at which the template may stand; there all its key phrases are verified, each
-within a slack that grows with its distance from the first one.  Where they stand the file has the
+within a slack that grows with its distance from the first one, or, where a name of any length may
+stand between, anywhere before the next first one.  Where they stand the file has the
 label, whatever other files hold; the score is the share, by rarity in the corpus, of the
 template's words that are in their places, 1 with a base phrase.
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII.  The base
 phrases are found the same way, by each one's rarest word, wherever its words stand consecutively.
 
-Defined cases: a null or empty text has no words, places or labels, and score 0; repeated rows
-are scanned each; an empty table gives an empty result.
+Defined cases: a null or empty text has no words, places or labels, and score 0; texts of any length
+are scanned whole; repeated rows are scanned each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -31,6 +34,11 @@ from ..shipping import ship
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+#: Identifiers in files' headers, and the labels that they give.
+SPDX = {
+    "MIT": "mit", "Apache-2.0": "apache-2.0", "GPL-2.0": "gpl-2.0", "GPL-3.0": "gpl-3.0", "LGPL-2.1": "lgpl-2.1", "LGPL-3.0": "lgpl-3.0", "AGPL-3.0": "agpl-3.0", "BSD-2-Clause": "bsd", "BSD-3-Clause": "bsd-3-clause",
+    "ISC": "isc", "Zlib": "zlib", "MPL-2.0": "mpl-2.0", "Unlicense": "unlicense", "BSL-1.0": "bsl-1.0", "CC0-1.0": "cc0-1.0", "CC-BY-4.0": "cc-by-4.0", "CC-BY-SA-4.0": "cc-by-sa-4.0",
+}
 #: Templates of the method: label, words of the licence or notice, and the key
 #: phrases that must stand in every copy, in their order.
 TEMPLATES = (
@@ -97,7 +105,7 @@ TEMPLATES = (
     (
         "bsd-3-clause",
         """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
-        ("neither the name of", "may be used to endorse or promote products derived from this software"),
+        ("neither the name of", "... may be used to endorse or promote products derived from this software"),
     ),
     (
         "isc",
@@ -128,6 +136,11 @@ TEMPLATES = (
         ("boost software license",),
     ),
     ("proprietary", "All rights reserved", ("all rights reserved",)),
+    ("mit", "Released under the MIT licence", ("mit licence",)),
+    ("apache-2.0", "Licensed under the Apache 2.0 license", ("apache 2 0 license",)),
+    ("lgpl-2.1", "Licensed under LGPL-2.1", ("licensed under lgpl 2 1",)),
+    ("cc-by-sa-4.0", "Licensed under Creative Commons Attribution-ShareAlike 4.0", ("creative commons attribution sharealike 4 0",)),
+    *((label, f"SPDX-License-Identifier: {name}", ("spdx license identifier " + " ".join(re.split("[-.]", name.lower())),)) for name, label in SPDX.items()),
 )
 
 
@@ -149,14 +162,19 @@ class Template(NamedTuple):
     words: list[bytes]
     keys: list[list[bytes]]
     at: list[int]  # where in the words each key phrase begins
+    open: list[bool]  # whether words of any number may stand before it
+
+
+#: Before a key phrase: behind the first one, names of any length may stand there.
+ANY = "... "
 
 
 def template(label: str, text: str, keys: tuple[str, ...]) -> Template:
     words, at = words_of(text), []
-    phrases = [k.encode().split() for k in keys]
+    phrases = [k.removeprefix(ANY).encode().split() for k in keys]
     for phrase in phrases:
         at.append(next(p for p in range(at[-1] if at else 0, len(words)) if words[p : p + len(phrase)] == phrase))
-    return Template(label, words, phrases, at)
+    return Template(label, words, phrases, at, [k.startswith(ANY) for k in keys])
 
 
 class Index:
@@ -201,26 +219,37 @@ class Index:
         The postings of the rare word give the places; what stands there is verified."""
         one = self.templates[t]
         first, found = one.keys[0], set()
+        starts = [i for i, w in enumerate(words) if w == first[0] and words[i : i + len(first)] == first] if any(one.open) else []
         for i, w in enumerate(words):
             if w != rare:
                 continue
             for s, k, p in self.postings[rare]:
                 if s != t or i < p or words[i - p : i - p + len(one.keys[k])] != one.keys[k]:
                     continue
-                far = one.at[k] - one.at[0]
-                reach = slack(far) if k else 0
-                for a in range(max(0, i - p - far - reach), i - p - far + reach + 1):
-                    if a not in found and words[a : a + len(first)] == first and self._stands(words, one, a):
+                if one.open[k]:  # the last first phrase before it
+                    near = starts[max(0, bisect_left(starts, i - p) - 1) :][:1]
+                else:
+                    far = one.at[k] - one.at[0]
+                    reach = slack(far) if k else 0
+                    near = range(max(0, i - p - far - reach), i - p - far + reach + 1)
+                for a in near:
+                    if a not in found and words[a : a + len(first)] == first and self._stands(words, one, a, starts):
                         found.add(a)
         return found
 
     @staticmethod
-    def _stands(words: list[bytes], one: Template, a: int) -> bool:
-        """The other key phrases stand where they should beside the first one at ``a``."""
-        for key, at in zip(one.keys[1:], one.at[1:], strict=True):
+    def _stands(words: list[bytes], one: Template, a: int, starts: list[int]) -> bool:
+        """The other key phrases stand where they should beside the first one at ``a``; an open one
+        anywhere before the next first one."""
+        for key, at, open_ in zip(one.keys[1:], one.at[1:], one.open[1:], strict=True):
             there = a + at - one.at[0]
             reach = slack(at - one.at[0])
-            if not any(words[b : b + len(key)] == key for b in range(max(0, there - reach), there + reach + 1)):
+            if open_:
+                later = starts[bisect_left(starts, a + 1) :][:1]
+                near = range(a + len(one.keys[0]), later[0] if later else len(words))
+            else:
+                near = range(max(0, there - reach), there + reach + 1)
+            if not any(words[b] == key[0] and words[b : b + len(key)] == key for b in near if b < len(words)):
                 return False
         return True
 

@@ -21,11 +21,13 @@ def full_scan(texts):
         labels = {label for p, label in BASE.items() if f" {p} " in f" {' '.join(words)} "}
         score = 1.0 if labels else 0.0
         for label, t, keys in TEMPLATES:
-            t, keys = split(t), [k.split() for k in keys]
+            t, free, keys = split(t), [k.startswith("... ") for k in keys], [k.removeprefix("... ").split() for k in keys]
             at = [" ".join(t).split(" ".join(k))[0].count(" ") for k in keys]
             for a in range(len(words)):
+                follow = next((b for b in range(a + 1, len(words)) if words[b : b + len(keys[0])] == keys[0]), len(words))
+                after = lambda k: any(words[b : b + len(k)] == k for b in range(a + len(keys[0]), follow))  # noqa: B023, E731
                 near = lambda k, p: any(words[b : b + len(k)] == k for b in range(max(0, a + p - slack(p)), a + p + slack(p) + 1))  # noqa: B023, E731
-                if words[a : a + len(keys[0])] == keys[0] and all(near(k, p - at[0]) for k, p in zip(keys[1:], at[1:], strict=True)):
+                if words[a : a + len(keys[0])] == keys[0] and all(after(k) if o else near(k, p - at[0]) for k, p, o in zip(keys[1:], at[1:], free[1:], strict=True)):
                     labels.add(label)
                     here = [w for p, w in enumerate(t) if any(0 <= b < len(words) and words[b] == w for b in range(a + p - at[0] - slack(abs(p - at[0])), a + p - at[0] + slack(abs(p - at[0])) + 1))]
                     score = max(score, sum(weight[w] for w in here) / sum(weight[w] for w in t))
@@ -55,10 +57,20 @@ def test_key_phrases_alone_give_the_label_whatever_other_files_hold(spark):
         assert (got[0], got[1], got[2]) == ("bsd", "mpl-2.0", "mit")
 
 
+def test_names_of_any_length_and_usual_notices(spark):
+    third = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software"
+    texts = [
+        third.format("Lawrence Livermore National Security LLC the US Department of Energy"), third.format("x " * 500), third.format("a Neither the name of b"), "may be used to endorse or promote products derived from this software. Neither the name of",
+        "SPDX-License-Identifier: MIT", "// SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: Apache-2.0", "licensed under LGPL-2.1", "MIT licence", "Creative Commons Attribution-ShareAlike 4.0", "the Apache 2.0 license",
+    ]
+    got = check(spark, texts)
+    assert [got[i] for i in range(len(texts))] == ["bsd-3-clause"] * 3 + ["", "mit", "gpl-2.0", "apache-2.0", "lgpl-2.1", "mit", "cc-by-sa-4.0", "apache-2.0"]
+
+
 def test_groups_of_copies_and_altered_templates(spark):
     rng, texts = random.Random(5), ["GNU General Public License version 3"] * 40 + ["this work is licensed under the sun"]
     for _, t, keys in TEMPLATES:
-        key_words = {w for k in keys for w in k.split()}
+        key_words = {w for k in keys for w in k.removeprefix("... ").split()}
         for share in (0.0, 0.5, 1.0):
             words = [w if w in key_words or rng.random() < share else f"q{rng.randrange(99)}" for w in split(t)]
             texts += [" ".join(words), " ".join(words[1:]), "before it " + " ".join(words) + " and after " + t]
