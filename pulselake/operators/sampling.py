@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
+from ..functions.ranges import numbered
 from ..functions.stable import hash32, hash_order, stable_seed
 
 FILLS = ("normal", "duplicate", "half", "slike", "slike_random")
@@ -45,10 +46,10 @@ def best_scores(scores: DataFrame, seconds: int = 10) -> DataFrame:
     earlier time, then the smaller index."""
     clean = scores.select("record_id", F.expr("try_cast(time as double)").alias("time"), F.expr("try_cast(score as double)").alias("score"))
     clean = clean.dropna().where("time >= 0").withColumn("seg_index", F.floor(F.col("time") / seconds).cast("int"))
-    best = Window.partitionBy("record_id", "seg_index").orderBy(F.desc("score"), "time")
-    kept = clean.withColumn("rn", F.row_number().over(best)).where("rn = 1")
-    rank = Window.partitionBy("record_id").orderBy(F.desc("score"), "time", "seg_index")
-    return kept.select("record_id", "seg_index", "score", F.row_number().over(rank).alias("score_rank"))
+    best = F.max(F.struct("score", (-F.col("time")).alias("before"))).alias("best")
+    kept = clean.groupBy("record_id", "seg_index").agg(best).select("record_id", "seg_index", "best.score", (-F.col("best.before")).alias("time"))
+    ranked = numbered(kept, ["record_id"], [F.desc("score"), "time", "seg_index"], "score_rank")
+    return ranked.select("record_id", "seg_index", "score", F.col("score_rank").cast("int").alias("score_rank"))
 
 
 def unique_indices(scores: DataFrame, seconds: int = 10) -> DataFrame:
