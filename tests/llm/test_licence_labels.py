@@ -24,8 +24,8 @@ def full_scan(texts):
             t, free, keys = split(t), [k.startswith("... ") for k in keys], [k.removeprefix("... ").split() for k in keys]
             at = [" ".join(t).split(" ".join(k))[0].count(" ") for k in keys]
             for a in range(len(words)):
-                follow = next((b for b in range(a + 1, len(words)) if words[b : b + len(keys[0])] == keys[0]), len(words))
-                after = lambda k: any(words[b : b + len(k)] == k for b in range(a + len(keys[0]), follow))  # noqa: B023, E731
+                follow = lambda: next((b for b in range(a + 1, len(words)) if words[b : b + len(keys[0])] == keys[0]), len(words))  # noqa: B023, E731
+                after = lambda k: any(words[b : b + len(k)] == k for b in range(a + len(keys[0]), follow()))  # noqa: B023, E731
                 near = lambda k, p: any(words[b : b + len(k)] == k for b in range(max(0, a + p - slack(p)), a + p + slack(p) + 1))  # noqa: B023, E731
                 if words[a : a + len(keys[0])] == keys[0] and all(after(k) if o else near(k, p - at[0]) for k, p, o in zip(keys[1:], at[1:], free[1:], strict=True)):
                     labels.add(label)
