@@ -10,9 +10,10 @@ one of its subphrases.
 Which phrases have come to the threshold, and at which step, is told to the tasks by a table of
 SLOTS bytes, one for each hash of a phrase, whatever the corpus; the first phrase of a slot sets
 it for good.  Phrases that share a slot are activated too early, which costs a counter and changes
-no count.  Each step writes its counts block by block.  Running sums, which tell when a phrase comes
-to the threshold, are kept by the phrases' CRCs, and end once it has; the phrases themselves are
-added up once, when all shards have been seen, and only those that may have come to it.
+no count: of any length, they are counted from the step on at which they begin.  Each step writes its
+counts block by block.  Running sums, which tell when a phrase comes to the threshold, are kept by the
+phrases' CRCs, and end once it has; the phrases themselves are added up once, when all shards have
+been seen, and only those that may have come to it.
 
 Defined cases: a null text is empty; a null language is ``und``; repeated rows count each; a text of
 any length is split whole; a language without candidates has no row; an empty table gives none.
@@ -99,7 +100,7 @@ def counted(lang: str, raw: bytes, step: int, reached: np.ndarray, appender: App
         yield 0, np.zeros(1, np.int64), np.array([inside.sum()]), np.zeros(1, np.uint32), []
         yield 1, np.zeros(len(words) - 1, np.int64), counts[1:], alone[1:], [names.slice(1)]
     crc, ok, codes, kinds = alone[ids], inside, ids, len(words)
-    for k in range(2, min(longest, step + 1) + 1):  # a phrase of k words begins at step k - 1 at the earliest
+    for k in range(2, longest + 1 if step else 2):  # any length may begin at step 1: words may have set its subphrases' slots
         at = reached[crc % np.uint32(len(reached))].astype(np.int64)
         begun = 1 + np.maximum(at[:-1], at[1:])
         ok = ok[:-1] & inside[k - 1 :]
@@ -111,10 +112,11 @@ def counted(lang: str, raw: bytes, step: int, reached: np.ndarray, appender: App
         kinds *= len(words)
         last = ids[k - 1 :]
         codes = codes[: len(last)] * len(words) + last
-        crc = appender.append(crc[: len(last)], behind[last], sizes[last])
         _, first, n = np.unique(codes[here], return_index=True, return_counts=True)
         first = here[first]
-        yield k, begun[first], n, crc[first], [names.take(pa.array(ids[first + j])) for j in range(k)]
+        asked = slice(len(last)) if k < longest else first  # the longest phrases are in no longer one
+        crc = appender.append(crc[asked], behind[last[asked]], sizes[last[asked]])
+        yield k, begun[first], n, crc[first] if k < longest else crc, [names.take(pa.array(ids[first + j])) for j in range(k)]
 
 
 def scan(shard: DataFrame, step: int, reached: np.ndarray, longest: int, shards: int) -> DataFrame:

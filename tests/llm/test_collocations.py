@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -73,6 +74,24 @@ def test_counts_hold_when_all_phrases_share_few_slots(small, monkeypatch):
     assert {(r.lang, r.phrase, r.words, r.n) for r in collocations.frequent_phrases(table).collect()} == want
 
 
+def test_phrases_of_three_words_whose_slots_are_words(spark, monkeypatch):
+    """A phrase of three words begins with those of two where words have set the slots of its parts."""
+    rng = random.Random(3)
+    docs = [(rng.choice(["en", None]), " ".join(rng.choice(["red green blue", "ha ha ha ha", "one two", "red"]) for _ in range(9)) + rng.choice(["", ". red green blue"])) for _ in range(60)]
+    table = spark.createDataFrame(docs, "lang string, text string").repartition(3)
+    monkeypatch.setattr(collocations, "SLOTS", 3)
+    assert rows(collocations.collocations(table)) == brute(docs)
+
+
+def test_a_repeated_word_whose_pair_has_the_slot_of_another_word(spark):
+    """The same with all slots: of a few thousand words some pair meets a word."""
+    slot = lambda phrase: zlib.crc32(f"en\0{phrase}".encode()) % collocations.SLOTS
+    words = {slot(w): w for w in (f"v{i}" for i in range(20_000))}
+    twice, other = next((w, words[slot(f"{w} {w}")]) for w in (f"w{i}" for i in range(20_000)) if slot(f"{w} {w}") in words)
+    docs = [("en", f"{other}. {twice} {twice} {twice}. x y z")] * 150
+    assert rows(collocations.collocations(spark.createDataFrame(docs, "lang string, text string").repartition(3))) == brute(docs)
+
+
 def test_scores_beyond_64_bits(spark, monkeypatch):
     phrases = spark.createDataFrame([("en", "", 0, 10**15), ("en", "a", 1, 9 * 10**14), ("en", "b", 1, 8 * 10**14), ("en", "a b", 2, 7 * 10**14)], "lang string, phrase string, words int, n long")
     monkeypatch.setattr(collocations, "frequent_phrases", lambda *_: phrases)
